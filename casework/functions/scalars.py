@@ -18,14 +18,12 @@ from casework.schemas import (
 TRUE_TEXTS = ("1", "t", "T", "TRUE", "true", "True")
 FALSE_TEXTS = ("0", "f", "F", "FALSE", "false", "False")
 
-_TIME_SHAPE = r"\A\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}\z"
 _NUMBER_SHAPE = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 
 def parse_local_time(c: Column, timezone: str = SHEET_TIMEZONE) -> Column:
     """``yyyy-MM-dd HH:mm`` wall time in ``timezone`` to an instant; anything else is null."""
-    text = trim_space(c)
-    zoned = F.when(text.rlike(_TIME_SHAPE), F.concat(text, F.lit(f" {timezone}")))
+    zoned = F.concat(trim_space(c), F.lit(f" {timezone}"))
     return F.try_to_timestamp(zoned, F.lit("yyyy-MM-dd H:mm VV"))
 
 

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from casework.schemas import CHUNK_BYTES
 
-_LEADING = r"(?U)\A\s++"
-_TRAILING = r"(?U)(?<!\s)\s++\z"
+_OUTER_SPACE = r"(?U)\A\s++|(?<!\s)\s++\z"
 _LINE_BREAK = r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]*+\n\s*+"
 
 
 def trim_space(c: Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(F.regexp_replace(c, _LEADING, ""), _TRAILING, "")
+    return F.regexp_replace(c, _OUTER_SPACE, "")
 
 
 def nullable_string(c: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,9 @@ from casework.functions.text import normalize_match_text
 from casework.schemas import EMBEDDING_BATCH, RETRIEVAL_DEPTH, VECTOR_WIDTH
 from casework.sources.tables import store_embeddings
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Provider = Callable[[list[str]], list[list[float]]]
 
 # One block of queries is what a task holds next to its chunks: at 768 doubles a query,

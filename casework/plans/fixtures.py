@@ -160,7 +160,7 @@ def actions(spark, sf_dir) -> DataFrame:
 
 def credits0(spark, sf_dir) -> DataFrame:
     return shipments(spark, sf_dir).withColumn(
-        "k", F.expr("cast(substring(order_id, 5) AS bigint)")
+        "k", F.expr("try_cast(substring(order_id, 5) AS bigint)")
     ).where("k % 13 = 0").selectExpr(
         "k AS id", "order_id", "account_id",
         "cast(10 + k % 90 AS decimal(12,2)) AS amount_inr", "'earlier' AS reason",
@@ -172,7 +172,7 @@ def credits0(spark, sf_dir) -> DataFrame:
 
 def escalations0(spark, sf_dir) -> DataFrame:
     return tickets(spark, sf_dir).withColumn(
-        "k", F.expr("cast(substring(ticket_id, 5) AS bigint)")
+        "k", F.expr("try_cast(substring(ticket_id, 5) AS bigint)")
     ).where("k % 8 = 0").selectExpr(
         "k AS id", "ticket_id", "account_id", "'earlier' AS reason",
         "CASE WHEN k % 16 = 0 THEN 'P1' ELSE 'P2' END AS priority",
@@ -221,6 +221,7 @@ def answers(spark, sf_dir) -> DataFrame:
 
 
 # --- raw sheets -------------------------------------------------------------
+# The cells pass through explode, so that each row's list is built once and not once per cell.
 
 
 def raw_accounts(spark, sf_dir) -> DataFrame:
@@ -228,7 +229,7 @@ def raw_accounts(spark, sf_dir) -> DataFrame:
     header = spark.range(1).selectExpr("1L AS row_no", "array('account_id') AS cells")
     body = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey + 2 AS row_no",
-        """slice(array(
+        """explode(array(slice(array(
              concat('ACCT-', CASE WHEN c_custkey % 19 = 5 THEN c_custkey - 1 ELSE c_custkey END),
              c_name,
              CASE WHEN c_custkey % 41 = 7 THEN 'Gold' WHEN c_mktsegment = 'BUILDING'
@@ -240,7 +241,7 @@ def raw_accounts(spark, sf_dir) -> DataFrame:
              CASE WHEN c_custkey % 29 = 3 THEN 'yes' WHEN c_acctbal > 8000 THEN 'TRUE'
                ELSE 'f' END,
              concat('note ', c_custkey)),
-           1, CASE WHEN c_custkey % 37 = 11 THEN 6 ELSE 8 END) AS cells""",
+           1, CASE WHEN c_custkey % 37 = 11 THEN 6 ELSE 8 END))) AS cells""",
     )
     return header.unionByName(body)
 
@@ -249,7 +250,7 @@ def raw_orders(spark, sf_dir) -> DataFrame:
     header = spark.range(1).selectExpr("1L AS row_no", "array('order_id') AS cells")
     body = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey + 2 AS row_no",
-        """slice(array(
+        """explode(array(slice(array(
              concat('ORD-', CASE WHEN o_orderkey % 23 = 9 THEN o_orderkey - 1 ELSE o_orderkey END),
              concat('ACCT-', o_custkey),
              o_orderpriority,
@@ -269,7 +270,7 @@ def raw_orders(spark, sf_dir) -> DataFrame:
                ELSE 'False' END,
              CASE WHEN o_orderkey % 71 = 7 THEN '10:00' ELSE '' END,
              CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('  n', o_orderkey) END),
-           1, CASE WHEN o_orderkey % 73 = 8 THEN 12 ELSE 13 END) AS cells""",
+           1, CASE WHEN o_orderkey % 73 = 8 THEN 12 ELSE 13 END))) AS cells""",
     )
     return header.unionByName(body)
 
@@ -278,7 +279,7 @@ def raw_tickets(spark, sf_dir) -> DataFrame:
     header = spark.range(1).selectExpr("1L AS row_no", "array('ticket_id') AS cells")
     body = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(
         "event_id + 2 AS row_no",
-        """slice(array(
+        """explode(array(slice(array(
              concat('TCK-', CASE WHEN event_id % 17 = 4 THEN event_id % 300 ELSE event_id END),
              concat('ACCT-', user_id),
              CASE WHEN event_id % 31 = 1 THEN '' WHEN event_id % 37 = 2 THEN 'yesterday'
@@ -290,7 +291,7 @@ def raw_tickets(spark, sf_dir) -> DataFrame:
              CASE WHEN event_id % 41 = 3 THEN '2024/01/01 10:00'
                WHEN event_id % 5 = 0 THEN date_format(ts, 'yyyy-MM-dd HH:mm') ELSE '' END,
              concat('fixed ', event_id)),
-           1, CASE WHEN event_id % 43 = 5 THEN 8 WHEN event_id % 4 = 0 THEN 9 ELSE 10 END)
+           1, CASE WHEN event_id % 43 = 5 THEN 8 WHEN event_id % 4 = 0 THEN 9 ELSE 10 END)))
            AS cells""",
     )
     return header.unionByName(body)

@@ -6,9 +6,11 @@ Results are flat and comparable: times as text, decimals as doubles, counts as b
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from casework.workspace import fresh_path
 DIMS = 64  # width of the given vectors
 LOADED_AT = "2024-02-01 00:00:00"
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for hash_provider
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
