@@ -150,7 +150,7 @@ def upsert_orders(spark, sf):
 def upsert_tickets(spark, sf):
     target = fx.conform(fx.tickets(spark, sf).where("status = 'open'"), TICKETS)
     source = sheets.accepted(sheets.parse_tickets(fx.raw_tickets(spark, sf)))
-    return flat(tables.upsert(target, source, "ticket_id", "row_no", _loaded_at()).drop("created_record_at"))
+    return flat(tables.upsert(target, source, "ticket_id", "row_no", _loaded_at(), created="created_record_at"))
 
 
 @query

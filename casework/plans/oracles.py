@@ -240,7 +240,7 @@ _CTES: dict[str, str] = {
             ORDER BY a.answered_at, a.seq) AS nth,
           a.answered_at <= p.created_at + INTERVAL 10 MINUTE AS in_time
         FROM answers a LEFT JOIN proposals p USING (confirmation_id)""",
-    "raw_accounts": """SELECT 1 AS row_no, ['account_id'] AS cells UNION ALL
+    "raw_accounts": """SELECT 1::BIGINT AS row_no, ['account_id'] AS cells UNION ALL
         SELECT c_custkey + 2, list_slice(['ACCT-' || if(c_custkey % 19 = 5, c_custkey - 1, c_custkey), c_name,
           CASE WHEN c_custkey % 41 = 7 THEN 'Gold' WHEN c_mktsegment = 'BUILDING' THEN 'Enterprise'
             WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Growth' ELSE 'Standard' END,
@@ -248,7 +248,7 @@ _CTES: dict[str, str] = {
           if(c_custkey % 3 = 0, 'f' || c_custkey || '.pdf', ''),
           CASE WHEN c_custkey % 29 = 3 THEN 'yes' WHEN c_acctbal > 8000 THEN 'TRUE' ELSE 'f' END,
           'note ' || c_custkey], 1, if(c_custkey % 37 = 11, 6, 8)) FROM customer""",
-    "raw_orders": """SELECT 1 AS row_no, ['order_id'] AS cells UNION ALL
+    "raw_orders": """SELECT 1::BIGINT AS row_no, ['order_id'] AS cells UNION ALL
         SELECT o_orderkey + 2, list_slice(['ORD-' || if(o_orderkey % 23 = 9, o_orderkey - 1, o_orderkey),
           'ACCT-' || o_custkey, o_orderpriority,
           CASE o_orderstatus WHEN 'O' THEN 'BOOKED' WHEN 'P' THEN 'PICKED_UP'
@@ -263,7 +263,7 @@ _CTES: dict[str, str] = {
           CASE WHEN o_orderkey % 67 = 6 THEN 'no' WHEN o_orderkey % 7 = 0 THEN 'T' ELSE 'False' END,
           if(o_orderkey % 71 = 7, '10:00', ''), if(o_orderkey % 2 = 0, '', '  n' || o_orderkey)],
           1, if(o_orderkey % 73 = 8, 12, 13)) FROM orders""",
-    "raw_tickets": """SELECT 1 AS row_no, ['ticket_id'] AS cells UNION ALL
+    "raw_tickets": """SELECT 1::BIGINT AS row_no, ['ticket_id'] AS cells UNION ALL
         SELECT event_id + 2, list_slice(['TCK-' || if(event_id % 17 = 4, event_id % 300, event_id), 'ACCT-' || user_id,
           CASE WHEN event_id % 31 = 1 THEN '' WHEN event_id % 37 = 2 THEN 'yesterday'
             ELSE strftime(ts, '%Y-%m-%d %H:%M') END,
@@ -322,7 +322,7 @@ _CTES: dict[str, str] = {
           WHEN 1 THEN replace(text, chr(10), ' ' || chr(13) || chr(10) || chr(9))
           WHEN 2 THEN replace(text, chr(10), chr(13)) ELSE text END AS text FROM documents""",
     "doc_text": """SELECT doc_id AS document_id, text, lang FROM documents""",
-    "chunk_vectors": """SELECT vec_id AS chunk_id, label AS document_id, 'chunk ' || vec_id AS content,
+    "chunk_vectors": """SELECT vec_id AS chunk_id, label::BIGINT AS document_id, 'chunk ' || vec_id AS content,
           if(vec_id % 17 = 0, NULL, embedding) AS embedding FROM embeddings""",
     "bodies": r"""SELECT request_id, CASE request_id % 11
             WHEN 0 THEN '{"query": "' || query || '", "account_id":'
@@ -378,7 +378,7 @@ def _hashed(name: str, source: str, keys: str, column: str) -> dict[str, str]:
         f"{name}_terms": f"""SELECT {keys}, ('0x' || left(md5(t), 8))::BIGINT % 64 AS slot
           FROM (SELECT {keys}, unnest(string_split({_match(column)}, ' ')) AS t FROM {source}) WHERE t <> ''""",
         f"{name}_slots": f"SELECT {keys}, slot, count(*)::DOUBLE AS n FROM {name}_terms GROUP BY ALL",
-        name: f"""SELECT {keys}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS weight FROM {name}_slots""",
+        name: f"""SELECT {keys}, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY {keys})))::FLOAT::DOUBLE AS weight FROM {name}_slots""",
     }
 
 
@@ -406,14 +406,13 @@ def _with(query: str) -> str:
     return f"WITH RECURSIVE {body}\n{query}"
 
 
-def _upsert(table: str, key: str, target: str, columns: list[str], clocks: bool = True) -> str:
+def _upsert(table: str, key: str, target: str, columns: list[str], created: str = "created_at",
+            before: str = "'2024-01-01 00:00:00.000000'") -> str:
     """Full outer join of what was there and the last good row per key."""
-    picked = ", ".join(
-        f"if(s.{key} IS NOT NULL, s.{c}, t.{c}) AS {c}" for c in columns if c != key
-    )
-    stamp = """, if(t.{k} IS NULL, '2024-02-01 00:00:00.000000', '2024-01-01 00:00:00.000000') AS created_at,
-        if(s.{k} IS NULL, '2024-01-01 00:00:00.000000', '2024-02-01 00:00:00.000000') AS updated_at""".format(k=key)
-    return f"""SELECT coalesce(t.{key}, s.{key}) AS {key}, {picked}{stamp if clocks else ''}
+    picked = ", ".join(f"if(s.{key} IS NOT NULL, s.{c}, t.{c}) AS {c}" for c in columns)
+    now = "'2024-02-01 00:00:00.000000'"
+    return f"""SELECT coalesce(t.{key}, s.{key}) AS {key}, {picked}, if(t.{key} IS NULL, {now}, {before}) AS {created},
+        if(s.{key} IS NULL, {before}, {now}) AS updated_at
       FROM ({target}) t FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY row_no DESC) AS rn
         FROM p_{table} WHERE reject_reason IS NULL) WHERE rn = 1) s ON s.{key} = t.{key}"""
 
@@ -428,7 +427,7 @@ def _as_text(columns: list[str], inner: str) -> str:
 
 def _credit_sql(cap: float) -> str:
     return f"""SELECT request_id, account_id, order_id, rule = 9 AS allowed, rule IN (1, 2, 3, 8) AS needs_agent,
-      false AS escalate, if(rule IN (1, 2), 0.0, 1.0) AS confidence,
+      false AS escalate, if(rule IN (1, 2), 0.0, 1.0)::DOUBLE AS confidence,
       CASE rule WHEN 1 THEN 'account context is required'
         WHEN 2 THEN 'order context is required for service-credit evaluation'
         WHEN 3 THEN 'pickup window end is unknown; service-credit eligibility cannot be verified'
@@ -470,7 +469,7 @@ _AUDIT = f"SELECT * EXCLUDE (acted_at), {_ts('acted_at')} AS created_at FROM aud
 _TOPK = """SELECT query_id, rank, chunk_id, score, document_id, content FROM (
   SELECT q.query_id, c.chunk_id, c.document_id, c.content, round(score, 6) AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank
-  FROM (SELECT label AS query_id, list(m ORDER BY i) AS v FROM (
+  FROM (SELECT label::BIGINT AS query_id, list(m ORDER BY i) AS v FROM (
       SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i)
     GROUP BY label) q,
     (SELECT *, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL) c,
@@ -545,16 +544,15 @@ _QUERIES: dict[str, str] = {
         NULL::TIMESTAMP AS pickup_actual_at, NULL::TIMESTAMP AS cancellation_requested_at, NULL::VARCHAR AS notes
         FROM shipments WHERE status <> 'BOOKED'""",
         ["account_id", "carrier", "status", *_ORDER_TIMES, "shipment_fee_inr", "carrier_fault", "customer_fault", "notes"])),
-    "upsert_tickets": f"""SELECT * REPLACE ({_ts('created_at')} AS created_at, {_ts('last_customer_message_at')} AS last_customer_message_at)
-        FROM (""" + _upsert("tickets", "ticket_id", """SELECT *, NULL::VARCHAR AS channel, NULL::VARCHAR AS assigned_to,
-        NULL::TIMESTAMP AS last_customer_message_at, NULL::VARCHAR AS historical_resolution FROM tickets WHERE status = 'open'""",
-        ["account_id", "status", "subject", "description", "channel", "assigned_to", "last_customer_message_at",
-         "historical_resolution", "created_at"], clocks=False).replace(" AS created_at\n", """ AS created_at,
-        if(s.ticket_id IS NULL, NULL, '2024-02-01 00:00:00.000000') AS updated_at\n""") + ")",
+    "upsert_tickets": _as_text(["created_at", "last_customer_message_at"], _upsert("tickets", "ticket_id",
+        """SELECT *, NULL::VARCHAR AS channel, NULL::VARCHAR AS assigned_to, NULL::TIMESTAMP AS last_customer_message_at,
+        NULL::VARCHAR AS historical_resolution FROM tickets WHERE status = 'open'""",
+        ["account_id", "created_at", "status", "subject", "description", "channel", "assigned_to",
+         "last_customer_message_at", "historical_resolution"],
+        created="created_record_at", before="NULL")),
     "upsert_documents": """SELECT filename, title, document_type, status, authority_rank, account_id,
           if(status = 'CURRENT', doc_id, top + row_number() OVER (PARTITION BY status = 'CURRENT' ORDER BY filename)) AS id,
-          if(status = 'CURRENT', '2024-01-01 00:00:00.000000', '2024-02-01 00:00:00.000000') AS created_at,
-          NULL::VARCHAR AS source_updated_at
+          if(status = 'CURRENT', '2024-01-01 00:00:00.000000', '2024-02-01 00:00:00.000000') AS created_at
         FROM registry, (SELECT max(doc_id) AS top FROM registry WHERE status = 'CURRENT')""",
     "assign_ids": """SELECT filename, (SELECT max(doc_id) FROM registry) + row_number() OVER (ORDER BY filename) AS id
         FROM files WHERE filename NOT IN (SELECT filename FROM registry)""",
@@ -563,7 +561,7 @@ _QUERIES: dict[str, str] = {
         UNION ALL SELECT document_id, chunk_index, content FROM short_chunks""",
     "cascade_delete_chunks": """SELECT document_id, chunk_index, strlen(content) AS bytes FROM plain_chunks
         WHERE document_id IN (SELECT document_id FROM doc_text WHERE lang <> 'en')""",
-    "store_embeddings": """SELECT vec_id AS chunk_id, if(vec_id % 34 = 0, NULL, 64) AS width,
+    "store_embeddings": """SELECT vec_id AS chunk_id, if(vec_id % 34 = 0, NULL, 64)::BIGINT AS width,
         if(vec_id % 34 = 0, NULL, round(-embedding[1]::DOUBLE, 6)) AS first_value FROM embeddings""",
     "store_embedding_errors": """SELECT vec_id AS chunk_id, 'invalid embedding dimension: got 63, expected 64' AS error
         FROM embeddings WHERE vec_id % 34 = 0""",
@@ -619,15 +617,17 @@ _QUERIES: dict[str, str] = {
     "stream_embed": """SELECT document_id, chunk_index, slot, round(weight, 5) AS weight FROM plain_vectors""",
     "embedding_backlog": """SELECT chunk_id, document_id, content FROM chunk_vectors WHERE embedding IS NULL
         ORDER BY chunk_id LIMIT 8""",
-    "embed_backlog": """SELECT chunk_id, 64 AS width, round(if(embedding IS NULL, 1.0,
+    "embed_backlog": """SELECT chunk_id, 64::BIGINT AS width, round(if(embedding IS NULL, 1.0,
         list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS square_sum FROM chunk_vectors""",
     "cosine_topk": f"SELECT query_id, rank, chunk_id, score FROM ({_TOPK})",
     "source_projection": f"SELECT query_id, rank, document_id, content, score FROM ({_TOPK})",
     "search_documents": """SELECT query_id, rank, document_id, md5(content) AS content_md5, score FROM (
         SELECT query_id, document_id, chunk_index, round(s, 5) AS score,
           row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, document_id, chunk_index) AS rank
-        FROM (SELECT q.item_id AS query_id, c.document_id, c.chunk_index, sum(q.weight * c.weight) AS s
-          FROM item_vectors q JOIN text_vectors c USING (slot) GROUP BY ALL)) JOIN chunks USING (document_id, chunk_index)
+        FROM (SELECT q.item_id AS query_id, c.document_id, c.chunk_index, sum(q.weight * c.weight) / any_value(q.size * c.size) AS s
+          FROM (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY item_id)) AS size FROM item_vectors) q
+          JOIN (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY document_id, chunk_index)) AS size FROM text_vectors) c
+            USING (slot) GROUP BY q.item_id, c.document_id, c.chunk_index)) JOIN chunks USING (document_id, chunk_index)
         WHERE rank <= 5""",
     "authority_rank": """SELECT account_id, document_type, filename, title, status, authority_rank,
           if(authority_rank = 2, '2024-01-01', NULL) AS effective_from

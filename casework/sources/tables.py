@@ -23,34 +23,32 @@ def upsert(
     key: str,
     seq: str,
     loaded_at: Column,
-    stamped: bool = True,
+    created: str = "created_at",
+    touched: str | None = "updated_at",
 ) -> DataFrame:
     """Insert or overwrite by key; nulls in the source do overwrite.
 
     Written as left join + unmatched rest rather than a full outer join: a small batch against a
     large table can then be broadcast (Catalyst checks its size) and the table is not shuffled.
-    ``stamped`` tables keep ``created_at`` and get ``updated_at`` = load time on a match.
+    ``created`` is the load time of a row's first load and stays; ``touched``, where the table
+    has one, is the load time of its last.
     """
     batch = dedupe_last(source, [key], seq).drop(seq)
-    clocks = {"created_at", "updated_at"} & set(target.columns) if stamped else set()
-    carried = [c for c in target.columns if c in batch.columns and c != key and c not in clocks]
+    clocks = [c for c in (created, touched) if c in target.columns]
+    carried = [c for c in target.columns if c in batch.columns and c not in (key, *clocks)]
     change = batch.select(key, F.struct(*carried).alias("_new"))
 
     hit = F.col("_new").isNotNull()
     updated = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in carried}
-    if "updated_at" in clocks:
-        updated["updated_at"] = F.when(hit, loaded_at).otherwise(F.col("updated_at"))
+    if touched in clocks:
+        updated[touched] = F.when(hit, loaded_at).otherwise(F.col(touched))
     kept = target.join(change, key, "left").withColumns(updated).select(*target.columns)
 
     known = target.join(batch.select(key), key, "left_semi").select(key)
     fresh = batch.join(known, key, "left_anti")
     types = {f.name: f.dataType for f in target.schema}
-    missing = {c: F.lit(None).cast(types[c]) for c in target.columns if c not in fresh.columns}
-    if "created_at" in target.columns:
-        missing["created_at"] = loaded_at.cast(types["created_at"])
-    if "updated_at" in clocks:
-        missing["updated_at"] = loaded_at.cast(types["updated_at"])
-    fresh = fresh.withColumns(missing).select(
+    missing = {c: F.lit(None) for c in target.columns if c not in fresh.columns}
+    fresh = fresh.withColumns({**missing, **dict.fromkeys(clocks, loaded_at)}).select(
         *[F.col(c).cast(types[c]).alias(c) for c in target.columns]
     )
     return kept.unionByName(fresh)
@@ -66,9 +64,7 @@ def upsert_documents(
     target: DataFrame, source: DataFrame, seq: str, loaded_at: Column
 ) -> DataFrame:
     """By filename; a known file keeps its id and creation time, a new one gets the next id."""
-    merged = upsert(
-        target, source.drop("id"), "filename", seq, loaded_at, stamped=False
-    )
+    merged = upsert(target, source.drop("id"), "filename", seq, loaded_at, touched=None)
     old = merged.where(F.col("id").isNotNull())
     new = assign_ids(merged.where(F.col("id").isNull()), target, ["filename"])
     return old.unionByName(new.select(*old.columns))
