@@ -8,7 +8,6 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casework.functions.text import normalize_match_text
 from casework.schemas import (
     AGREEMENT_PHRASES,
     CREDIT_OVERRIDE_PHRASES,
@@ -25,13 +24,13 @@ def _any_of(text: Column, phrases) -> Column:
     return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def phrase_flags(content: Column, account_name: Column) -> dict[str, Column]:
-    """Four booleans per chunk.
+def phrase_flags(text: Column, account_name: Column) -> dict[str, Column]:
+    """Four booleans per chunk, given its text after ``normalize_match_text``.
 
     The name is lower-cased but its own white space is left alone, so a name with doubled blanks
-    never matches normalised content, and an empty name matches every chunk.
+    never matches normalised content, and an empty name matches every chunk. The text is used
+    many times: have it as a column of its own, or it is normalised again for every phrase.
     """
-    text = normalize_match_text(content)
     named = F.contains(text, F.lower(account_name))
     return {
         "is_agreement": named & _all_of(text, AGREEMENT_PHRASES),

@@ -1,8 +1,4 @@
-"""Text normalisation and paragraph packing, as JVM-side column expressions.
-
-White space means the Unicode White_Space property throughout, hence ``(?U)``. Runs are matched
-possessively and only from their first character, so long runs cost linear time.
-"""
+"""Text normalisation and paragraph packing, as JVM-side column expressions."""
 
 from __future__ import annotations
 
@@ -11,13 +7,15 @@ from pyspark.sql import functions as F
 
 from casework.schemas import CHUNK_BYTES
 
-_OUTER_SPACE = r"(?U)\A\s++|(?<!\s)\s++\z"
-_LINE_BREAK = r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]*+\n\s*+"
+# fixed values: the code points with the Unicode White_Space property
+SPACES = "".join(
+    map(chr, (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+)
 
 
 def trim_space(c: Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(c, _OUTER_SPACE, "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def nullable_string(c: Column) -> Column:
@@ -26,13 +24,10 @@ def nullable_string(c: Column) -> Column:
 
 
 def normalize_document_text(c: Column) -> Column:
-    """LF line ends, trimmed lines, no blank lines.
-
-    A white-space run holding a line break is one break between two trimmed lines, so the
-    line-by-line rule becomes a single replacement and no array of lines is built.
-    """
-    unix = F.regexp_replace(c, r"\r\n?", "\n")
-    return trim_space(F.regexp_replace(unix, _LINE_BREAK, "\n"))
+    """LF line ends, trimmed lines, no blank lines."""
+    unix = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.transform(F.split(unix, "\n"), trim_space)
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def normalize_match_text(c: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,25 +36,16 @@ _SCORE_DIGITS = 12  # scores closer than this are ties, settled by chunk id
 def hash_embedding(rows: DataFrame, text: str, dims: int = VECTOR_WIDTH) -> DataFrame:
     """Adds ``embedding``: hashed term counts, L2-normalised, ``dims`` wide.
 
-    The provider that needs no network. A term's slot is the first 32 bits of its MD5 modulo
-    ``dims``; slots are counted row by row in the JVM, so nothing is shuffled. Text without
-    terms gives the zero vector.
+    The provider that needs no network: Spark's own term hashing, row by row in the JVM, so
+    nothing is shuffled. Text without terms gives the zero vector.
     """
-    terms = F.filter(F.split(normalize_match_text(F.col(text)), " "), lambda t: t != "")
-    slots = F.transform(
-        terms,
-        lambda t: F.pmod(F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint"), F.lit(dims))
-        .cast("string"),
-    )
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(dims)], inputCol="_slots", outputCol="_counts"
-    )
+    terms = F.split(normalize_match_text(F.coalesce(F.col(text), F.lit(""))), " ")
+    counter = HashingTF(numFeatures=dims, inputCol="_terms", outputCol="_counts")
     scaler = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
-    prepared = rows.withColumn("_slots", F.coalesce(slots, F.array().cast("array<string>")))
-    return (
-        scaler.transform(counter.transform(prepared))
-        .withColumn("embedding", vector_to_array("_unit", dtype="float32"))
-        .drop("_slots", "_counts", "_unit")
+    counted = counter.transform(rows.withColumn("_terms", F.array_remove(terms, "")))
+    unit = vector_to_array("_unit", dtype="float32")
+    return scaler.transform(counted).withColumn("embedding", unit).drop(
+        "_terms", "_counts", "_unit"
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from casework.sources.documents import spread_splits
+
 STAMP = "2026-08-16 11:00"
 
 
@@ -24,8 +26,17 @@ def conform(rows: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
+_SCHEMAS: dict[str, StructType] = {}
+_SPREAD = {"events": "event_id", "orders": "o_orderkey", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read from the files once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    scan = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spread_splits(scan, _SPREAD[name]) if name in _SPREAD else scan
 
 
 def accounts(spark, sf_dir) -> DataFrame:

@@ -27,7 +27,7 @@ from casework.workspace import fresh_path
 DIMS = 64  # width of the given vectors
 LOADED_AT = "2024-02-01 00:00:00"
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for hash_provider
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for digest_provider
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,7 +261,8 @@ def chunk_documents(spark, sf):
 def phrase_flags(spark, sf):
     rows = fx.policy_docs(spark, sf).join(
         fx.accounts(spark, sf).select("account_id", "account_name"), "account_id")
-    flags = phrases.phrase_flags(F.col("content"), F.col("account_name"))
+    rows = rows.withColumn("text", text.normalize_match_text(F.col("content")))
+    flags = phrases.phrase_flags(F.col("text"), F.col("account_name"))
     return rows.select("document_id", *[c.alias(n) for n, c in flags.items()])
 
 
@@ -342,8 +343,8 @@ def assemble_pages(spark, sf):
     return docs.assemble_pages(fx.doc_pages(spark, sf))
 
 
-def hash_provider(texts: list[str]) -> list[list[float]]:
-    """The hashed term counts of ``vectors.hash_embedding`` as a callable provider."""
+def digest_provider(texts: list[str]) -> list[list[float]]:
+    """Term counts by the first 32 bits of each term's MD5, L2-normalised."""
     out = []
     for t in texts:
         slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMS for w in t.lower().split()]
@@ -366,9 +367,9 @@ def hash_embedding(spark, sf):
 
 @query
 def embed_chunks(spark, sf):
-    """Chunks through a Python provider; agrees with the JVM one."""
+    """Chunks through a provider of one's own."""
     chunks = text.chunk_documents(fx.chunk_source(spark, sf))
-    return _weights(vectors.embed_chunks(chunks, "content", hash_provider, DIMS, batch=64),
+    return _weights(vectors.embed_chunks(chunks, "content", digest_provider, DIMS, batch=64),
                     "document_id", "chunk_index")
 
 

@@ -372,17 +372,50 @@ _CTES |= {"english": "SELECT document_id, text FROM doc_text WHERE lang = 'en'"}
 _CTES |= _chunks("short_chunks", "english", 600)
 
 
-def _hashed(name: str, source: str, keys: str, column: str) -> dict[str, str]:
-    """Normalised hashed term counts as (keys, slot, weight)."""
-    return {
-        f"{name}_terms": f"""SELECT {keys}, ('0x' || left(md5(t), 8))::BIGINT % 64 AS slot
-          FROM (SELECT {keys}, unnest(string_split({_match(column)}, ' ')) AS t FROM {source}) WHERE t <> ''""",
-        f"{name}_slots": f"SELECT {keys}, slot, count(*)::DOUBLE AS n FROM {name}_terms GROUP BY ALL",
-        name: f"""SELECT {keys}, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY {keys})))::FLOAT::DOUBLE AS weight FROM {name}_slots""",
+_MASK = "4294967295::UBIGINT"
+
+
+def _rotl(x: str, n: int) -> str:
+    return f"((({x}) << {n} | ({x}) >> {32 - n}) & {_MASK})"
+
+
+def _times(x: str, c: int) -> str:
+    return f"((({x}) * {c}::UBIGINT) & {_MASK})"
+
+
+def _murmur3(column: str, source: str) -> str:
+    """(term, h) with the 32-bit MurmurHash3, seed 42, of each distinct term's UTF-8 bytes."""
+    mixed = _times(_rotl(_times("k", 0xCC9E2D51), 15), 0x1B873593)
+    step = f"(({_times(_rotl('xor(h, k)', 13), 5)} + 3864292196::UBIGINT) & {_MASK})"
+    word = "".join(f" || substr(x, {8} * i + {o}, 2)" for o in (7, 5, 3, 1))[4:]
+    tail = " || ".join(f"coalesce(nullif(substr(x, 8 * (n // 4) + {o}, 2), ''), '00')" for o in (7, 5, 3, 1))
+    return f"""SELECT t, xor(f, f >> 16) AS h FROM (SELECT t, {_times('xor(e, e >> 13)', 0xC2B2AE35)} AS f
+      FROM (SELECT t, {_times('xor(d, d >> 16)', 0x85EBCA6B)} AS e
+      FROM (SELECT t, xor(xor(list_reduce(ks, lambda h, k: {step}, 42::UBIGINT), if(n % 4 = 0, 0::UBIGINT, last)), n::UBIGINT) AS d
+      FROM (SELECT t, n, list_transform(ks, lambda k: {mixed}) AS ks, {mixed.replace('(k)', '(k1)')} AS last
+      FROM (SELECT t, n, list_transform(range(n // 4), lambda i: ('0x' || {word})::UBIGINT) AS ks, ('0x' || {tail})::UBIGINT AS k1
+      FROM (SELECT t, strlen(t) AS n, hex(encode(t)) AS x FROM (SELECT DISTINCT {column} AS t FROM {source})))))))"""
+
+
+def _hashed(name: str, source: str, keys: str, column: str, by_digest: bool = False) -> dict[str, str]:
+    """Normalised hashed term counts as (keys, slot, weight).
+
+    The slot is the signed term hash modulo the width, brought above zero; or from the MD5.
+    """
+    slot = "('0x' || left(md5(t), 8))::BIGINT % 64" if by_digest else "(h & 63)::BIGINT"
+    hashes = "" if by_digest else f" JOIN {name}_hash USING (t)"
+    parts = {
+        f"{name}_terms": f"""SELECT {keys}, t FROM (SELECT {keys}, unnest(string_split({_match(column)}, ' ')) AS t
+          FROM {source}) WHERE t <> ''""",
+        f"{name}_slots": f"SELECT {keys}, {slot} AS slot, count(*)::DOUBLE AS n FROM {name}_terms{hashes} GROUP BY ALL",
+        name: f"""SELECT {keys}, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY {keys})))::FLOAT::DOUBLE AS weight
+          FROM {name}_slots""",
     }
+    return parts if by_digest else parts | {f"{name}_hash": _murmur3("t", f"{name}_terms")}
 
 
 _CTES |= _hashed("doc_vectors", "documents", "doc_id", "text")
+_CTES |= _hashed("digest_vectors", "chunks", "document_id, chunk_index", "content", by_digest=True)
 _CTES |= _hashed("text_vectors", "chunks", "document_id, chunk_index", "content")
 _CTES |= _hashed("item_vectors", "benchmark", "item_id", "text")
 
@@ -613,7 +646,7 @@ _QUERIES: dict[str, str] = {
         SELECT conv_id AS document, string_agg(if(turn % 7 = 6, NULL, text || chr(10)), '' ORDER BY turn) AS t
         FROM conversations GROUP BY conv_id)""",
     "hash_embedding": "SELECT doc_id, slot, round(weight, 5) AS weight FROM doc_vectors",
-    "embed_chunks": "SELECT document_id, chunk_index, slot, round(weight, 5) AS weight FROM text_vectors",
+    "embed_chunks": "SELECT document_id, chunk_index, slot, round(weight, 5) AS weight FROM digest_vectors",
     "stream_embed": """SELECT document_id, chunk_index, slot, round(weight, 5) AS weight FROM plain_vectors""",
     "embedding_backlog": """SELECT chunk_id, document_id, content FROM chunk_vectors WHERE embedding IS NULL
         ORDER BY chunk_id LIMIT 8""",

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions.scalars import (
-    bad_local_time,
     parse_bool,
     parse_fee,
     parse_local_time,
     parse_number,
 )
-from casework.functions.text import nullable_string
+from casework.functions.text import nullable_string, trim_space
 from casework.schemas import ORDER_STATUSES, PLANS, SNAPSHOT_MARKER, SNAPSHOT_STAMP
 from casework.sources.numbering import dense_numbers
 
@@ -55,8 +54,28 @@ def _cell(i: int) -> Column:
     return F.get("cells", F.lit(i))
 
 
-def _data_rows(sheet: DataFrame) -> DataFrame:
-    return sheet.where(F.col("row_no") > 1)
+def _typed_rows(sheet: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """Data rows with every cell read once.
+
+    ``inline`` keeps later filters on the results from being pushed below the parsing, where
+    they would repeat all of it.
+    """
+    values = F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))
+    return sheet.where(F.col("row_no") > 1).select(
+        "row_no", F.size("cells").alias("_width"), F.inline(values)
+    )
+
+
+def _time_cells(places: dict[str, int]) -> dict[str, Column]:
+    out = {}
+    for name, i in places.items():
+        out[name] = parse_local_time(_cell(i))
+        out[f"_no_{name}"] = trim_space(_cell(i)) == ""
+    return out
+
+
+def _bad_time(name: str) -> Column:
+    return F.col(name).isNull() & ~F.col(f"_no_{name}")
 
 
 def _row(name: str, detail: str) -> Column:
@@ -66,91 +85,91 @@ def _row(name: str, detail: str) -> Column:
 def _width_error(name: str, wanted: int, wording: str) -> Column:
     text = F.concat(
         _row(name, " has "),
-        F.size("cells").cast("string"),
+        F.col("_width").cast("string"),
         F.lit(f" columns, expected {wording}{wanted}"),
     )
-    return F.when(F.size("cells") < wanted, text)
+    return F.when(F.col("_width") < wanted, text)
+
+
+def _result(rows: DataFrame, reason: Column) -> DataFrame:
+    shown = [c for c in rows.columns if not c.startswith("_")]
+    return rows.select(*shown, reason.alias("reject_reason"))
 
 
 def parse_accounts(sheet: DataFrame) -> DataFrame:
     """Typed account rows with ``reject_reason`` (null = good)."""
-    premium = parse_bool(_cell(6))
+    rows = _typed_rows(
+        sheet,
+        {
+            **{n: _cell(i) for i, n in enumerate(("account_id", "account_name", "plan", "status"))},
+            "csm": nullable_string(_cell(4)),
+            "contract_file": nullable_string(_cell(5)),
+            "premium_support": parse_bool(_cell(6)),
+            "notes": nullable_string(_cell(7)),
+        },
+    )
     reason = (
         _width_error("accounts", 8, "")
-        .when(premium.isNull(), _row("accounts", ": invalid premium_support"))
-        .when(~_cell(2).isin(*PLANS), _row("insert account", ": plan is not allowed"))
-    )
-    return _data_rows(sheet).select(
-        "row_no",
-        _cell(0).alias("account_id"),
-        _cell(1).alias("account_name"),
-        _cell(2).alias("plan"),
-        _cell(3).alias("status"),
-        nullable_string(_cell(4)).alias("csm"),
-        nullable_string(_cell(5)).alias("contract_file"),
-        premium.alias("premium_support"),
-        nullable_string(_cell(7)).alias("notes"),
-        reason.alias("reject_reason"),
+        .when(F.col("premium_support").isNull(), _row("accounts", ": invalid premium_support"))
+        .when(~F.col("plan").isin(*PLANS), _row("insert account", ": plan is not allowed"))
     )
+    return _result(rows, reason)
 
 
 def parse_orders(sheet: DataFrame) -> DataFrame:
     """Typed order rows with ``reject_reason`` (null = good)."""
-    times = {
-        "booked_at": 4,
-        "pickup_window_start": 5,
-        "pickup_window_end": 6,
-        "pickup_actual_at": 7,
-        "cancellation_requested_at": 11,
-    }
-    bools = {"carrier_fault": 9, "customer_fault": 10}
+    windows = {"booked_at": 4, "pickup_window_start": 5, "pickup_window_end": 6, "pickup_actual_at": 7}
+    late = {"cancellation_requested_at": 11}
+    rows = _typed_rows(
+        sheet,
+        {
+            **{n: _cell(i) for i, n in enumerate(("order_id", "account_id", "carrier", "status"))},
+            **_time_cells(windows),
+            "_fee": parse_number(_cell(8)),
+            "shipment_fee_inr": parse_fee(_cell(8)),
+            "carrier_fault": parse_bool(_cell(9)),
+            "customer_fault": parse_bool(_cell(10)),
+            **_time_cells(late),
+            "notes": nullable_string(_cell(12)),
+        },
+    )
     reason = _width_error("orders", 13, "")
-    for name, i in times.items():
-        reason = reason.when(bad_local_time(_cell(i)), _row("orders", f" {name}"))
-    reason = reason.when(parse_number(_cell(8)).isNull(), _row("orders", " shipment_fee_inr"))
-    for name, i in bools.items():
-        reason = reason.when(parse_bool(_cell(i)).isNull(), _row("orders", f" {name}"))
+    for name in (*windows, *late):
+        reason = reason.when(_bad_time(name), _row("orders", f" {name}"))
+    reason = reason.when(F.col("_fee").isNull(), _row("orders", " shipment_fee_inr"))
+    for name in ("carrier_fault", "customer_fault"):
+        reason = reason.when(F.col(name).isNull(), _row("orders", f" {name}"))
     reason = reason.when(
-        parse_fee(_cell(8)).isNull(), _row("insert order", ": shipment_fee_inr is out of range")
-    ).when(~_cell(3).isin(*ORDER_STATUSES), _row("insert order", ": status is not allowed"))
-    return _data_rows(sheet).select(
-        "row_no",
-        _cell(0).alias("order_id"),
-        _cell(1).alias("account_id"),
-        _cell(2).alias("carrier"),
-        _cell(3).alias("status"),
-        *[parse_local_time(_cell(times[n])).alias(n) for n in list(times)[:4]],
-        parse_fee(_cell(8)).alias("shipment_fee_inr"),
-        *[parse_bool(_cell(i)).alias(n) for n, i in bools.items()],
-        parse_local_time(_cell(11)).alias("cancellation_requested_at"),
-        nullable_string(_cell(12)).alias("notes"),
-        reason.alias("reject_reason"),
+        F.col("shipment_fee_inr").isNull(),
+        _row("insert order", ": shipment_fee_inr is out of range"),
+    ).when(
+        ~F.col("status").isin(*ORDER_STATUSES), _row("insert order", ": status is not allowed")
     )
+    return _result(rows, reason)
 
 
 def parse_tickets(sheet: DataFrame) -> DataFrame:
     """Typed ticket rows with ``reject_reason`` (null = good); the tenth cell may be missing."""
-    created = parse_local_time(_cell(2))
-    reason = (
-        _width_error("tickets", 9, "at least ")
-        .when(bad_local_time(_cell(2)), _row("tickets", " created_at"))
-        .when(bad_local_time(_cell(8)), _row("tickets", " last_customer_message_at"))
-        .when(created.isNull(), _row("insert ticket", ": created_at is required"))
+    rows = _typed_rows(
+        sheet,
+        {
+            "ticket_id": _cell(0),
+            "account_id": _cell(1),
+            **_time_cells({"created_at": 2}),
+            **{n: _cell(i) for i, n in enumerate(("status", "subject", "description"), 3)},
+            "channel": nullable_string(_cell(6)),
+            "assigned_to": nullable_string(_cell(7)),
+            **_time_cells({"last_customer_message_at": 8}),
+            "historical_resolution": nullable_string(_cell(9)),
+        },
     )
-    return _data_rows(sheet).select(
-        "row_no",
-        _cell(0).alias("ticket_id"),
-        _cell(1).alias("account_id"),
-        created.alias("created_at"),
-        _cell(3).alias("status"),
-        _cell(4).alias("subject"),
-        _cell(5).alias("description"),
-        nullable_string(_cell(6)).alias("channel"),
-        nullable_string(_cell(7)).alias("assigned_to"),
-        parse_local_time(_cell(8)).alias("last_customer_message_at"),
-        nullable_string(_cell(9)).alias("historical_resolution"),
-        reason.alias("reject_reason"),
+    reason = _width_error("tickets", 9, "at least ")
+    for name in ("created_at", "last_customer_message_at"):
+        reason = reason.when(_bad_time(name), _row("tickets", f" {name}"))
+    reason = reason.when(
+        F.col("created_at").isNull(), _row("insert ticket", ": created_at is required")
     )
+    return _result(rows, reason)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
