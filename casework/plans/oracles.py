@@ -376,7 +376,7 @@ _MASK = "4294967295::UBIGINT"
 
 
 def _rotl(x: str, n: int) -> str:
-    return f"((({x}) << {n} | ({x}) >> {32 - n}) & {_MASK})"
+    return f"(((({x}) << {n}) | (({x}) >> {32 - n})) & {_MASK})"
 
 
 def _times(x: str, c: int) -> str:
