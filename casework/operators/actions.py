@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.scalars import credit_amount, stored_amount
+from casework.operators.joins import lookup
 from casework.schemas import ACTIVE_CREDIT_STATUSES
 
 CREDIT_TYPES = ("SERVICE_CREDIT", "SERVICE_CREDIT_APPROVAL")
@@ -81,7 +82,7 @@ def action_target_state(actions: DataFrame, orders: DataFrame, tickets: DataFram
         )
     ).withColumn("_found", F.lit(True))
     usable = actions.withColumn("error", _request_error()).withColumn("_kind", _kind())
-    joined = usable.join(states, ["_kind", "target_id"], "left")
+    joined = lookup(usable, states, ["_kind", "target_id"])
     error = F.coalesce("error", F.when(F.col("_found").isNull(), _load_error()))
     state = {c: F.when(error.isNull(), F.col(c)) for c in ("account_id", "target_status")}
     return joined.withColumns({**state, "error": error}).select(
@@ -173,7 +174,7 @@ def apply_action_sequence(
     )
     usable = prepared.where(F.col("_refused").isNull())
     states = _target_states(usable, orders, tickets, escalations, credits)
-    rows = prepared.join(states.withColumn("_found", F.lit(True)), ["_kind", "target_id"], "left")
+    rows = lookup(prepared, states.withColumn("_found", F.lit(True)), ["_kind", "target_id"])
 
     kind, target, seq = F.col("action_type"), F.col("target_id"), F.col("seq")
     status = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions.text import equal_fold
+from casework.operators.joins import lookup
 from casework.schemas import SECURITY_SUBJECT
 
 _NOT_FOUND = ": no rows in result set"
@@ -52,11 +53,17 @@ def account_tickets(tickets: DataFrame) -> DataFrame:
 def request_tickets(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     """The ranked tickets of every account that has a request."""
     wanted = requests.select("account_id").distinct()
-    return account_tickets(tickets.join(wanted, "account_id", "left_semi"))
+    return account_tickets(lookup(tickets, wanted, "account_id", "left_semi"))
 
 
-def request_account(requests: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Requests with their account; ``account_error`` where there is none."""
+def request_account(
+    requests: DataFrame, accounts: DataFrame, tickets: DataFrame | None = None
+) -> DataFrame:
+    """Requests with their account; ``account_error`` where there is none.
+
+    Given tickets, also the account's ``security_ticket_id``: accounts take it along before they
+    meet the requests, which are then shuffled once for both.
+    """
     side = accounts.select(
         "account_id",
         "account_name",
@@ -65,7 +72,9 @@ def request_account(requests: DataFrame, accounts: DataFrame) -> DataFrame:
         "premium_support",
         F.lit(True).alias("_found"),
     )
-    joined = requests.join(side, "account_id", "left")
+    if tickets is not None:
+        side = side.join(security_tickets(tickets), "account_id", "left")
+    joined = lookup(requests, side, "account_id")
     missing = F.concat(F.lit("load account: get account "), "account_id", F.lit(_NOT_FOUND))
     found = F.coalesce("_found", F.lit(False))
     return joined.withColumns(
@@ -76,7 +85,8 @@ def request_account(requests: DataFrame, accounts: DataFrame) -> DataFrame:
 def request_order(requests: DataFrame, orders: DataFrame) -> DataFrame:
     """Requests with their order. No order id means no order; an unknown one is an error."""
     side = orders.select(
-        F.col("order_id").alias("_order_id"),
+        "order_id",
+        F.lit(True).alias("_found"),
         F.col("account_id").alias("order_account_id"),
         F.col("status").alias("order_status"),
         "carrier",
@@ -87,8 +97,8 @@ def request_order(requests: DataFrame, orders: DataFrame) -> DataFrame:
         "booked_at",
     )
     given = F.nullif(F.col("order_id"), F.lit(""))
-    joined = requests.join(side, given == F.col("_order_id"), "left")
-    found = F.col("_order_id").isNotNull()
+    joined = lookup(requests, side, "order_id", given=given)
+    found = F.coalesce("_found", F.lit(False))
     missing = F.concat(F.lit("load order: get order "), "order_id", F.lit(_NOT_FOUND))
     return joined.withColumns(
         {
@@ -96,21 +106,14 @@ def request_order(requests: DataFrame, orders: DataFrame) -> DataFrame:
             "order_error": F.when(given.isNotNull() & ~found, missing),
             "order_account_mismatch": F.col("order_account_id") != F.col("account_id"),
         }
-    ).drop("_order_id")
+    ).drop("_found")
 
 
 def request_context(
     requests: DataFrame, accounts: DataFrame, orders: DataFrame, tickets: DataFrame
 ) -> DataFrame:
-    """One wide row per request, with ``error`` where loading stops.
-
-    Security tickets meet accounts first: both are one row per account, so the requests are
-    shuffled once for the pair of them.
-    """
-    known = request_account(requests, accounts)
-    flagged = security_tickets(tickets.join(accounts.select("account_id"), "account_id", "left_semi"))
-    with_tickets = known.join(flagged, "account_id", "left")
-    context = request_order(with_tickets, orders)
+    """One wide row per request, with ``error`` where loading stops."""
+    context = request_order(request_account(requests, accounts, tickets), orders)
     loading = F.coalesce("account_error", "order_error")
     error = F.when(F.col("query") == "", "query cannot be empty").when(
         loading.isNotNull(), F.concat(F.lit("load structured context: "), loading)

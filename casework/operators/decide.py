@@ -12,7 +12,7 @@ from casework.functions.phrases import phrase_flags
 from casework.functions.scalars import credit_amount, money_text
 from casework.functions.text import normalize_match_text
 from casework.operators.context import request_account, request_context, request_order
-from casework.operators.joins import HOT_ROWS, split_hot_join
+from casework.operators.joins import aggregate_apart, lookup
 from casework.schemas import (
     AGREEMENT_CONFIDENCE,
     CREDIT_APPROVAL_LIMIT,
@@ -25,25 +25,26 @@ from casework.schemas import (
 )
 
 
-def evidence_summary(names: DataFrame, evidence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def evidence_summary(names: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per request of ``names`` (request_id, account_name), what its chunks say.
 
     ``best_score`` is the maximum over all chunks and starts at 0; NaN scores never raise it.
     Requests without chunks have no row here: see ``with_evidence``.
     """
-    chunks = evidence.select("request_id", "document_id", "content", "score")
-    found = split_hot_join(chunks, names.select("request_id", "account_name"), "request_id",
-                           hot_rows=hot_rows)
+    chunks = evidence.select("request_id", "content", "score")
+    found = lookup(chunks, names.select("request_id", "account_name"), "request_id", "inner")
     said = found.withColumn("text", normalize_match_text(F.col("content")))
     flags = phrase_flags(F.col("text"), F.col("account_name"))
     flagged = said.select("request_id", "score", *[c.alias(n) for n, c in flags.items()])
     score = F.when(~F.isnan("score"), F.col("score"))
-    return flagged.groupBy("request_id").agg(
-        F.greatest(F.lit(0.0), F.coalesce(F.max(score), F.lit(0.0))).alias("best_score"),
-        F.count_if("is_agreement").alias("agreement_count"),
-        F.count_if("is_deny").alias("deny_count"),
-        F.bool_or("is_policy").alias("has_policy"),
-        F.bool_or("is_credit_override").alias("has_credit_override"),
+    return aggregate_apart(
+        flagged,
+        "request_id",
+        best_score=F.greatest(F.lit(0.0), F.coalesce(F.max(score), F.lit(0.0))),
+        agreement_count=F.count_if("is_agreement"),
+        deny_count=F.count_if("is_deny"),
+        has_policy=F.bool_or("is_policy"),
+        has_credit_override=F.bool_or("is_credit_override"),
     )
 
 
@@ -56,9 +57,8 @@ def with_evidence(requests: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def _names(requests: DataFrame, accounts: DataFrame) -> DataFrame:
-    return requests.select("request_id", "account_id").join(
-        accounts.select("account_id", "account_name"), "account_id"
-    )
+    ids = requests.select("request_id", "account_id")
+    return lookup(ids, accounts.select("account_id", "account_name"), "account_id", "inner")
 
 
 @dataclass(frozen=True)

@@ -1,45 +1,44 @@
-"""Joining many rows per key to one row per key when some keys are very common."""
+"""Joins and groupings that stay splittable when one key holds much of the table.
+
+Adaptive execution splits a skewed join only when both inputs come straight from a shuffle of
+their own and nothing above relies on the join's partitioning. A lookup table that was just
+aggregated by the key, or a grouping by the same key above the join, breaks that: the shuffle is
+shared and the hot key stays in one task. Wrapping the key in a struct makes it another key to
+the planner, so each side gets its own shuffle and the split goes ahead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+
+def _wrapped(*keys: Column) -> Column:
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def split_hot_join(
-    fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
+def lookup(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str | list[str],
+    how: str = "left",
+    given: Column | None = None,
 ) -> DataFrame:
-    """``fact`` joined to ``dim`` (one row per key), common keys spread over several tasks.
-
-    Plain lookups leave skew to adaptive execution. This form is for a lookup whose result is
-    grouped by the same key: there the join's partitioning is reused, so adaptive execution may
-    not split it. Keys with more than ``hot_rows`` rows get one salt per ``hot_rows`` rows and
-    ``dim`` is copied only for those. The broadcast list holds at most ``MAX_HOT_KEYS`` keys;
-    any key beyond them has under 1/MAX_HOT_KEYS of the rows and joins unsplit. The salt
-    depends on the row and its input partition only, so a task that runs again repeats it.
+    """``fact`` (any rows per key) joined to ``dim`` (at most one row per key).
+
+    ``given`` replaces the fact side of a single key. Null keys find nothing.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins keep one side's rows whole here")
-    counted = fact.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    hot = (
-        counted.orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
-    )
-    row_hash = F.xxhash64(*fact.columns, "_pid")
-    salted = (
-        fact.withColumn("_pid", F.spark_partition_id())
-        .join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(row_hash, F.col("_parts")).cast("int"), F.lit(0)))
-        .drop("_pid", "_parts")
-    )
-    last = F.coalesce(F.col("_parts") - 1, F.lit(0))
-    copies = (
-        dim.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_parts")
-    )
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    for k in keys:
+        dim = dim.where(F.col(k).isNotNull())
+    dim = dim.withColumnsRenamed({k: f"_dim_{k}" for k in keys})
+    fact_keys = [given] if given is not None else [F.col(k) for k in keys]
+    on = _wrapped(*fact_keys) == _wrapped(*[F.col(f"_dim_{k}") for k in keys])
+    return fact.join(dim, on, how).drop(*[f"_dim_{k}" for k in keys])
+
+
+def aggregate_apart(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """``rows`` grouped by ``key`` in a shuffle of its own, after map-side combining."""
+    grouped = rows.groupBy(F.struct(key).alias("_key"))
+    combined = grouped.agg(*[a.alias(n) for n, a in aggregates.items()])
+    return combined.select(f"_key.{key}", *aggregates)

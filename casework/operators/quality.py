@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.operators.joins import lookup
 from casework.schemas import (
     ACTIVE_CREDIT_STATUSES,
     CREDIT_STATUSES,
@@ -119,7 +120,7 @@ def check_foreign_keys(tables: Tables) -> DataFrame:
                 F.col(column).alias("_ref"), F.col(own).cast("string").alias("_key")
             )
             known = tables[parent].select(F.col(parent_column).alias("_ref"))
-            orphans = child.join(known, "_ref", "left_anti")
+            orphans = lookup(child, known, "_ref", "left_anti")
             parts.append(_report(orphans, f"{table}.{column} references {parent}", F.col("_key")))
     return _union(parts)
 

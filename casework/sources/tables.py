@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.payloads import chunk_metadata_json
+from casework.operators.joins import lookup
 from casework.schemas import VECTOR_WIDTH
 from casework.sources.numbering import dense_numbers
 
@@ -75,7 +76,7 @@ def replace_chunks(chunks: DataFrame, documents: DataFrame, new_chunks: DataFram
 
     A document with no new chunks still loses its old ones.
     """
-    kept = chunks.join(documents.select("document_id"), "document_id", "left_anti")
+    kept = lookup(chunks, documents.select("document_id"), "document_id", "left_anti")
     added = new_chunks.select(
         "document_id",
         "chunk_index",
@@ -109,7 +110,7 @@ def vector_errors(vectors: DataFrame, id_col: str, dims: int, kind: str) -> Data
 
 def cascade_delete_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks whose document still exists."""
-    return chunks.join(documents.select("document_id"), "document_id", "left_semi")
+    return lookup(chunks, documents.select("document_id"), "document_id", "left_semi")
 
 
 def append_audit(rows: DataFrame, path: str, batch_id: int) -> None:
