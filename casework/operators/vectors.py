@@ -220,7 +220,7 @@ def _against_blocks(
         return rows.withColumns(
             {
                 own: F.pmod(F.xxhash64(id_col), F.lit(n_own)),
-                other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("bigint"),
+                other: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))),
             }
         )
 
