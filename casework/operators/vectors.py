@@ -225,7 +225,9 @@ def _against_blocks(
         )
 
     left = blocks(vectors, "chunk_id", "_c", n_chunks, "_q", n_queries)
-    right = blocks(queries, "query_id", "_q", n_queries, "_c", n_chunks)
+    right = blocks(queries, "query_id", "_q", n_queries, "_c", n_chunks).withColumnRenamed(
+        "embedding", "asked"  # both sides may come from one table
+    )
 
     def run(chunk_side: pa.Table, query_side: pa.Table) -> pa.Table:
         if not query_side.num_rows or not chunk_side.num_rows:
@@ -236,7 +238,7 @@ def _against_blocks(
         )
         query_ids = query_side["query_id"].to_numpy()
         return _search(
-            iter([piece]), query_ids, _matrix(query_side["embedding"].combine_chunks(), dims), k
+            iter([piece]), query_ids, _matrix(query_side["asked"].combine_chunks(), dims), k
         )
 
     grid = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q"))
