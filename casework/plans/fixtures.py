@@ -27,16 +27,21 @@ def conform(rows: DataFrame, schema: StructType) -> DataFrame:
 
 
 _SCHEMAS: dict[str, StructType] = {}
+_FEW_SPLITS: dict[str, bool] = {}
 _SPREAD = {"events": "event_id", "orders": "o_orderkey", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the files once."""
+    """A given table; its files are looked at once for their schema and number of splits."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     scan = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return spread_splits(scan, _SPREAD[name]) if name in _SPREAD else scan
+    if name in _SPREAD and _FEW_SPLITS.get(path, True):
+        spread = spread_splits(scan, _SPREAD[name], _FEW_SPLITS.get(path))
+        _FEW_SPLITS[path] = spread is not scan
+        return spread
+    return scan
 
 
 def accounts(spark, sf_dir) -> DataFrame:
@@ -105,6 +110,7 @@ def requests_of(events: DataFrame, orders: DataFrame) -> DataFrame:
              ELSE concat('ORD-', event_id) END AS order_id""",
         """timestampadd(HOUR, (event_id * 13) % 12, cast(o_orderdate AS timestamp))
              AS requested_at""",
+        "event_type AS channel",
     )
 
 
@@ -137,12 +143,12 @@ DEFAULT_POLICY = "An order that is BOOKED, not yet PICKED_UP may be cancelled."
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    asked = requests(spark, sf_dir).select("request_id", "account_id")
+    asked = requests(spark, sf_dir).select("request_id", "account_id", "channel")
     own = asked.join(policy_docs(spark, sf_dir), "account_id").selectExpr(
         "request_id", "document_id", "content",
         "((request_id * 37 + document_id) % 60 + 40) / 100D AS score",
     )
-    default = asked.where("request_id % 4 <> 0").select(
+    default = asked.where("channel <> 'click'").select(
         "request_id", F.lit(0).cast("bigint").alias("document_id"),
         F.lit(DEFAULT_POLICY).alias("content"), F.lit(0.5).alias("score"),
     )
@@ -170,9 +176,9 @@ def actions(spark, sf_dir) -> DataFrame:
 
 
 def credits0(spark, sf_dir) -> DataFrame:
-    return shipments(spark, sf_dir).withColumn(
+    return shipments(spark, sf_dir).where("carrier = '1-URGENT'").withColumn(
         "k", F.expr("try_cast(substring(order_id, 5) AS bigint)")
-    ).where("k % 13 = 0").selectExpr(
+    ).selectExpr(
         "k AS id", "order_id", "account_id",
         "cast(10 + k % 90 AS decimal(12,2)) AS amount_inr", "'earlier' AS reason",
         """CASE k % 4 WHEN 0 THEN 'PENDING_APPROVAL' WHEN 1 THEN 'APPROVED'
@@ -182,12 +188,12 @@ def credits0(spark, sf_dir) -> DataFrame:
 
 
 def escalations0(spark, sf_dir) -> DataFrame:
-    return tickets(spark, sf_dir).withColumn(
+    return tickets(spark, sf_dir).where("status = 'closed'").withColumn(
         "k", F.expr("try_cast(substring(ticket_id, 5) AS bigint)")
-    ).where("k % 8 = 0").selectExpr(
+    ).selectExpr(
         "k AS id", "ticket_id", "account_id", "'earlier' AS reason",
-        "CASE WHEN k % 16 = 0 THEN 'P1' ELSE 'P2' END AS priority",
-        "CASE WHEN k % 16 = 0 THEN 'created' ELSE 'cancelled' END AS status",
+        "CASE WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END AS priority",
+        "CASE WHEN k % 2 = 0 THEN 'created' ELSE 'cancelled' END AS status",
         "'agent' AS requested_by", "created_at",
     )
 
@@ -326,7 +332,7 @@ def snapshot_notes(spark, sf_dir) -> DataFrame:
 
 
 def registry(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 10 <> 0").selectExpr(
+    return table(spark, sf_dir, "documents").where("source <> 'src1'").selectExpr(
         "concat('d', doc_id, '.pdf') AS filename",
         "concat(source, ' ', doc_id) AS title",
         """CASE doc_id % 3 WHEN 0 THEN 'support_policy' WHEN 1 THEN 'cancellation_sop'

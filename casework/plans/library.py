@@ -22,9 +22,10 @@ from casework.schemas import ACCOUNTS, ORDERS, TICKETS
 from casework.sources import documents as docs
 from casework.sources import sheets, tables
 from casework.streaming import flows
-from casework.workspace import fresh_path
+from casework.workspace import freeze, fresh_path
 
 DIMS = 64  # width of the given vectors
+CHUNKS_PER_DOCUMENT = 10_000_000  # more than a 2 GB text can have
 LOADED_AT = "2024-02-01 00:00:00"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for digest_provider
@@ -404,7 +405,7 @@ def source_projection(spark, sf):
 def search_documents(spark, sf):
     """Benchmark items as text queries over the chunks of all documents."""
     chunks = text.chunk_documents(fx.chunk_source(spark, sf)).withColumn(
-        "chunk_id", F.col("document_id") * 100_000 + F.col("chunk_index"))
+        "chunk_id", F.col("document_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_index"))
     embedded = vectors.embed_chunks(chunks, "content", "hash", DIMS)
     queries = fx.table(spark, sf, "benchmark").selectExpr("item_id AS query_id", "text AS query")
     found = vectors.search_documents(queries, embedded, 5, "hash", DIMS)
@@ -700,11 +701,14 @@ def stream_embed(spark, sf):
 # --- integrity --------------------------------------------------------------
 
 
-def _tables(spark, sf) -> quality.Tables:
-    """Loaded as they come, so that repeats, gaps and strays are still there."""
-    parsed = _parsed(spark, sf)
+def _tables(spark, sf, stored: bool = False) -> quality.Tables:
+    """Loaded as they come, so that repeats, gaps and strays are still there.
+
+    ``stored`` writes the parsed rows down first, for checks that read them several times.
+    """
+    loaded = {n: p.drop("reject_reason") for n, p in _parsed(spark, sf).items()}
     return {
-        **{n: p.drop("reject_reason") for n, p in parsed.items()},
+        **{n: freeze(p, n) if stored else p for n, p in loaded.items()},
         "documents": fx.known_documents(spark, sf),
         "escalations": fx.escalations0(spark, sf),
         "service_credits": fx.credits0(spark, sf),
@@ -725,8 +729,8 @@ def check_not_null(spark, sf):
 def check_foreign_keys(spark, sf):
     """Also chunks against the registered documents."""
     chunks = text.chunk_documents(fx.chunk_source(spark, sf)).withColumn(
-        "id", F.col("document_id") * 100_000 + F.col("chunk_index"))
-    return quality.check_foreign_keys({**_tables(spark, sf), "document_chunks": chunks})
+        "id", F.col("document_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_index"))
+    return quality.check_foreign_keys({**_tables(spark, sf, stored=True), "document_chunks": chunks})
 
 
 @query

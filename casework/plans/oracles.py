@@ -78,7 +78,7 @@ _CTES: dict[str, str] = {
           ELSE 'ACCT-' || o_custkey END AS account_id,
         CASE WHEN event_id % 53 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'ORD-NONE'
           ELSE 'ORD-' || event_id END AS order_id,
-        o_orderdate + to_hours((event_id * 13) % 12) AS requested_at
+        o_orderdate + to_hours((event_id * 13) % 12) AS requested_at, event_type AS channel
         FROM events JOIN orders ON o_orderkey = event_id""",
     "policy_docs": """SELECT 'ACCT-' || c_custkey AS account_id, c_custkey * 10 + slot AS document_id, content
         FROM (
@@ -93,7 +93,7 @@ _CTES: dict[str, str] = {
           ((request_id * 37 + document_id) % 60 + 40) / 100.0::DOUBLE AS score
         FROM requests JOIN policy_docs USING (account_id)
         UNION ALL SELECT request_id, 0, 'An order that is BOOKED, not yet PICKED_UP may be cancelled.', 0.5
-        FROM requests WHERE request_id % 4 <> 0""",
+        FROM requests WHERE channel <> 'click'""",
     "flags": f"""SELECT request_id, document_id, score,
           contains(t, n) AND contains(t, 'may cancel any booked shipment') AND contains(t, 'before pickup')
             AND contains(t, 'no cancellation fee') AS is_agreement,
@@ -168,10 +168,10 @@ _CTES: dict[str, str] = {
         FROM events WHERE event_type IN ('purchase', 'signup')""",
     "credits0": """SELECT k AS id, order_id, account_id, cast(10 + k % 90 AS decimal(12,2)) AS amount_inr,
           'earlier' AS reason, ['PENDING_APPROVAL', 'APPROVED', 'ISSUED', 'REJECTED'][k % 4 + 1] AS status,
-          'agent' AS requested_by, booked_at AS created_at FROM shipments WHERE k % 13 = 0""",
-    "escalations0": """SELECT k AS id, ticket_id, account_id, 'earlier' AS reason, if(k % 16 = 0, 'P1', 'P2') AS priority,
-          if(k % 16 = 0, 'created', 'cancelled') AS status, 'agent' AS requested_by, created_at
-        FROM tickets WHERE k % 8 = 0""",
+          'agent' AS requested_by, booked_at AS created_at FROM shipments WHERE carrier = '1-URGENT'""",
+    "escalations0": """SELECT k AS id, ticket_id, account_id, 'earlier' AS reason, if(k % 2 = 0, 'P1', 'P2') AS priority,
+          if(k % 2 = 0, 'created', 'cancelled') AS status, 'agent' AS requested_by, created_at
+        FROM tickets WHERE status = 'closed'""",
     "checked": """SELECT *, CASE WHEN action_type = 'REFUND' THEN 'unsupported action type: REFUND'
             WHEN target_id <> '' THEN NULL
             WHEN action_type = 'ESCALATE' THEN 'ticket ID is required for escalation'
@@ -315,7 +315,7 @@ _CTES: dict[str, str] = {
           ['support_policy', 'cancellation_sop', 'customer_agreement'][doc_id % 3 + 1] AS document_type,
           ['DEPRECATED', 'ACTIVE', 'CURRENT', 'CURRENT'][doc_id % 4 + 1] AS status, doc_id % 4 + 1 AS authority_rank,
           if(doc_id % 3 = 2, 'ACCT-' || (doc_id % 50), NULL) AS account_id, doc_id
-        FROM documents WHERE doc_id % 10 <> 0""",
+        FROM documents WHERE source <> 'src1'""",
     "files": """SELECT doc_id AS document_id, 'd' || doc_id || CASE doc_id % 13 WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt'
           ELSE '.pdf' END AS filename FROM documents""",
     "chunk_source": """SELECT doc_id AS document_id, CASE doc_id % 4
@@ -520,7 +520,7 @@ _FOREIGN_KEYS = [
 ]
 _CTES |= {
     "known_docs": "SELECT doc_id AS id, * FROM registry",
-    "id_chunks": "SELECT document_id * 100000 + chunk_index AS id, document_id FROM chunks",
+    "id_chunks": "SELECT document_id * 10000000 + chunk_index AS id, document_id FROM chunks",
 }
 
 

@@ -9,6 +9,7 @@ from casework.functions.payloads import chunk_metadata_json
 from casework.operators.joins import lookup
 from casework.schemas import VECTOR_WIDTH
 from casework.sources.numbering import dense_numbers
+from casework.workspace import freeze
 
 
 def dedupe_last(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -29,12 +30,14 @@ def upsert(
 ) -> DataFrame:
     """Insert or overwrite by key; nulls in the source do overwrite.
 
-    Written as left join + unmatched rest rather than a full outer join: a small batch against a
-    large table can then be broadcast (Catalyst checks its size) and the table is not shuffled.
+    The deduplicated batch is written down once, as it is read three times: for the matches, for
+    the keys already there, and for the rest. Left join + rest instead of a full outer join,
+    because a small batch can then be broadcast (Catalyst knows its size) and the table is not
+    shuffled.
     ``created`` is the load time of a row's first load and stays; ``touched``, where the table
     has one, is the load time of its last.
     """
-    batch = dedupe_last(source, [key], seq).drop(seq)
+    batch = freeze(dedupe_last(source, [key], seq).drop(seq), "batch")
     clocks = [c for c in (created, touched) if c in target.columns]
     carried = [c for c in target.columns if c in batch.columns and c not in (key, *clocks)]
     change = batch.select(key, F.struct(*carried).alias("_new"))
