@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.text import equal_fold
 from casework.operators.joins import lookup
 from casework.schemas import SECURITY_SUBJECT
+from casework.sources.numbering import dense_numbers
 
 _NOT_FOUND = ": no rows in result set"
 
@@ -26,27 +27,17 @@ def account_tickets(tickets: DataFrame) -> DataFrame:
     """All tickets with their ``position`` per account, newest first, one row per ticket.
 
     Requests refer to these rows by account; a copy per request would multiply a busy account's
-    requests by its tickets. Positions are counted within the hour and shifted by the number of
-    tickets in later hours, so one account's tickets never have to be sorted in one task.
+    requests by its tickets. All tickets are numbered in one range-partitioned order, and an
+    account's positions count from its first number: no account has to fit in one task, however
+    many tickets it has or how close together they came.
     """
-    hourly = tickets.withColumn("_hour", F.date_trunc("hour", "created_at"))
-    per_hour = hourly.groupBy("account_id", "_hour").agg(F.count("*").alias("_n"))
-    later = (
-        Window.partitionBy("account_id")
-        .orderBy(F.desc("_hour"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifted = per_hour.select(
-        "account_id", "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later")
-    )
-    in_hour = Window.partitionBy("account_id", "_hour").orderBy(
-        F.desc("created_at"), F.desc("ticket_id")
-    )
-    return (
-        hourly.withColumn("_in_hour", F.row_number().over(in_hour))
-        .join(shifted, ["account_id", "_hour"])
-        .withColumn("position", F.col("_later") + F.col("_in_hour"))
-        .select("account_id", "position", "ticket_id", "status", "subject", "created_at")
+    kept = tickets.select("account_id", "ticket_id", "status", "subject", "created_at")
+    order = [F.asc("account_id"), F.desc("created_at"), F.desc("ticket_id")]
+    numbered = dense_numbers(kept, order, "_n")
+    firsts = numbered.groupBy("account_id").agg(F.min("_n").alias("_first"))
+    placed = lookup(numbered, firsts, "account_id")
+    return placed.withColumn("position", F.col("_n") - F.col("_first") + 1).select(
+        "account_id", "position", "ticket_id", "status", "subject", "created_at"
     )
 
 

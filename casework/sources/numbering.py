@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.workspace import freeze
@@ -10,7 +10,9 @@ from casework.workspace import freeze
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def dense_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+def dense_numbers(
+    rows: DataFrame, order: list[str | Column], name: str, start: int = 0
+) -> DataFrame:
     """Adds ``name`` = start + 1, start + 2, … in ``order``.
 
     Rows are range-partitioned and sorted, their (partition, position) is written down once, and

@@ -83,6 +83,17 @@ def applied_state(
     )
 
 
+def read_outcomes(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
+    """The logged outcomes, of batches earlier than ``before`` where given."""
+    if before == 0:
+        return spark.createDataFrame([], OUTCOMES)
+    folders = [f"{log.rstrip('/')}/batch=*"]
+    if before is not None:
+        folders = [batch_folder(log, i) for i in range(before)]
+    rows = spark.read.schema(OUTCOMES).option("basePath", log).parquet(*folders)
+    return rows.select(*OUTCOMES.fieldNames())
+
+
 def stream_apply(
     actions: DataFrame,
     orders: DataFrame,
@@ -97,21 +108,21 @@ def stream_apply(
     The log is the only thing written, so a batch lands whole or not at all; new orders,
     escalations, credits and audit rows follow from it (``applied_state``, ``audit_rows``). A
     batch reads the base tables and the folders of earlier batches only, so running it again
-    gives the same folder again. ``seq`` must grow from batch to batch.
+    gives the same folder again. Only executed outcomes change state, and they have a partition
+    of their own: what a batch reads back is bounded by the orders and tickets there are, not by
+    the actions ever sent. ``seq`` must grow from batch to batch.
     """
     spark = actions.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        past = spark.createDataFrame([], OUTCOMES)
-        if batch_id:
-            earlier = [batch_folder(log, i) for i in range(batch_id)]
-            past = spark.read.schema(OUTCOMES).parquet(*earlier)
+        past = read_outcomes(spark, log, batch_id).where("outcome = 'executed'")
         state = applied_state(past, orders, escalations, credits)
         batch.persist()
         try:
             done = apply_action_sequence(batch, state[0], tickets, state[1], state[2])
-            done = done.select(*OUTCOMES.fieldNames())
-            done.write.mode("overwrite").parquet(batch_folder(log, batch_id))
+            done.select(*OUTCOMES.fieldNames()).write.mode("overwrite").partitionBy(
+                "outcome"
+            ).parquet(batch_folder(log, batch_id))
         finally:
             batch.unpersist()
 
@@ -123,10 +134,6 @@ def stream_apply(
     )
 
 
-def read_outcomes(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema(OUTCOMES).parquet(f"{log.rstrip('/')}/batch=*")
-
-
 def logged_audit(spark: SparkSession, log: str) -> DataFrame:
     return audit_rows(read_outcomes(spark, log))
 

@@ -48,6 +48,18 @@ def test_hot_account_is_split(spark, skewed):
         "cast(substring(account_id, 2) AS int) < 1500").count()
 
 
+def test_hot_account_of_one_instant_is_ranked_whole(spark, skewed):
+    tickets = numbers(spark, 30_000).selectExpr("concat('T', lpad(id, 6, '0')) AS ticket_id", "if(hot, 'A0', concat('A', id % 500)) AS account_id",
+                                                "timestamp'2026-01-01' AS created_at", "'open' AS status", "'s' AS subject")
+    ranked = context.account_tickets(tickets)
+    assert "Window [row_number" not in final_plan(ranked)
+    per = ranked.groupBy("account_id").agg(F.count("*").alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"),
+                                           F.countDistinct("position").alias("d"), F.min_by("ticket_id", "position").alias("first"),
+                                           F.max("ticket_id").alias("newest"))
+    assert per.where("lo <> 1 OR hi <> n OR d <> n OR first <> newest").isEmpty()
+    assert ranked.count() == 30_000
+
+
 def test_hot_request_evidence_is_split(spark, skewed):
     evidence = numbers(spark).selectExpr("if(hot, 7L, id % 3000) AS request_id", "id AS document_id",
                                          "concat('name7 cannot cancel ', md5(cast(id AS string))) AS content", "id / 60000D AS score")
