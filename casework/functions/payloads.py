@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.functions.rows import computed_once
 from casework.functions.text import trim_space
 from casework.schemas import CONFIRM_BODY_BYTES, DOCUMENT_SOURCE, EVALUATE_BODY_BYTES
 
@@ -67,10 +68,15 @@ def validate_requests(
 ) -> DataFrame:
     """Adds query, account_id, order_id and ``error`` (null = accepted)."""
     names = ["query", "account_id", "order_id"]
-    rows = _with_members(lines, body, names)
-    rows = rows.withColumns({f"_t_{n}": _text(n) for n in names})
-    error = F.when(_undecodable(body, max_bytes, dict.fromkeys(names, "STRING")), _INVALID)
-    error = error.when(~_single_value(F.col(body)), _NOT_SINGLE)
+    rows = computed_once(
+        _with_members(lines, body, names),
+        {
+            **{f"_t_{n}": _text(n) for n in names},
+            "_bad": _undecodable(body, max_bytes, dict.fromkeys(names, "STRING")),
+            "_single": _single_value(F.col(body)),
+        },
+    )
+    error = F.when(F.col("_bad"), _INVALID).when(~F.col("_single"), _NOT_SINGLE)
     for n in names:
         error = error.when(F.col(f"_t_{n}") == "", f"{n} is required")
     rows = rows.withColumn("error", error)
@@ -84,20 +90,29 @@ def validate_confirmations(
     lines: DataFrame, body: str = "body", max_bytes: int = CONFIRM_BODY_BYTES
 ) -> DataFrame:
     """Adds confirmation_id, confirm and ``error``; an absent ``confirm`` is a rejection."""
-    rows = _with_members(lines, body, ["confirmation_id", "confirm"])
-    typed = {"confirmation_id": "STRING", "confirm": "BOOLEAN"}
+    answer = F.try_variant_get("_confirm", "$", "boolean")
+    rows = computed_once(
+        _with_members(lines, body, ["confirmation_id", "confirm"]),
+        {
+            "_t_id": _text("confirmation_id"),
+            "_answer": F.coalesce(answer, F.lit(False)),
+            "_bad": _undecodable(
+                body, max_bytes, {"confirmation_id": "STRING", "confirm": "BOOLEAN"}
+            ),
+            "_single": _single_value(F.col(body)),
+        },
+    )
     error = (
-        F.when(_undecodable(body, max_bytes, typed), _INVALID)
-        .when(~_single_value(F.col(body)), _NOT_SINGLE)
-        .when(_text("confirmation_id") == "", "confirmation_id is required")
+        F.when(F.col("_bad"), _INVALID)
+        .when(~F.col("_single"), _NOT_SINGLE)
+        .when(F.col("_t_id") == "", "confirmation_id is required")
     )
     rows = rows.withColumn("error", error)
     accepted = F.col("error").isNull()
-    answer = F.coalesce(F.try_variant_get("_confirm", "$", "boolean"), F.lit(False))
     return rows.select(
         *lines.columns,
-        F.when(accepted, _text("confirmation_id")).alias("confirmation_id"),
-        F.when(accepted, answer).alias("confirm"),
+        F.when(accepted, F.col("_t_id")).alias("confirmation_id"),
+        F.when(accepted, F.col("_answer")).alias("confirm"),
         "error",
     )
 

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.functions.rows import computed_once
 from casework.functions.text import normalize_match_text
 from casework.schemas import EMBEDDING_BATCH, RETRIEVAL_DEPTH, VECTOR_WIDTH
 from casework.sources.tables import store_embeddings
@@ -44,7 +45,7 @@ def hash_embedding(rows: DataFrame, text: str, dims: int = VECTOR_WIDTH) -> Data
     scaler = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
     counted = counter.transform(rows.withColumn("_terms", F.array_remove(terms, "")))
     unit = vector_to_array("_unit", dtype="float32")
-    return scaler.transform(counted).withColumn("embedding", unit).drop(
+    return computed_once(scaler.transform(counted), {"embedding": unit}).drop(
         "_terms", "_counts", "_unit"
     )
 
@@ -73,7 +74,8 @@ def embed_column(provider: Provider, batch: int = EMBEDDING_BATCH):
             yield out
 
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(embed, "array<float>")
+    # Called non-deterministic so that no filter makes Spark call the provider twice per row.
+    return F.pandas_udf(embed, "array<float>").asNondeterministic()
 
 
 def embed_chunks(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casework.functions.rows import computed_once
 from casework.functions.scalars import (
     parse_bool,
     parse_fee,
@@ -55,15 +56,10 @@ def _cell(i: int) -> Column:
 
 
 def _typed_rows(sheet: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """Data rows with every cell read once.
-
-    ``inline`` keeps later filters on the results from being pushed below the parsing, where
-    they would repeat all of it.
-    """
-    values = F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))
-    return sheet.where(F.col("row_no") > 1).select(
-        "row_no", F.size("cells").alias("_width"), F.inline(values)
-    )
+    """Data rows with every cell read once."""
+    width = F.size("cells").alias("_width")
+    rows = sheet.where(F.col("row_no") > 1).select("row_no", "cells", width)
+    return computed_once(rows, cells).drop("cells")
 
 
 def _time_cells(places: dict[str, int]) -> dict[str, Column]:
