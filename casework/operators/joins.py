@@ -24,7 +24,7 @@ def lookup(
     how: str = "left",
     given: Column | None = None,
 ) -> DataFrame:
-    """``fact`` (any rows per key) joined to ``dim`` (at most one row per key).
+    """``fact`` (any rows per key) joined to ``dim`` (one row per key, or a few).
 
     ``given`` replaces the fact side of a single key. Null keys find nothing.
     """

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from casework.functions.rows import computed_once
 from casework.functions.text import normalize_match_text
+from casework.operators.joins import lookup
 from casework.schemas import EMBEDDING_BATCH, RETRIEVAL_DEPTH, VECTOR_WIDTH
+from casework.sources.numbering import dense_numbers
 from casework.sources.tables import store_embeddings
 
 # Executors need not have this package installed: its functions travel with the task.
@@ -73,6 +75,7 @@ def embed_column(provider: Provider, batch: int = EMBEDDING_BATCH):
             out.loc[known.index] = pd.Series(vectors, index=known.index, dtype=object)
             yield out
 
+    # Spark reads the kind of function off these, and wants types rather than their names.
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     # Called non-deterministic so that no filter makes Spark call the provider twice per row.
     return F.pandas_udf(embed, "array<float>").asNondeterministic()
@@ -305,6 +308,26 @@ def search_documents(
     return source_projection(cosine_topk(chunks, vectors, k, dims), chunks)
 
 
+def retrieve_evidence(
+    requests: DataFrame,
+    chunks: DataFrame,
+    k: int = RETRIEVAL_DEPTH,
+    provider: str | Provider = "hash",
+    dims: int = VECTOR_WIDTH,
+) -> DataFrame:
+    """Evidence for requests (request_id, query): the k nearest chunks to each query.
+
+    Equal queries find equal chunks, so each distinct text is embedded and searched once and its
+    hits are joined back to all requests that ask it.
+    """
+    asked = requests.where(F.col("query") != "").select("request_id", "query")
+    texts = dense_numbers(asked.select("query").distinct(), ["query"], "query_id")
+    hits = search_documents(texts, chunks, k, provider, dims).join(texts, "query_id")
+    return lookup(
+        asked, hits.select("query", "document_id", "content", "score"), "query", "inner"
+    ).select("request_id", "document_id", "content", "score")
+
+
 def search_errors(queries: DataFrame) -> DataFrame:
     blank = F.coalesce("query", F.lit("")) == ""
     return queries.where(blank).select("query_id", F.lit("query cannot be empty").alias("error"))

@@ -142,6 +142,15 @@ def policy_docs(spark, sf_dir) -> DataFrame:
 DEFAULT_POLICY = "An order that is BOOKED, not yet PICKED_UP may be cancelled."
 
 
+def policy_chunks(spark, sf_dir) -> DataFrame:
+    """Every account's documents and the default policy, each one chunk."""
+    own = policy_docs(spark, sf_dir).select("document_id", "content")
+    default = spark.range(1).select(
+        F.lit(0).cast("bigint").alias("document_id"), F.lit(DEFAULT_POLICY).alias("content")
+    )
+    return own.unionByName(default).withColumn("chunk_id", F.col("document_id"))
+
+
 def evidence(spark, sf_dir) -> DataFrame:
     asked = requests(spark, sf_dir).select("request_id", "account_id", "channel")
     own = asked.join(policy_docs(spark, sf_dir), "account_id").selectExpr(

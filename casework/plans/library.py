@@ -470,6 +470,19 @@ def evaluate_requests(spark, sf):
     return _with_action(decide.evaluate_requests(*_case_tables(spark, sf)))
 
 
+@query
+def evaluate_with_retrieval(spark, sf):
+    """Evidence found by search instead of given: one standing question per channel."""
+    requests, accounts, orders, tickets, _ = _case_tables(spark, sf)
+    asking = F.concat(F.lit("Which customer may cancel a BOOKED shipment before pickup? "), "channel")
+    requests = requests.withColumn("query", F.when(F.col("query") != "", asking).otherwise(""))
+    chunks = fx.policy_chunks(spark, sf)
+    embedded = vectors.embed_chunks(chunks, "content", "hash", DIMS)
+    evidence = vectors.retrieve_evidence(requests, embedded, 5, "hash", DIMS)
+    decided = decide.evaluate_requests(requests, accounts, orders, tickets, evidence)
+    return _with_action(decided).withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def service_credit_decision(spark, sf):
     return _with_action(decide.service_credit_decisions(*_case_tables(spark, sf)))

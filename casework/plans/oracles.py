@@ -5,6 +5,8 @@ Each oracle is one statement: the derived tables it needs, then its own query.
 
 from __future__ import annotations
 
+import re
+
 _SPACES = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 _WS = "(" + " || ".join(f"chr({c})" for c in _SPACES) + ")"
 _WS_CLASS = "[" + "".join(rf"\x{{{c:X}}}" for c in _SPACES) + "]+"
@@ -420,6 +422,29 @@ _CTES |= _hashed("text_vectors", "chunks", "document_id, chunk_index", "content"
 _CTES |= _hashed("item_vectors", "benchmark", "item_id", "text")
 
 
+# The same rules over evidence found by search.
+_CTES |= {
+    "r_requests": """SELECT request_id, account_id, order_id, requested_at, channel, if(query = '', '',
+        'Which customer may cancel a BOOKED shipment before pickup? ' || channel) AS query FROM requests""",
+    "policy_chunks": """SELECT document_id, content FROM policy_docs
+        UNION ALL SELECT 0, 'An order that is BOOKED, not yet PICKED_UP may be cancelled.'""",
+    "r_texts": "SELECT DISTINCT query FROM r_requests WHERE query <> ''",
+    **_hashed("policy_vectors", "policy_chunks", "document_id", "content"),
+    **_hashed("question_vectors", "r_texts", "query", "query"),
+    "r_hits": """SELECT query, document_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query
+          ORDER BY round(s, 12) DESC, document_id) AS rank
+        FROM (SELECT q.query, c.document_id, sum(q.weight * c.weight) / any_value(q.size * c.size) AS s
+          FROM (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY query)) AS size FROM question_vectors) q
+          JOIN (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY document_id)) AS size FROM policy_vectors) c
+            USING (slot) GROUP BY q.query, c.document_id)) WHERE rank <= 5""",
+    "r_evidence": """SELECT request_id, document_id, content, score
+        FROM r_requests JOIN r_hits USING (query) JOIN policy_chunks USING (document_id)""",
+}
+_SEARCHED = ("requests", "evidence", "flags", "summary", "context", "ruled", "decisions")
+for _name in _SEARCHED[2:]:
+    _CTES[f"r_{_name}"] = re.sub(rf"(?<=FROM |JOIN )({'|'.join(_SEARCHED)})\b", r"r_\1", _CTES[_name])
+
+
 def _with(query: str) -> str:
     """The query with the derived tables it mentions, each after those it mentions itself."""
     names = {head.split("(")[0]: head for head in _CTES}
@@ -682,6 +707,7 @@ _QUERIES: dict[str, str] = {
     "credit_evidence": "SELECT request_id, has_credit_override FROM summary",
     "evaluate_requests": _EVALUATE,
     "stream_evaluate": _EVALUATE,
+    "evaluate_with_retrieval": f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({_EVALUATE.replace('decisions', 'r_decisions')})",
     "service_credit_decision": _credit_sql(500.0),
     "service_credit_approval": _credit_sql(2000.0),
     "confirmation_gate": """SELECT request_id, ok AS confirmation_required,

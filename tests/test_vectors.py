@@ -126,3 +126,14 @@ def test_search_finds_the_chunk_that_says_it(spark):
     found = vectors.search_documents(queries, chunks, 1, "hash", 256)
     assert rows_of(found, "query_id", "document_id", "content") == [(1, 12, "api key exposure")]
     assert rows_of(vectors.search_errors(queries)) == [(2, "query cannot be empty"), (3, "query cannot be empty")]
+
+
+def test_evidence_is_searched_once_per_text(spark):
+    texts = ["pickup delayed by carrier", "fee schedule for returns", "api key exposure"]
+    chunks = spark.createDataFrame([(i, 10 + i, t) for i, t in enumerate(texts)], "chunk_id long, document_id long, content string")
+    chunks = vectors.hash_embedding(chunks, "content", 256)
+    requests = spark.createDataFrame([(i, texts[i % 3] if i % 7 else "") for i in range(300)], "request_id long, query string")
+    found = vectors.retrieve_evidence(requests, chunks, 2, "hash", 256)
+    best = found.where("score > 0.99")
+    assert rows_of(best, "request_id", "document_id") == sorted(((i, 10 + i % 3) for i in range(300) if i % 7), key=repr)
+    assert found.count() == 2 * best.count()
