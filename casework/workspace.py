@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,16 +19,53 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="casework-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path no earlier run has used."""
-    return f"{shared_root(spark).rstrip('/')}/casework/{label}-{uuid.uuid4().hex}"
+    """A path no earlier run has used; it belongs to the innermost open ``scratch``."""
+    path = f"{shared_root(spark).rstrip('/')}/casework/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns every scratch path made inside, and drops them at the end.
+
+    A result that is read lazily must be written inside:
+
+        with scratch(spark):
+            near_duplicates(docs).write.parquet(target)
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a frozen table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/casework/" in path:
+            _delete(df.sparkSession, path)
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:
