@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casework.llm.decontaminate import decontaminate
 from casework.llm.neardup import near_duplicates
+from casework.llm.oracles import ORACLES
+from casework.llm.pii import digest, find_personal_data
 from casework.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +19,21 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(given(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(given(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_neardup,)
+    for f in (
+        op1_minhash_neardup,
+        op6_decontaminate,
+        op9_pii,
+    )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
