@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from casework.llm import packing, pii, token_files
 from casework.llm.decontaminate import decontaminate
 from casework.llm.neardup import near_duplicates
 from casework.llm.oracles import ORACLES
-from casework.llm.pii import digest, find_personal_data
 from casework.llm.tables import given
+from casework.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,20 +21,33 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(given(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digest(packing.pack(given(spark, sf_dir, "documents"), path, end_id=0))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_personal_data(given(spark, sf_dir, "documents")))
+    return pii.digest(pii.find_personal_data(given(spark, sf_dir, "documents")))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = fresh_path(spark, "corpus"), public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_corpus(given(spark, sf_dir, "documents"), path, tokenizer, end_id=1)
+    return token_files.digest(token_files.read_corpus(spark, path))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_neardup,
+        op4_packing,
         op6_decontaminate,
         op9_pii,
+        op10_token_files,
     )
 }
 
