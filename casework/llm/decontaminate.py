@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.tables import text_key
+from casework.llm.tables import let, text_key
 from casework.operators.joins import lookup
 from casework.workspace import freeze
 
@@ -24,11 +24,6 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: str = "text") -> Column:
     """Lower-cased (A-Z only) words of a text; null has none."""
     c = F.coalesce(F.col(text), F.lit(""))

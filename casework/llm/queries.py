@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casework.llm import packing, pii, token_files
 from casework.llm.decontaminate import decontaminate
+from casework.llm.linededup import dedupe_lines
 from casework.llm.neardup import near_duplicates
 from casework.llm.oracles import ORACLES
+from casework.llm.quality_rules import apply_host_rules
 from casework.llm.tables import given
 from casework.workspace import fresh_path
 
@@ -21,11 +23,19 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(given(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(given(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digest(packing.pack(given(spark, sf_dir, "documents"), path, end_id=0))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_host_rules(given(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
@@ -44,7 +54,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_neardup,
+        op2_line_dedup,
         op4_packing,
+        op5_quality_rules,
         op6_decontaminate,
         op9_pii,
         op10_token_files,
