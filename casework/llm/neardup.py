@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     buckets = freeze(lookup(members, full, "bucket", "inner").distinct(), "buckets")
     wanted = buckets.select("node").distinct()
     sets = freeze(
-        texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi")
+        texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["node"], "left_semi")
         .mapInArrow(_sets(shingle), "node long, items array<long>")
         .where(F.size("items") > 0),
         "sets")
