@@ -12,6 +12,7 @@ from casework.llm.decontaminate import decontaminate
 from casework.llm.linededup import dedupe_lines
 from casework.llm.neardup import near_duplicates
 from casework.llm.oracles import ORACLES
+from casework.llm.quality_lm import classify
 from casework.llm.quality_rules import apply_host_rules
 from casework.llm.tables import given
 from casework.workspace import fresh_path
@@ -40,6 +41,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(given(spark, sf_dir, "documents")))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
         op4_packing,
         op5_quality_rules,
         op6_decontaminate,
+        op8_quality_lm,
         op9_pii,
         op10_token_files,
     )
