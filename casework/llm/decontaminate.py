@@ -105,14 +105,17 @@ def _covered(windows: Column) -> Column:
     )["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, keep_key: bool = False
+) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     A word is hit if it lies inside an occurrence of a window of an item. An item of fewer than
     ``span`` words is one window; one without words (or null) has none. Null and empty texts have
     no words. Rows that agree in doc_id and text are the same document and get the same result;
     null ids are kept as they are. Items that share a window are all named; a null item_id marks
-    words but names nothing. Empty tables and other columns are fine.
+    words but names nothing. Empty tables and other columns are fine. ``keep_key`` adds text_key,
+    which with doc_id names the row.
     """
     named = docs.select(F.col("doc_id"), text_key(), F.col("text"))
     named = named.select(F.struct("doc_id", "text_key").alias("row"), "text")
@@ -148,4 +151,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     return out.select(
         "row.doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"))
+        (n_hit > 0).alias("contaminated"), *(["row.text_key"] if keep_key else []))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casework.llm import packing, pii, token_files
 from casework.llm.decontaminate import decontaminate
+from casework.llm.html_text import extract
+from casework.llm.licenses import scan_licenses
 from casework.llm.linededup import dedupe_lines
 from casework.llm.neardup import near_duplicates
 from casework.llm.oracles import ORACLES
@@ -28,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_lines(given(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(given(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digest(packing.pack(given(spark, sf_dir, "documents"), path, end_id=0))
@@ -41,6 +47,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(given(spark, sf_dir, "pages"))
+
+
 def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
 
@@ -60,9 +70,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_minhash_neardup,
         op2_line_dedup,
+        op3_license_scan,
         op4_packing,
         op5_quality_rules,
         op6_decontaminate,
+        op7_html_text,
         op8_quality_lm,
         op9_pii,
         op10_token_files,
