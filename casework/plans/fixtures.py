@@ -222,9 +222,16 @@ def proposals(spark, sf_dir) -> DataFrame:
 
 
 def answers_of(events: DataFrame) -> DataFrame:
-    """First answers, second answers a minute later, and answers to ids nobody proposed."""
+    """First answers, second answers a minute later, answers a minute before their proposal, and
+    answers to ids nobody proposed."""
     rows = F.expr(
         """CASE
+          WHEN event_type = 'view' AND event_id % 10 = 7 THEN
+            transform(sequence(0, 1), n -> named_struct(
+              'confirmation_id', concat('CNF-', event_id),
+              'seq', event_id * 2 + n,
+              'answered_at', timestampadd(MINUTE, if(n = 1, -1, event_id % 12), cast(ts AS timestamp)),
+              'confirm', n = 1 OR event_id % 4 <> 0))
           WHEN event_type = 'view' AND event_id % 9 <> 0 THEN
             transform(sequence(0, if(event_id % 6 = 0, 1, 0)), n -> named_struct(
               'confirmation_id', concat('CNF-', event_id),

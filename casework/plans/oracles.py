@@ -231,7 +231,9 @@ _CTES: dict[str, str] = {
           'ORD-' || (event_id // 4) AS target_id, 'r' || event_id AS reason FROM events WHERE event_type = 'view'""",
     "answers": """SELECT 'CNF-' || event_id AS confirmation_id, event_id * 2 AS seq,
           ts + to_minutes(event_id % 12) AS answered_at, event_id % 4 <> 0 AS confirm
-        FROM events WHERE event_type = 'view' AND event_id % 9 <> 0
+        FROM events WHERE event_type = 'view' AND (event_id % 9 <> 0 OR event_id % 10 = 7)
+        UNION ALL SELECT 'CNF-' || event_id, event_id * 2 + 1, ts - INTERVAL 1 MINUTE, true
+        FROM events WHERE event_type = 'view' AND event_id % 10 = 7
         UNION ALL SELECT 'CNF-' || event_id, event_id * 2 + 1, ts + to_minutes(event_id % 12 + 1), event_id % 4 <> 0
         FROM events WHERE event_type = 'view' AND event_id % 9 <> 0 AND event_id % 6 = 0
         UNION ALL SELECT 'CNF-X' || event_id, event_id * 2, ts, true
@@ -761,11 +763,11 @@ _QUERIES: dict[str, str] = {
         {_ts('j.answered_at')} AS answered_at,
         CASE WHEN NOT coalesce(j.in_time, false) THEN 'expired' WHEN j.confirm THEN 'confirmed' ELSE 'rejected' END AS state
         FROM proposals p LEFT JOIN (SELECT * FROM judged WHERE met AND nth = 1) j USING (confirmation_id)""",
-    "stream_confirmations": """SELECT confirmation_id, seq, if(in_time, if(confirm, 'executed', 'rejected'), NULL) AS status,
-          if(in_time, NULL, 'confirmation not found or expired') AS error
-        FROM (SELECT * REPLACE (coalesce(met AND in_time, false) AS in_time) FROM judged WHERE nth = 1)
+    "stream_confirmations": """SELECT confirmation_id, seq, if(good, if(confirm, 'executed', 'rejected'), NULL) AS status,
+          if(good, NULL, 'confirmation not found or expired') AS error
+        FROM (SELECT *, coalesce(met AND in_time, false) AS good FROM judged) WHERE NOT good OR nth = 1
         UNION ALL SELECT confirmation_id, NULL, 'expired', NULL FROM proposals
-        WHERE confirmation_id NOT IN (SELECT confirmation_id FROM judged WHERE nth = 1 AND met AND in_time)""",
+        WHERE confirmation_id NOT IN (SELECT confirmation_id FROM judged WHERE met AND in_time)""",
     "check_unique": _union([
         _repeats("p_accounts", "accounts", "account_id"), _repeats("p_orders", "orders", "order_id"),
         _repeats("p_tickets", "tickets", "ticket_id"), _repeats("known_docs", "documents", "id"),

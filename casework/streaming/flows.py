@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,41 +164,48 @@ def confirmation_stream(
     minutes: int = CONFIRMATION_MINUTES,
     lateness_minutes: int = 0,
 ) -> DataFrame:
-    """Proposals and answers as streams to one row per proposal and per unmatched first answer.
+    """Proposals and answers as streams to one row per proposal and per answer that found none.
 
-    ``status`` is executed or rejected for an answer in time, expired for a proposal nobody
-    answered in time, and null with ``error`` for an answer that is late or to an unknown id.
-    Repeat answers vanish. Rows come out once the watermark has passed them.
+    ``status`` is executed or rejected by the first answer in time, expired for a proposal nobody
+    answered in time, and null with ``error`` for an answer that is late, early or to an unknown
+    id. First means by (answered_at, seq), whatever the order of arrival; an answer in time that
+    is not the first vanishes. So the rows are those of ``confirmation_outcomes`` less the latter.
 
-    Differs from the batch form in one way: an answer that precedes its proposal spends the id,
-    since the two are not compared before the join. Answers to one id within one micro-batch are
-    taken in the order their source partition yields them.
+    Answers meet their proposal within its interval, and a minimum per proposal closes when the
+    watermark has passed the interval; nothing is decided before. Rows more than
+    ``lateness_minutes`` behind the latest are dropped, as by any watermark.
     """
-    ttl = F.make_dt_interval(mins=F.lit(minutes))
+    ttl = F.lit(timedelta(minutes=minutes))  # a literal, from which Spark bounds the join's state
     left = proposals.withWatermark("created_at", f"{lateness_minutes} minutes").withColumnRenamed(
         "confirmation_id", "_proposed"
     )
-    first = answers.withWatermark(
-        "answered_at", f"{max(minutes, lateness_minutes)} minutes"
-    ).dropDuplicatesWithinWatermark(["confirmation_id"])
+    right = answers.withWatermark("answered_at", f"{lateness_minutes} minutes")
     on = (
         (F.col("_proposed") == F.col("confirmation_id"))
         & (F.col("answered_at") >= F.col("created_at"))
         & (F.col("answered_at") <= F.col("created_at") + ttl)
     )
-    met = F.col("_proposed").isNotNull() & F.col("confirmation_id").isNotNull()
-    alone = F.col("_proposed").isNull()
-    status = F.when(met, F.when(F.col("confirm"), "executed").otherwise("rejected")).when(
-        ~alone, "expired"
+    answer = F.when(
+        F.col("confirmation_id").isNotNull(), F.struct("answered_at", "seq", "confirm")
     )
-    return left.join(first, on, "full_outer").select(
-        F.coalesce("confirmation_id", "_proposed").alias("confirmation_id"),
-        "seq",
-        "created_at",
-        "answered_at",
-        status.alias("status"),
-        F.when(alone, NOT_FOUND).alias("error"),
-        "action_type",
-        "target_id",
-        "reason",
+    carried = ("action_type", "target_id", "reason")
+    decided = (
+        left.join(right, on, "left_outer")
+        .groupBy("_proposed", "created_at")
+        .agg(F.min(answer).alias("_first"), *[F.max(c).alias(c) for c in carried])
     )
+    status = F.when(F.col("_first").isNull(), "expired").when(
+        F.col("_first.confirm"), "executed"
+    ).otherwise("rejected")
+    settled = decided.select(
+        F.col("_proposed").alias("confirmation_id"), "_first.seq", "created_at",
+        "_first.answered_at", status.alias("status"), F.lit(None).cast("string").alias("error"),
+        *carried,
+    )
+    none = F.lit(None)
+    alone = right.join(left, on, "left_outer").where(F.col("_proposed").isNull()).select(
+        "confirmation_id", "seq", none.cast("timestamp").alias("created_at"), "answered_at",
+        none.cast("string").alias("status"), F.lit(NOT_FOUND).alias("error"),
+        *[none.cast("string").alias(c) for c in carried],
+    )
+    return settled.unionByName(alone)

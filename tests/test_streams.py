@@ -68,39 +68,53 @@ PROPOSALS = "confirmation_id string, created_at timestamp, action_type string, t
 ANSWERS = "confirmation_id string, seq long, answered_at timestamp, confirm boolean"
 
 
-def test_confirmations_across_a_restart(spark, tmp_path):
-    """Batch outcomes minus repeat answers, with the repeat arriving after the restart."""
-    def at(m):
-        return T0 + dt.timedelta(minutes=m)
-
-    def proposal(c, m):
-        return (c, at(m), "CANCEL_ORDER", f"O{c}", "r")
-
-    first = ([proposal(c, 0) for c in "ABCDE"], [("A", 1, at(10), True), ("B", 2, at(1), False), ("Z", 3, at(2), True)])
-    second = ([], [("A", 4, at(10), True), ("B", 5, at(3), True), ("C", 6, at(11), True), ("D", 7, at(5), True)])
-    closing = ([proposal("END", 600)], [("END", 99, at(600), True)])
+def confirm_in_pieces(spark, tmp_path, pieces, minutes_late):
+    """Each piece is (proposals, answers) written as a file and run, with a restart in between."""
     sink, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     for name in ("p", "a"):
         (tmp_path / name).mkdir()
-
-    def run():
+    end = T0 + dt.timedelta(days=3)
+    closing = ([("END", end, "x", "x", "x")], [("END", 99, end, True)])
+    for proposals, answers in (*pieces, closing):
+        spark.createDataFrame(proposals, PROPOSALS).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        spark.createDataFrame(answers, ANSWERS).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
         left = spark.readStream.schema(PROPOSALS).parquet(str(tmp_path / "p"))
         right = spark.readStream.schema(ANSWERS).parquet(str(tmp_path / "a"))
-        out = flows.confirmation_stream(left, right)
+        out = flows.confirmation_stream(left, right, lateness_minutes=minutes_late)
         out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(
             availableNow=True).start().awaitTermination()
-        return out.schema
+    found = spark.read.schema(out.schema).parquet(sink).where("confirmation_id <> 'END'")
+    proposals = spark.createDataFrame([p for piece in pieces for p in piece[0]], PROPOSALS)
+    answers = spark.createDataFrame([a for piece in pieces for a in piece[1]], ANSWERS)
+    return found, confirmation_outcomes(proposals, answers)
 
-    everything = ([], [])
-    for proposals, answers in (first, second, closing):
-        spark.createDataFrame(proposals, PROPOSALS).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
-        spark.createDataFrame(answers, ANSWERS).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
-        schema = run()
-        everything[0].extend(proposals)
-        everything[1].extend(answers)
-    found = spark.read.schema(schema).parquet(sink).where("confirmation_id <> 'END'")
-    answered = found.where("seq IS NOT NULL")
-    batch = confirmation_outcomes(spark.createDataFrame(everything[0], PROPOSALS), spark.createDataFrame(everything[1], ANSWERS))
-    assert rows_of(answered, "seq", "status", "error") == rows_of(
-        batch.where(F.col("seq").isin(1, 2, 3, 6, 7)), "seq", "status", "error")
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def proposal(c, minutes):
+    return (c, at(minutes), "CANCEL_ORDER", f"O{c}", "r")
+
+
+def test_confirmations_across_a_restart(spark, tmp_path):
+    """Batch outcomes minus answers in time that came second, whatever arrives first."""
+    pieces = [
+        ([proposal(c, 0) for c in "ABCDE"], [("A", 1, at(10), True), ("B", 5, at(3), True), ("Z", 3, at(2), True), ("F", 8, at(3), False)]),
+        ([proposal("F", 1)], [("A", 4, at(10), True), ("B", 2, at(1), False), ("C", 6, at(11), True), ("D", 7, at(5), True),
+                              ("F", 9, at(0), True), ("Z", 10, at(4), True)]),
+    ]
+    found, batch = confirm_in_pieces(spark, tmp_path, pieces, 60)
+    shown = ("seq", "status", "error", "action_type", "target_id")
+    answered = found.where("seq IS NOT NULL").withColumns(
+        {c: F.when(F.col("status") == "executed", F.col(c)) for c in shown[3:]})
+    lost = (4, 5)  # in time, but after another
+    assert rows_of(answered, *shown) == rows_of(batch.where(~F.col("seq").isin(*lost)), *shown)
     assert rows_of(found.where("seq IS NULL"), "confirmation_id", "status") == [("C", "expired"), ("E", "expired")]
+
+
+def test_an_earlier_rejection_beats_a_confirmation_that_arrives_first(spark, tmp_path):
+    ids = [f"P{i}" for i in range(50)]
+    answers = [(c, 2 * i, at(5), True) for i, c in enumerate(ids)] + [(c, 2 * i + 1, at(1), False) for i, c in enumerate(ids)]
+    found, _ = confirm_in_pieces(spark, tmp_path, [([proposal(c, 0) for c in ids], answers)], 10)
+    assert found.groupBy("status").count().collect() == [("rejected", 50)]
