@@ -111,18 +111,25 @@ def check_not_null(tables: Tables) -> DataFrame:
 
 
 def check_foreign_keys(tables: Tables) -> DataFrame:
-    """Rows whose parent is missing; null references are left alone."""
-    parts = []
-    for table, column, parent, parent_column in REFERENCES:
-        if table in tables and parent in tables:
-            own = ROW_KEYS[table]
-            child = tables[table].where(F.col(column).isNotNull()).select(
-                F.col(column).alias("_ref"), F.col(own).cast("string").alias("_key")
-            )
-            known = tables[parent].select(F.col(parent_column).alias("_ref"))
-            orphans = lookup(child, known, "_ref", "left_anti")
-            parts.append(_report(orphans, f"{table}.{column} references {parent}", F.col("_key")))
-    return _union(parts)
+    """Rows whose parent is missing; null references are left alone.
+
+    All references are stacked as (parent table, value), so each table is read once for its rows
+    and once for its keys, and one join answers for every rule.
+    """
+    used = [r for r in REFERENCES if r[0] in tables and r[2] in tables]
+    children, parents = [], []
+    for table in dict.fromkeys(r[0] for r in used):
+        held = F.array(*[
+            F.struct(F.lit(f"{table}.{column} references {parent}").alias("rule"),
+                     F.struct(F.lit(parent).alias("table"), F.col(column).cast("string").alias("value")).alias("ref"))
+            for t, column, parent, _ in used if t == table])
+        rows = tables[table].select(
+            F.col(ROW_KEYS[table]).cast("string").alias("key"), F.explode(held).alias("r"))
+        children.append(rows.select("key", "r.rule", "r.ref").where(F.col("ref.value").isNotNull()))
+    for parent, column in dict.fromkeys((r[2], r[3]) for r in used):
+        ref = F.struct(F.lit(parent).alias("table"), F.col(column).cast("string").alias("value"))
+        parents.append(tables[parent].select(ref.alias("ref")))
+    return lookup(_union(children), _union(parents), "ref", "left_anti").select("rule", "key")
 
 
 def check_enums(tables: Tables) -> DataFrame:

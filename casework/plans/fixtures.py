@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from casework.sources.documents import spread_splits
 
 STAMP = "2026-08-16 11:00"
 
@@ -26,22 +25,9 @@ def conform(rows: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-_SCHEMAS: dict[str, StructType] = {}
-_FEW_SPLITS: dict[str, bool] = {}
-_SPREAD = {"events": "event_id", "orders": "o_orderkey", "documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its files are looked at once for their schema and number of splits."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    scan = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    if name in _SPREAD and _FEW_SPLITS.get(path, True):
-        spread = spread_splits(scan, _SPREAD[name], _FEW_SPLITS.get(path))
-        _FEW_SPLITS[path] = spread is not scan
-        return spread
-    return scan
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def accounts(spark, sf_dir) -> DataFrame:

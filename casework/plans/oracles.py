@@ -547,7 +547,7 @@ _FOREIGN_KEYS = [
 ]
 _CTES |= {
     "known_docs": "SELECT doc_id AS id, * FROM registry",
-    "id_chunks": "SELECT document_id * 10000000 + chunk_index AS id, document_id FROM chunks",
+    "id_chunks": "SELECT document_id || ':' || chunk_index AS id, document_id FROM chunks",
 }
 
 
@@ -570,6 +570,10 @@ def _strays(source: str, rule: str, key: str, column: str, values: str) -> str:
 
 
 _QUERIES: dict[str, str] = {
+    "read_sheet": """SELECT row_no, used AS n_cells, array_to_string(list_slice(c, 1, used), '|') AS line FROM (
+          SELECT row_no, c, coalesce(list_max(list_transform(range(1, len(c) + 1), lambda i: if(c[i] <> '', i, 0))), 0)::BIGINT AS used
+          FROM (SELECT row_no, CASE WHEN row_no % 23 = 0 THEN []
+              WHEN row_no % 7 = 0 THEN list_transform(cells, lambda x, i: if(i = 2, x || ', "x"', x)) ELSE cells END AS c FROM raw_accounts))""",
     "load_accounts": "SELECT * EXCLUDE reject_reason FROM p_accounts WHERE reject_reason IS NULL",
     "load_orders": _as_text(_ORDER_TIMES, """SELECT * EXCLUDE reject_reason REPLACE (shipment_fee_inr::DOUBLE AS shipment_fee_inr)
         FROM p_orders WHERE reject_reason IS NULL"""),

@@ -9,19 +9,6 @@ from casework.functions.payloads import document_metadata_json
 from casework.functions.text import normalize_document_text
 
 
-def spread_splits(scan: DataFrame, key: str, few: bool | None = None) -> DataFrame:
-    """A scan of fewer splits than there are cores, spread by key; any other as it is.
-
-    Long work per row would otherwise run in a few tasks. A large table has more splits than
-    cores and is not shuffled. For plain scans only: unless told whether the splits are ``few``,
-    it looks at the partitions.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if few is None:
-        few = scan.rdd.getNumPartitions() < cores
-    return scan.repartition(cores, key) if few else scan
-
-
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
     """File names ending in ``.pdf`` directly in a folder; no file content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)

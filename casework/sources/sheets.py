@@ -27,28 +27,36 @@ class SheetError(ValueError):
     """A sheet that must not be loaded."""
 
 
-def read_sheet_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """CSV file(s) without header handling, as (row_no, cells) in file order."""
-    names = [f"c{i}" for i in range(columns)]
-    raw = (
-        spark.read.schema(", ".join(f"{n} STRING" for n in names))
-        .option("ignoreLeadingWhiteSpace", False)
-        .csv(path)
+_CSV_CELL = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
+
+
+def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV file(s) without header handling, as (row_no, cells) in file order.
+
+    Every line is a row and counts: a blank one has no cells. Cells may be quoted, with doubled
+    quotes inside; all of them are kept, however many. Trailing empty cells are left out. A cell
+    with a line break would need a whole file in one task to read; its first line, known by an
+    odd number of quotes, has null ``cells`` and is rejected by every parser, as are the others.
+    """
+    lines = (
+        spark.read.text(path)
         .select(
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"),
-            F.array(*[F.coalesce(n, F.lit("")) for n in names]).alias("_cells"),
+            F.regexp_replace("value", "\\r$", "").alias("_line"),
         )
     )
-    used = F.aggregate(
-        F.sequence(F.lit(1), F.lit(columns)),
-        F.lit(0),
-        lambda last, i: F.when(F.element_at("_cells", i) != "", i).otherwise(last),
-    )
-    rows = raw.withColumn("cells", F.slice("_cells", F.lit(1), used)).drop("_cells")
-    numbered = dense_numbers(rows, ["_file", "_block", "_pos"], "row_no")
-    return numbered.select("row_no", "cells")
+    found = F.regexp_extract_all("_line", F.lit(_CSV_CELL), F.lit(1))
+    plain = F.transform(found, lambda c: F.when(
+        c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
+        F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
+    ).otherwise(c))
+    used = F.array_max(F.transform(plain, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
+    whole = F.length(F.regexp_replace("_line", '[^"]', "")) % 2 == 0
+    cells = F.when(whole, F.slice(plain, F.lit(1), F.coalesce(used, F.lit(0))))
+    rows = lines.withColumn("cells", cells).drop("_line")
+    return dense_numbers(rows, ["_file", "_block", "_pos"], "row_no").select("row_no", "cells")
 
 
 def _cell(i: int) -> Column:
@@ -57,7 +65,7 @@ def _cell(i: int) -> Column:
 
 def _typed_rows(sheet: DataFrame, cells: dict[str, Column]) -> DataFrame:
     """Data rows with every cell read once."""
-    width = F.size("cells").alias("_width")
+    width = F.coalesce(F.size("cells"), F.lit(-1)).alias("_width")
     rows = sheet.where(F.col("row_no") > 1).select("row_no", "cells", width)
     return computed_once(rows, cells).drop("cells")
 
@@ -84,7 +92,8 @@ def _width_error(name: str, wanted: int, wording: str) -> Column:
         F.col("_width").cast("string"),
         F.lit(f" columns, expected {wording}{wanted}"),
     )
-    return F.when(F.col("_width") < wanted, text)
+    broken = F.col("_width") < 0  # the size of no array
+    return F.when(broken, _row(name, " has an unclosed quote")).when(F.col("_width") < wanted, text)
 
 
 def _result(rows: DataFrame, reason: Column) -> DataFrame:

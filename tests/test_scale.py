@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from casework.operators import actions, confirm, context, decide
 from casework.operators.joins import lookup
 from casework.plans import fixtures as fx
-from casework.sources.documents import spread_splits
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -116,8 +115,10 @@ def test_decisions_use_no_python_and_no_cross_join(spark):
         assert unwanted not in plan
 
 
-def test_only_small_scans_are_spread(spark):
-    scan = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    assert spread_splits(scan, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, 50)
-    assert spread_splits(many, "id") is many
+def test_numbering_moves_the_rows_once(spark, settings):
+    from casework.sources.numbering import dense_numbers
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    numbered = dense_numbers(spark.range(1000, numPartitions=7).withColumnRenamed("id", "v"), ["v"], "n")
+    assert sorted(tuple(r) for r in numbered.collect()) == [(i, i + 1) for i in range(1000)]
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan

@@ -84,12 +84,25 @@ def test_sheet_without_data(spark):
 def test_csv_sheet_keeps_file_order_and_drops_trailing_blanks(spark, tmp_path):
     lines = ["account_id,name,x"] + [f"A{i}, n{i} ," for i in range(500)]
     (tmp_path / "accounts.csv").write_text("\n".join(lines))
-    rows = rows_of(sheets.read_sheet_csv(spark, str(tmp_path / "accounts.csv"), 3))
+    rows = rows_of(sheets.read_sheet_csv(spark, str(tmp_path / "accounts.csv")))
     assert len(rows) == 501
     assert rows[0] == (1, ["account_id", "name", "x"])
     assert dict(rows)[42] == ["A40", " n40 "]
 
 
+def test_csv_sheet_loses_no_row_and_no_cell(spark, tmp_path):
+    lines = ["a,b,c", "A1,x,TRUE", "", 'A2,"q, ""r""",yes,more,,', 'A3,"two', 'lines",f', "\"\"", "last\r"]
+    (tmp_path / "s.csv").write_text("\n".join(lines))
+    rows = dict(rows_of(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv"))))
+    assert rows == {1: ["a", "b", "c"], 2: ["A1", "x", "TRUE"], 3: [], 4: ["A2", 'q, "r"', "yes", "more"], 5: None, 6: None,
+                    7: [], 8: ["last"]}
+    parsed = sheets.parse_accounts(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv")))
+    reasons = dict(rows_of(sheets.rejected(parsed)))
+    assert reasons[3] == "accounts row 3 has 0 columns, expected 8"
+    assert reasons[5] == "accounts row 5 has an unclosed quote"
+    assert len(reasons) == 7
+
+
 @pytest.mark.parametrize(
     "lines, ok, error",
     [
