@@ -120,15 +120,14 @@ def host_rates(measured: DataFrame) -> DataFrame:
         F.count("*").alias("n_docs"), *[F.sum(r.cast("long")).alias(k) for k, r in rules().items()])
     moments = hosts.agg(*[x for k in names for x in (
         F.avg(F.col(k) / F.col("n_docs")).alias(f"{k}_mean"),
-        F.var_pop(F.col(k) / F.col("n_docs")).alias(f"{k}_var"))])
+        F.var_pop(F.col(k) / F.col("n_docs")).alias(f"{k}_var"))]).first()
 
     def rate(k: str) -> Column:
-        m, v = F.col(f"{k}_mean"), F.col(f"{k}_var")
-        raw = F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(1000.0))
-        strength = F.least(F.greatest(raw, F.lit(10.0)), F.lit(1000.0))
+        m, v = moments[f"{k}_mean"] or 0.0, moments[f"{k}_var"] or 0.0
+        strength = min(max(m * (1 - m) / v - 1, 10.0), 1000.0) if v > 0 else 1000.0
         return ((F.col(k) + m * strength) / (F.col("n_docs") + strength)).alias(f"{k}_rate")
 
-    return hosts.join(moments).select("source", "n_docs", *[rate(k) for k in names])
+    return hosts.select("source", "n_docs", *[rate(k) for k in names])
 
 
 def apply_host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
