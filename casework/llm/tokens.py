@@ -46,7 +46,7 @@ class _Pieces(dict):
         return ids
 
     def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self))
+        new = [p for p in set(pieces) if p not in self]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = list(set(pieces))
