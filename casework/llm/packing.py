@@ -33,7 +33,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for block in arrays.blocks(batch.column("text")):
                 texts = batch.column("text").slice(block.first, len(block)).to_pylist()
-                ids = [tool.encode(t or "") + end for t in texts]
+                ids = [i + end for i in tool.encode([t or "" for t in texts])]
                 sizes = np.array([len(i) // tool.dtype.itemsize for i in ids], np.int64)
                 places = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())

@@ -14,7 +14,8 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000  # pieces remembered per Python worker; beyond that it starts afresh
+CACHE_ENTRIES = 800_000  # pieces remembered per Python worker; beyond that it starts afresh
+JOINED = 20_000  # new pieces encoded in one call
 _RUN = re.compile(r"[ \n]\s|\s[ \n]")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -35,22 +36,20 @@ def _ends_at_spaces(spec: dict) -> bool:
 
 
 class _Pieces(dict):
-    """Ids of ``lead + piece``, filled when asked."""
+    """Ids of ``lead + piece`` for the pieces learnt so far."""
 
     def __init__(self, encoder: "Encoder", lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.encoder.whole([self.lead + piece])[0]
-        return ids
-
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in set(pieces) if p not in self]
+    def learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list(set(pieces))
-        self.update(zip(new, self.encoder.whole([self.lead + p for p in new])))
+            new = list(pieces)
+        for i in range(0, len(new), JOINED):
+            part = new[i : i + JOINED]
+            self.update(zip(part, self.encoder.apart([self.lead + p for p in part])))
 
 
 class Encoder:
@@ -60,11 +59,13 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
-            self.cuts = _ends_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.cuts = _ends_at_spaces(spec)
+        self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
         self.line_break = self.whole(["\n"])[0] if self.cuts else b""
 
@@ -72,19 +73,42 @@ class Encoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
+    def apart(self, texts: list[str]) -> list[bytes]:
+        """As ``whole``, in one call: a special token between two texts keeps them apart."""
+        if not self.special or any(s in t for s in self.special for t in texts):
+            return self.whole(texts)
+        mark = self.joined.token_to_id(self.special[0])
+        line = self.joined.encode_batch_fast([self.special[0].join(texts)], add_special_tokens=False)
+        ids = np.array(line[0].ids, self.dtype)
+        size, all_bytes = self.dtype.itemsize, ids.tobytes()
+        ends = [*(np.flatnonzero(ids == mark) * size).tolist(), len(all_bytes)]
+        starts = [0, *(e + size for e in ends[:-1])]
+        return [all_bytes[a:b] for a, b in zip(starts, ends)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self.whole([text])[0]
-        if _RUN.search(text):
-            pieces = _safe_pieces(text)
-            self.first.learn(pieces)
-            return b"".join(map(self.first.__getitem__, pieces))
-        lines = [line.split(" ") for line in text.split("\n")]
-        self.first.learn([line[0] for line in lines])
-        self.spaced.learn([p for line in lines for p in line[1:]])
-        known = self.spaced.__getitem__
-        return self.line_break.join(
-            [self.first[line[0]] + b"".join(map(known, line[1:])) for line in lines])
+            return self.whole(texts)
+        cut: list[tuple[list, bool]] = []
+        firsts: set[str] = set()
+        spaced: set[str] = set()
+        for text in texts:
+            if _RUN.search(text):
+                pieces = _safe_pieces(text)
+                firsts.update(pieces)
+                cut.append((pieces, False))
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                for line in lines:
+                    firsts.add(line[0])
+                    spaced.update(line[1:])
+                cut.append((lines, True))
+        self.first.learn(firsts)
+        self.spaced.learn(spaced)
+        first, known = self.first.__getitem__, self.spaced.__getitem__
+        return [
+            self.line_break.join([first(line[0]) + b"".join(map(known, line[1:])) for line in pieces])
+            if plain else b"".join(map(first, pieces))
+            for pieces, plain in cut]
 
 
 def _safe_pieces(text: str) -> list[str]:
