@@ -47,9 +47,15 @@ class _Pieces(dict):
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = list(pieces)
-        for i in range(0, len(new), JOINED):
-            part = new[i : i + JOINED]
+        # Between a letter and a comma or full stop a piece always ends, so "word," is "word" and ",".
+        ended = [p for p in new if p[-1:] in self.encoder.marks and p[-2:-1].isalpha()]
+        bare = {p[:-1] for p in ended}.union(new).difference(ended)
+        bare = [p for p in bare if p not in self]
+        for i in range(0, len(bare), JOINED):
+            part = bare[i : i + JOINED]
             self.update(zip(part, self.encoder.apart([self.lead + p for p in part])))
+        for p in ended:
+            self[p] = self[p[:-1]] + self.encoder.marks[p[-1]]
 
 
 class Encoder:
@@ -67,7 +73,8 @@ class Encoder:
         self.cuts = _ends_at_spaces(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
-        self.line_break = self.whole(["\n"])[0] if self.cuts else b""
+        self.marks = dict(zip(".,", self.whole([".", ","])))
+        self.line_break = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
