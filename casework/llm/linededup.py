@@ -126,7 +126,7 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.select(
         F.struct(*docs.columns).alias("all"),
         F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key()).alias("row"))
-    out = lookup(keyed, runs, "row")
+    out = lookup(keyed, runs.hint("merge"), "row")  # one plan at every size
     text = F.col("all").getField("text")
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
     kept = let(F.split(text, "\n", -1), lambda lines: F.array_join(F.transform(
