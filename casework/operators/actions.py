@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from casework.functions.scalars import credit_amount, stored_amount
 from casework.operators.joins import lookup
 from casework.schemas import ACTIVE_CREDIT_STATUSES
+from casework.workspace import freeze
 
 CREDIT_TYPES = ("SERVICE_CREDIT", "SERVICE_CREDIT_APPROVAL")
 ORDER_TYPES = ("CANCEL_ORDER", "RETURN_TO_ORIGIN", *CREDIT_TYPES)
@@ -108,7 +109,9 @@ def _target_states(
         _first(is_credit & stored_amount(given).isNotNull()).alias("_given_credit"),
         _first(kind == "ESCALATE").alias("_escalate"),
     )
-    with_credit = with_active_credit(orders.select("order_id"), credits).select(
+    firsts = freeze(firsts, "targets")  # of known size, so a small batch is what gets broadcast
+    targets = firsts.select(F.col("target_id").alias("order_id")).where(F.col("_kind") == "order")
+    with_credit = with_active_credit(targets, credits).select(
         "order_id", F.lit(True).alias("_active")
     )
     fee_credit = credit_amount(F.col("shipment_fee_inr"))
@@ -134,7 +137,8 @@ def _target_states(
         F.lit(None).cast("bigint").alias("_escalate_at"),
     )
 
-    escalated = with_active_escalation(tickets.select("ticket_id"), escalations).select(
+    targets = firsts.select(F.col("target_id").alias("ticket_id")).where(F.col("_kind") == "ticket")
+    escalated = with_active_escalation(targets, escalations).select(
         F.col("ticket_id").alias("target_id"), F.lit(True).alias("_active")
     )
     ticket_side = (

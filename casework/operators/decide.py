@@ -257,13 +257,18 @@ def evaluate_requests(
     evidence: DataFrame,
     min_score: float = MIN_AGREEMENT_SCORE,
 ) -> DataFrame:
-    """One decision per request; where loading failed, ``error`` and no decision."""
+    """One decision per request; where loading failed, ``error`` and no decision.
+
+    ``answer`` is what the requester is told: the decision's reason. Its sources are the rows of
+    ``evidence`` with the same request_id.
+    """
     context = request_context(requests, accounts, orders, tickets)
-    summary = evidence_summary(_names(requests, accounts), evidence)
+    summary = evidence_summary(context, evidence)
     rule = F.when(F.col("error").isNull(), cancellation_rule(min_score))
     decided = _answers(with_evidence(context, summary).withColumn("_rule", rule), CANCELLATION_RULES)
     return decided.select(
-        "request_id", "account_id", "order_id", "error", "order_account_mismatch", *_DECISION
+        "request_id", "account_id", "order_id", "error", "order_account_mismatch", *_DECISION,
+        F.col("reason").alias("answer"),
     )
 
 
@@ -278,7 +283,7 @@ def service_credit_decisions(
 ) -> DataFrame:
     """One service-credit decision per request, whatever its query says."""
     context = request_order(request_account(requests, accounts), orders)
-    summary = evidence_summary(_names(requests, accounts), evidence)
+    summary = evidence_summary(context, evidence)
     decided = decide_service_credit(with_evidence(context, summary), cap, approval_limit)
     return decided.select("request_id", "account_id", "order_id", *_DECISION)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Provider = Callable[[list[str]], list[list[float]]]
 
-# One block of queries is what a task holds next to its chunks: at 768 doubles a query,
-# 2,048 queries are 12 MB. A block of chunks in the grid form is bounded the same way.
-QUERY_BLOCK = 2_048
-CHUNK_BLOCK = 16_384
-_SCORE_DIGITS = 12  # scores closer than this are ties, settled by chunk id
+# One block of queries is what a task holds next to its chunks.
+QUERY_BLOCK_BYTES = 32 << 20
+_SCORE_DIGITS = 9  # scores closer than this are ties, settled by chunk id
 
 
 # --- embedding --------------------------------------------------------------
@@ -134,7 +133,7 @@ def embed_backlog(
 # --- retrieval --------------------------------------------------------------
 
 _CANDIDATES = "query_id bigint, chunk_id bigint, score double"
-_SLICE_ROWS = 2_048  # chunks scored at once; with a full query block 32 MB of scores
+_SLICE_ROWS = 512  # chunks scored at once
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -210,81 +209,45 @@ def _against_broadcast(vectors: DataFrame, ids, matrix, k: int, dims: int) -> Da
     return vectors.mapInArrow(run, _CANDIDATES)
 
 
-def _against_blocks(
-    vectors: DataFrame, queries: DataFrame, k: int, dims: int, query_block: int, chunk_block: int
-) -> DataFrame:
-    """Blocks of queries meet blocks of chunks: the exact way when queries outgrow one block.
-
-    Both sides are hashed by their unique id into blocks of bounded size. Every cell of the grid
-    keeps k rows per query, so what leaves a cell does not depend on how many pairs it scored.
-    """
-    n_queries = queries.count() // query_block + 1
-    n_chunks = vectors.count() // chunk_block + 1
-
-    def blocks(rows: DataFrame, id_col: str, own: str, n_own: int, other: str, n_other: int):
-        return rows.withColumns(
-            {
-                own: F.pmod(F.xxhash64(id_col), F.lit(n_own)),
-                other: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))),
-            }
-        )
-
-    left = blocks(vectors, "chunk_id", "_c", n_chunks, "_q", n_queries)
-    right = blocks(queries, "query_id", "_q", n_queries, "_c", n_chunks).withColumnRenamed(
-        "embedding", "asked"  # both sides may come from one table
-    )
-
-    def run(chunk_side: pa.Table, query_side: pa.Table) -> pa.Table:
-        if not query_side.num_rows or not chunk_side.num_rows:
-            return _search(iter(()), np.empty(0, dtype=np.int64), np.empty((0, dims)), k)
-        piece = (
-            chunk_side["chunk_id"].to_numpy(),
-            _matrix(chunk_side["embedding"].combine_chunks(), dims),
-        )
-        query_ids = query_side["query_id"].to_numpy()
-        return _search(
-            iter([piece]), query_ids, _matrix(query_side["asked"].combine_chunks(), dims), k
-        )
-
-    grid = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q"))
-    return grid.applyInArrow(run, _CANDIDATES)
-
-
 def cosine_topk(
     chunks: DataFrame,
     queries: DataFrame,
     k: int = RETRIEVAL_DEPTH,
     dims: int = VECTOR_WIDTH,
-    query_block: int = QUERY_BLOCK,
-    chunk_block: int = CHUNK_BLOCK,
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest chunks per query: (query_id, rank, chunk_id, score), exact.
 
     Score is 1 - cosine distance. Chunks without a vector are left out, a zero vector scores NaN
     and comes last, ties go to the lower chunk id; ``k <= 0`` means the default depth. Queries of
-    another width find nothing here: ``vector_errors`` names them. One job reads at most
-    ``query_block`` + 1 queries to choose how to run.
+    another width find nothing here: ``vector_errors`` names them.
+
+    Chunks never move. The queries are written down once and numbered, and each block of at most
+    ``block_bytes`` of them is broadcast to a scan of the chunks that keeps k rows per query and
+    task; one block is the small case of the same plan.
     """
     k = k if k > 0 else RETRIEVAL_DEPTH
     vectors = chunks.where(F.size("embedding") == dims).select(
         F.col("chunk_id").cast("bigint"), "embedding"
     )
-    asked = queries.where(F.size("embedding") == dims).select(
-        F.col("query_id").cast("bigint"), "embedding"
+    asked = dense_numbers(
+        queries.where(F.size("embedding") == dims).select(
+            F.col("query_id").cast("bigint"), "embedding"),
+        ["query_id"], "_n",
     )
-    head = asked.limit(query_block + 1).toArrow()
-    if head.num_rows <= query_block:
-        ids = head["query_id"].to_numpy()
-        matrix = _matrix(head["embedding"].combine_chunks(), dims)
-        found = _against_broadcast(vectors, ids, matrix, k, dims)
-    else:
-        found = _against_blocks(vectors, asked, k, dims, query_block, chunk_block)
+    size = max(1, block_bytes // (8 * dims))
+    last = asked.agg(F.max("_n")).first()[0] or 0
+    parts = []
+    for low in range(0, max(last, 1), size):
+        block = asked.where(F.col("_n").between(low + 1, low + size)).toArrow()
+        ids = block["query_id"].to_numpy()
+        matrix = _matrix(block["embedding"].combine_chunks(), dims)
+        parts.append(_against_broadcast(vectors, ids, matrix, k, dims))
     order = Window.partitionBy("query_id").orderBy(
         F.isnan("score"), F.desc(F.round("score", _SCORE_DIGITS)), "chunk_id"
     )
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "chunk_id", "score"
-    )
+    found = reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def source_projection(found: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -315,7 +278,7 @@ def retrieve_evidence(
     provider: str | Provider = "hash",
     dims: int = VECTOR_WIDTH,
 ) -> DataFrame:
-    """Evidence for requests (request_id, query): the k nearest chunks to each query.
+    """Evidence for requests (request_id, query): the k nearest chunks to each query, by ``rank``.
 
     Equal queries find equal chunks, so each distinct text is embedded and searched once and its
     hits are joined back to all requests that ask it.
@@ -324,8 +287,8 @@ def retrieve_evidence(
     texts = dense_numbers(asked.select("query").distinct(), ["query"], "query_id")
     hits = search_documents(texts, chunks, k, provider, dims).join(texts, "query_id")
     return lookup(
-        asked, hits.select("query", "document_id", "content", "score"), "query", "inner"
-    ).select("request_id", "document_id", "content", "score")
+        asked, hits.select("query", "rank", "document_id", "content", "score"), "query", "inner"
+    ).select("request_id", "rank", "document_id", "content", "score")
 
 
 def search_errors(queries: DataFrame) -> DataFrame:

@@ -410,6 +410,14 @@ def cosine_topk(spark, sf):
     return flat(found.withColumn("score", F.round("score", 6)))
 
 
+@query
+def cosine_topk_many(spark, sf):
+    """Every vector a query, in several blocks."""
+    queries = fx.table(spark, sf, "embeddings").selectExpr("vec_id AS query_id", "embedding")
+    found = vectors.cosine_topk(fx.chunk_vectors(spark, sf), queries, 5, DIMS, block_bytes=8 * DIMS * 200)
+    return flat(found.withColumn("score", F.round("score", 6)))
+
+
 @query
 def source_projection(spark, sf):
     chunks = fx.chunk_vectors(spark, sf)
@@ -493,17 +501,25 @@ def evaluate_requests(spark, sf):
 
 @query
 def evaluate_with_retrieval(spark, sf):
-    """Evidence found by search instead of given: one standing question per channel."""
+    """Evidence found by searching for each request's own text."""
     requests, accounts, orders, tickets, _ = _case_tables(spark, sf)
-    asking = F.concat(F.lit("Which customer may cancel a BOOKED shipment before pickup? "), "channel")
-    requests = requests.withColumn("query", F.when(F.col("query") != "", asking).otherwise(""))
-    chunks = fx.policy_chunks(spark, sf)
-    embedded = vectors.embed_chunks(chunks, "content", "hash", DIMS)
-    evidence = vectors.retrieve_evidence(requests, embedded, 5, "hash", DIMS)
-    decided = decide.evaluate_requests(requests, accounts, orders, tickets, evidence)
+    decided = decide.evaluate_requests(requests, accounts, orders, tickets, _searched(spark, sf))
     return _with_action(decided).withColumn("confidence", F.round("confidence", 6))
 
 
+def _searched(spark, sf) -> DataFrame:
+    chunks = freeze(vectors.embed_chunks(fx.policy_chunks(spark, sf), "content", "hash", DIMS), "chunks")
+    return vectors.retrieve_evidence(fx.requests(spark, sf), chunks, 5, "hash", DIMS)
+
+
+@query
+def request_sources(spark, sf):
+    """What each decision rests on, in order."""
+    return flat(_searched(spark, sf).select(
+        "request_id", "rank", "document_id", F.md5("content").alias("content_md5"),
+        F.round("score", 6).alias("score")))
+
+
 @query
 def service_credit_decision(spark, sf):
     return _with_action(decide.service_credit_decisions(*_case_tables(spark, sf)))
@@ -714,15 +730,21 @@ def stream_evaluate(spark, sf):
         requests, accounts, orders, tickets,
         lambda batch: evidence.join(batch.select("request_id"), "request_id", "left_semi"),
         sink, fresh_path(spark, "stream")))
-    decided = spark.read.parquet(sink).drop("batch", "confirmation_id", "confirmation_required")
-    return _with_action(decided)
+    return _with_action(spark.read.parquet(sink).drop("batch"))
 
 
 @query
 def stream_apply(spark, sf):
+    """The events dealt to 24 files in order of their ids, one micro-batch each."""
     _, orders, tickets, escalations, credits = _action_tables(spark, sf)
+    known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
+    most = known.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * 24 / (most + 1))
+    for i in range(24):  # a file stream takes files by age
+        known.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    incoming = flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
     log = fresh_path(spark, "outcomes")
-    _drain(flows.stream_apply(fx.actions_of(_events(spark, sf)), orders, tickets, escalations,
+    _drain(flows.stream_apply(fx.actions_of(incoming), orders, tickets, escalations,
                               credits, log, fresh_path(spark, "stream")))
     return flat(flows.read_outcomes(spark, log).withColumn("amount", F.round("amount", 6)))
 

@@ -426,15 +426,14 @@ _CTES |= _hashed("item_vectors", "benchmark", "item_id", "text")
 
 # The same rules over evidence found by search.
 _CTES |= {
-    "r_requests": """SELECT request_id, account_id, order_id, requested_at, channel, if(query = '', '',
-        'Which customer may cancel a BOOKED shipment before pickup? ' || channel) AS query FROM requests""",
+    "r_requests": "SELECT * FROM requests",
     "policy_chunks": """SELECT document_id, content FROM policy_docs
         UNION ALL SELECT 0, 'An order that is BOOKED, not yet PICKED_UP may be cancelled.'""",
     "r_texts": "SELECT DISTINCT query FROM r_requests WHERE query <> ''",
     **_hashed("policy_vectors", "policy_chunks", "document_id", "content"),
     **_hashed("question_vectors", "r_texts", "query", "query"),
-    "r_hits": """SELECT query, document_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query
-          ORDER BY round(s, 12) DESC, document_id) AS rank
+    "r_hits": """SELECT query, rank, document_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query
+          ORDER BY round(s, 9) DESC, document_id) AS rank
         FROM (SELECT q.query, c.document_id, sum(q.weight * c.weight) / any_value(q.size * c.size) AS s
           FROM (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY query)) AS size FROM question_vectors) q
           JOIN (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY document_id)) AS size FROM policy_vectors) c
@@ -514,7 +513,7 @@ _EVALUATE = f"SELECT {_DECISION_COLUMNS}, " + ", ".join(
     f"if(error IS NULL, {c}, NULL) AS {c}"
     for c in ("allowed", "needs_agent", "escalate", "confidence", "reason", "action_type", "action_target",
               "action_reason")
-) + " FROM decisions"
+) + ", if(error IS NULL, reason, NULL) AS answer FROM decisions"
 _OUTCOMES = f"""SELECT seq, action_type, target_id, reason, {_ts('acted_at')} AS acted_at, account_id, status_before,
   round(amount, 6) AS amount, outcome, error FROM outcomes"""
 
@@ -528,7 +527,7 @@ _AUDIT = f"SELECT * EXCLUDE (acted_at), {_ts('acted_at')} AS created_at FROM aud
 
 _TOPK = """SELECT query_id, rank, chunk_id, score, document_id, content FROM (
   SELECT q.query_id, c.chunk_id, c.document_id, c.content, round(score, 6) AS score,
-    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank
+    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
   FROM (SELECT label::BIGINT AS query_id, list(m ORDER BY i) AS v FROM (
       SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i)
     GROUP BY label) q,
@@ -684,10 +683,14 @@ _QUERIES: dict[str, str] = {
     "embed_backlog": """SELECT chunk_id, 64::BIGINT AS width, round(if(embedding IS NULL, 1.0,
         list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS square_sum FROM chunk_vectors""",
     "cosine_topk": f"SELECT query_id, rank, chunk_id, score FROM ({_TOPK})",
+    "cosine_topk_many": """SELECT query_id, rank, chunk_id, score FROM (SELECT q.vec_id AS query_id, c.chunk_id, round(score, 6) AS score,
+          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+        FROM embeddings q, (SELECT *, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL) c,
+          LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], c.e) AS score)) WHERE rank <= 5""",
     "source_projection": f"SELECT query_id, rank, document_id, content, score FROM ({_TOPK})",
     "search_documents": """SELECT query_id, rank, document_id, md5(content) AS content_md5, score FROM (
         SELECT query_id, document_id, chunk_index, round(s, 5) AS score,
-          row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, document_id, chunk_index) AS rank
+          row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, document_id, chunk_index) AS rank
         FROM (SELECT q.item_id AS query_id, c.document_id, c.chunk_index, sum(q.weight * c.weight) / any_value(q.size * c.size) AS s
           FROM (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY item_id)) AS size FROM item_vectors) q
           JOIN (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY document_id, chunk_index)) AS size FROM text_vectors) c
@@ -712,8 +715,12 @@ _QUERIES: dict[str, str] = {
     "cancellation_evidence": "SELECT request_id, best_score, agreement_count, deny_count, has_policy FROM summary",
     "credit_evidence": "SELECT request_id, has_credit_override FROM summary",
     "evaluate_requests": _EVALUATE,
-    "stream_evaluate": _EVALUATE,
+    "stream_evaluate": _EVALUATE.replace(" FROM decisions", """, ok AS confirmation_required,
+        if(ok, sha256(request_id || '|' || action_type || '|' || action_target), NULL) AS confirmation_id
+        FROM (SELECT *, error IS NULL AND action_type IS NOT NULL AND confidence >= 0.9 AS ok FROM decisions)"""),
     "evaluate_with_retrieval": f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({_EVALUATE.replace('decisions', 'r_decisions')})",
+    "request_sources": """SELECT request_id, rank::BIGINT AS rank, document_id, md5(content) AS content_md5, round(score, 6) AS score
+        FROM r_requests JOIN r_hits USING (query) JOIN policy_chunks USING (document_id)""",
     "service_credit_decision": _credit_sql(500.0),
     "service_credit_approval": _credit_sql(2000.0),
     "confirmation_gate": """SELECT request_id, ok AS confirmation_required,

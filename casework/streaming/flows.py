@@ -22,6 +22,7 @@ from casework.operators.confirm import NOT_FOUND
 from casework.operators.decide import evaluate_requests, gate
 from casework.operators.vectors import Provider, embed_chunks
 from casework.schemas import CONFIRMATION_MINUTES, OUTCOMES, VECTOR_WIDTH
+from casework.workspace import freeze, scratch
 
 def table_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
@@ -50,16 +51,22 @@ def stream_evaluate(
 ) -> StreamingQuery:
     """Requests to gated decisions, batch by batch; no state is changed.
 
-    ``evidence_for`` maps a batch of requests to its evidence, by retrieval or from a table.
+    ``evidence_for`` maps a batch of requests to its evidence, by retrieval or from a table. The
+    batch is written down first, so its size is known and a small one is broadcast to the tables;
+    only the accounts, orders and tickets it names go on.
     """
+    spark = requests.sparkSession
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            decided = evaluate_requests(batch, accounts, orders, tickets, evidence_for(batch))
+        with scratch(spark):
+            rows = freeze(batch, "requests")
+            known = rows.select("account_id").distinct()
+            asked = rows.select("order_id").distinct()
+            decided = evaluate_requests(
+                rows, freeze(accounts.join(known, "account_id", "left_semi"), "accounts"),
+                freeze(orders.join(asked, "order_id", "left_semi"), "orders"),
+                tickets.join(known, "account_id", "left_semi"), evidence_for(rows))
             gate(decided).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
-        finally:
-            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(decide)
@@ -84,17 +91,48 @@ def applied_state(
     )
 
 
-def read_outcomes(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
-    """The logged outcomes, of batches earlier than ``before`` where given."""
-    if before == 0:
-        return spark.createDataFrame([], OUTCOMES)
-    folders = [f"{log.rstrip('/')}/batch=*"]
-    if before is not None:
-        folders = [batch_folder(log, i) for i in range(before)]
-    rows = spark.read.schema(OUTCOMES).option("basePath", log).parquet(*folders)
+def read_outcomes(spark: SparkSession, log: str) -> DataFrame:
+    """All logged outcomes."""
+    rows = spark.read.schema(OUTCOMES).option("basePath", log).parquet(f"{log.rstrip('/')}/batch=*")
     return rows.select(*OUTCOMES.fieldNames())
 
 
+def _segments(batches: int) -> list[tuple[int, int]]:
+    """Ranges of batches, each a power of two long, that make up the first ``batches``."""
+    out, low = [], 0
+    for bit in reversed(range(batches.bit_length())):
+        if batches >> bit & 1:
+            out.append((low, low + (1 << bit)))
+            low += 1 << bit
+    return out
+
+
+def _segment_path(log: str, segment: tuple[int, int]) -> str:
+    return f"{log.rstrip('/')}/state/from={segment[0]}/to={segment[1]}"
+
+
+def _read_state(spark: SparkSession, log: str, batches: int) -> DataFrame:
+    """Executed outcomes of the first ``batches`` batches, from at most log2 folders."""
+    if not batches:
+        return spark.createDataFrame([], OUTCOMES)
+    return spark.read.schema(OUTCOMES).parquet(*[_segment_path(log, s) for s in _segments(batches)])
+
+
+def _write_state(spark: SparkSession, log: str, batch_id: int) -> None:
+    """The segment that ends with this batch: its outcomes and the segments it takes in.
+
+    A row is written again each time its segment doubles, so n batches write each row log2(n)
+    times at most. Running a batch again writes the same segment again.
+    """
+    own = spark.read.schema(OUTCOMES).option("basePath", log).parquet(batch_folder(log, batch_id))
+    rows = own.where("outcome = 'executed'").select(*OUTCOMES.fieldNames())
+    new = _segments(batch_id + 1)[-1]
+    for old in _segments(batch_id):
+        if old[0] >= new[0]:
+            rows = rows.unionByName(spark.read.schema(OUTCOMES).parquet(_segment_path(log, old)))
+    rows.coalesce(max(1, (new[1] - new[0]) // 8)).write.mode("overwrite").parquet(_segment_path(log, new))
+
+
 def stream_apply(
     actions: DataFrame,
     orders: DataFrame,
@@ -106,26 +144,32 @@ def stream_apply(
 ) -> StreamingQuery:
     """Confirmed actions to a log of outcomes, one folder per micro-batch.
 
-    The log is the only thing written, so a batch lands whole or not at all; new orders,
-    escalations, credits and audit rows follow from it (``applied_state``, ``audit_rows``). A
-    batch reads the base tables and the folders of earlier batches only, so running it again
-    gives the same folder again. Only executed outcomes change state, and they have a partition
-    of their own: what a batch reads back is bounded by the orders and tickets there are, not by
-    the actions ever sent. ``seq`` must grow from batch to batch.
+    New orders, escalations, credits and audit rows follow from the log (``applied_state``,
+    ``audit_rows``). Only executed outcomes change state; they are also kept in merged segments,
+    so batch n reads log2(n) folders, and of those and of the base tables only the batch's own
+    targets go on. Outcomes are written before their segment, and both depend on the batch and on
+    earlier batches only, so running a batch again after a failure writes the same. ``seq`` must
+    grow from batch to batch.
     """
     spark = actions.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        past = read_outcomes(spark, log, batch_id).where("outcome = 'executed'")
-        state = applied_state(past, orders, escalations, credits)
-        batch.persist()
-        try:
-            done = apply_action_sequence(batch, state[0], tickets, state[1], state[2])
+        with scratch(spark):
+            rows = freeze(batch, "actions")
+            targets = freeze(rows.select("target_id").distinct(), "targets")
+
+            def own(table: DataFrame, key: str) -> DataFrame:
+                return table.join(targets.withColumnRenamed("target_id", key), key, "left_semi")
+
+            past = freeze(own(_read_state(spark, log, batch_id), "target_id"), "past")
+            state = applied_state(
+                past, freeze(own(orders, "order_id"), "orders"),
+                own(escalations, "ticket_id"), own(credits, "order_id"))
+            done = apply_action_sequence(rows, state[0], own(tickets, "ticket_id"), state[1], state[2])
             done.select(*OUTCOMES.fieldNames()).write.mode("overwrite").partitionBy(
                 "outcome"
             ).parquet(batch_folder(log, batch_id))
-        finally:
-            batch.unpersist()
+            _write_state(spark, log, batch_id)
 
     return (
         actions.writeStream.foreachBatch(apply)
