@@ -398,6 +398,56 @@ def known_documents(spark, sf_dir) -> DataFrame:
     )
 
 
+def audit_logs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
+        "event_id AS id", "concat('ACCT-', user_id) AS account_id", "'CANCEL_ORDER' AS action_type",
+        "concat('ORD-', event_id) AS target_id", "concat('r', event_id) AS reason",
+    )
+
+
+# What the integrity checks must find, by table: a number of the row, the columns that are null
+# where number % 97 = 5, 6, …, and the columns with a stray value where number % 83 = 7, 8, …
+# A row comes twice where number % 89 = 3. Both engines read these expressions.
+FAULTS: dict[str, tuple[str, tuple[str, ...], dict[str, str]]] = {
+    "documents": (
+        "id", ("filename", "title", "document_type", "status", "authority_rank", "metadata"),
+        {"account_id": "'ACCT-GONE'"}),
+    "document_chunks": (
+        "document_id * 7 + chunk_index", ("document_id", "chunk_index", "content", "metadata"),
+        {"document_id": "-document_id - 1"}),
+    "escalations": (
+        "id", ("ticket_id", "account_id", "reason", "priority", "status"),
+        {"ticket_id": "'TCK-GONE'", "account_id": "'ACCT-GONE'", "priority": "'P9'", "status": "'lost'"}),
+    "audit_logs": (
+        "id", ("account_id", "action_type", "target_id", "reason"), {"account_id": "'ACCT-GONE'"}),
+    "service_credits": (
+        "id", ("order_id", "account_id", "amount_inr", "reason", "status", "requested_by"),
+        {"order_id": "'ORD-GONE'", "account_id": "'ACCT-GONE'", "status": "'LOST'"}),
+}
+
+
+def fault_cases(name: str) -> dict[str, str]:
+    """Column to expression, for the columns of a table that have planted faults."""
+    number, nulls, strays = FAULTS[name]
+    out = {}
+    for column in dict.fromkeys((*nulls, *strays)):
+        rules = ""
+        if column in nulls:
+            rules += f" WHEN ({number}) % 97 = {5 + nulls.index(column)} THEN NULL"
+        if column in strays:
+            rules += f" WHEN ({number}) % 83 = {7 + list(strays).index(column)} THEN {strays[column]}"
+        out[column] = f"CASE{rules} ELSE {column} END"
+    return out
+
+
+def faulty(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the planted faults of their table."""
+    cases = fault_cases(name)
+    twice = f"explode(sequence(0, if(({FAULTS[name][0]}) % 89 = 3, 1, 0))) AS _copy"
+    shown = [f"{cases[c]} AS {c}" if c in cases else c for c in rows.columns]
+    return rows.selectExpr(*shown, twice).drop("_copy")
+
+
 def request_bodies(spark, sf_dir) -> DataFrame:
     """Requests as JSON lines, with faults planted by key."""
     return requests(spark, sf_dir).selectExpr(

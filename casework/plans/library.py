@@ -764,17 +764,24 @@ def stream_embed(spark, sf):
 
 
 def _tables(spark, sf, stored: bool = False) -> quality.Tables:
-    """Loaded as they come, so that repeats, gaps and strays are still there.
+    """All eight tables, loaded as they come, with repeats, gaps and strays still there.
 
     ``stored`` writes the parsed rows down first, for checks that read them several times.
     """
     loaded = {n: p.drop("reject_reason") for n, p in _parsed(spark, sf).items()}
-    return {
-        **{n: freeze(p, n) if stored else p for n, p in loaded.items()},
+    chunks = text.chunk_documents(fx.chunk_source(spark, sf)).withColumns({
+        "id": F.concat_ws(":", "document_id", "chunk_index"), "metadata": F.lit("{}")})
+    made = {
         "documents": fx.known_documents(spark, sf),
+        "document_chunks": chunks,
         "escalations": fx.escalations0(spark, sf),
+        "audit_logs": fx.audit_logs(spark, sf),
         "service_credits": fx.credits0(spark, sf),
     }
+    return {
+        **{n: freeze(p, n) if stored else p for n, p in loaded.items()},
+        **{n: fx.faulty(rows, n) for n, rows in made.items()},
+    }
 
 
 @query
@@ -789,10 +796,7 @@ def check_not_null(spark, sf):
 
 @query
 def check_foreign_keys(spark, sf):
-    """Also chunks against the registered documents."""
-    chunks = text.chunk_documents(fx.chunk_source(spark, sf)).withColumn(
-        "id", F.concat_ws(":", "document_id", "chunk_index"))
-    return quality.check_foreign_keys({**_tables(spark, sf, stored=True), "document_chunks": chunks})
+    return quality.check_foreign_keys(_tables(spark, sf, stored=True))
 
 
 @query

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from casework.plans.fixtures import FAULTS, fault_cases
+
 _SPACES = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 _WS = "(" + " || ".join(f"chr({c})" for c in _SPACES) + ")"
 _WS_CLASS = "[" + "".join(rf"\x{{{c:X}}}" for c in _SPACES) + "]+"
@@ -537,16 +539,34 @@ _TOPK = """SELECT query_id, rank, chunk_id, score, document_id, content FROM (
 _FOREIGN_KEYS = [
     ("p_orders", "orders", "account_id", "order_id", "p_accounts", "account_id", "accounts"),
     ("p_tickets", "tickets", "account_id", "ticket_id", "p_accounts", "account_id", "accounts"),
-    ("known_docs", "documents", "account_id", "filename", "p_accounts", "account_id", "accounts"),
-    ("id_chunks", "document_chunks", "document_id", "id", "known_docs", "id", "documents"),
-    ("escalations0", "escalations", "ticket_id", "id", "p_tickets", "ticket_id", "tickets"),
-    ("escalations0", "escalations", "account_id", "id", "p_accounts", "account_id", "accounts"),
-    ("credits0", "service_credits", "order_id", "id", "p_orders", "order_id", "orders"),
-    ("credits0", "service_credits", "account_id", "id", "p_accounts", "account_id", "accounts"),
+    ("i_documents", "documents", "account_id", "filename", "p_accounts", "account_id", "accounts"),
+    ("i_document_chunks", "document_chunks", "document_id", "id", "i_documents", "id", "documents"),
+    ("i_escalations", "escalations", "ticket_id", "id", "p_tickets", "ticket_id", "tickets"),
+    ("i_escalations", "escalations", "account_id", "id", "p_accounts", "account_id", "accounts"),
+    ("i_audit_logs", "audit_logs", "account_id", "id", "p_accounts", "account_id", "accounts"),
+    ("i_service_credits", "service_credits", "order_id", "id", "p_orders", "order_id", "orders"),
+    ("i_service_credits", "service_credits", "account_id", "id", "p_accounts", "account_id", "accounts"),
 ]
+
+
+def _faulty(name: str, source: str) -> str:
+    """A table with its planted faults."""
+    cases = ", ".join(f"{e} AS {c}" for c, e in fault_cases(name).items())
+    rows = f"SELECT * REPLACE ({cases}) FROM {source}"
+    return f"{rows} UNION ALL {rows} WHERE ({FAULTS[name][0]}) % 89 = 3"
+
+
 _CTES |= {
-    "known_docs": "SELECT doc_id AS id, * FROM registry",
-    "id_chunks": "SELECT document_id || ':' || chunk_index AS id, document_id FROM chunks",
+    "known_docs": """SELECT doc_id AS id, *, 'x' AS metadata FROM registry""",
+    "id_chunks": """SELECT document_id || ':' || chunk_index AS id, document_id, chunk_index, content, '{}' AS metadata
+        FROM chunks""",
+    "audit0": """SELECT event_id AS id, 'ACCT-' || user_id AS account_id, 'CANCEL_ORDER' AS action_type,
+          'ORD-' || event_id AS target_id, 'r' || event_id AS reason FROM events WHERE event_type = 'purchase'""",
+    "i_documents": _faulty("documents", "known_docs"),
+    "i_document_chunks": _faulty("document_chunks", "id_chunks"),
+    "i_escalations": _faulty("escalations", "escalations0"),
+    "i_audit_logs": _faulty("audit_logs", "audit0"),
+    "i_service_credits": _faulty("service_credits", "credits0"),
 }
 
 
@@ -781,14 +801,19 @@ _QUERIES: dict[str, str] = {
         WHERE confirmation_id NOT IN (SELECT confirmation_id FROM judged WHERE met AND in_time)""",
     "check_unique": _union([
         _repeats("p_accounts", "accounts", "account_id"), _repeats("p_orders", "orders", "order_id"),
-        _repeats("p_tickets", "tickets", "ticket_id"), _repeats("known_docs", "documents", "id"),
-        _repeats("known_docs", "documents", "filename"), _repeats("escalations0", "escalations", "id"),
-        _repeats("credits0", "service_credits", "id")]),
+        _repeats("p_tickets", "tickets", "ticket_id"),
+        *[_repeats(f"i_{t}", t, c) for t, c in (
+            ("documents", "id"), ("documents", "filename"), ("document_chunks", "id"), ("escalations", "id"),
+            ("audit_logs", "id"), ("service_credits", "id"))],
+        """SELECT 'document_chunks.document_id+chunk_index unique' AS rule, concat_ws('|', document_id, chunk_index) AS key
+          FROM i_document_chunks GROUP BY document_id, chunk_index HAVING count(*) > 1"""]),
     "check_not_null": _union(
         _nulls("p_accounts", "accounts", "account_id", ["account_id", "account_name", "plan", "status", "premium_support"])
         + _nulls("p_orders", "orders", "order_id", ["order_id", "account_id", "carrier", "status", "shipment_fee_inr",
                                                    "carrier_fault", "customer_fault"])
-        + _nulls("p_tickets", "tickets", "ticket_id", ["ticket_id", "account_id", "created_at", "status", "subject", "description"])),
+        + _nulls("p_tickets", "tickets", "ticket_id", ["ticket_id", "account_id", "created_at", "status", "subject", "description"])
+        + [x for t, key in (("documents", "filename"), ("document_chunks", "id"), ("escalations", "id"), ("audit_logs", "id"),
+                            ("service_credits", "id")) for x in _nulls(f"i_{t}", t, key, list(FAULTS[t][1]))]),
     "check_foreign_keys": _union([
         f"""SELECT '{t}.{c} references {pt}' AS rule, {k}::VARCHAR AS key FROM {s} WHERE {c} IS NOT NULL
           AND {c} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL)"""
@@ -797,8 +822,9 @@ _QUERIES: dict[str, str] = {
         _strays("p_accounts", "accounts.plan allowed", "account_id", "plan", "'Standard', 'Growth', 'Enterprise'"),
         _strays("p_orders", "orders.status allowed", "order_id", "status",
                 "'DRAFT', 'BOOKED', 'PICKED_UP', 'RETURN_TO_ORIGIN', 'DELIVERED', 'CANCELLED'"),
-        _strays("escalations0", "escalations.priority allowed", "id", "priority", "'P1', 'P2', 'P3'"),
-        _strays("credits0", "service_credits.status allowed", "id", "status",
+        _strays("i_escalations", "escalations.priority allowed", "id", "priority", "'P1', 'P2', 'P3'"),
+        _strays("i_escalations", "escalations.status allowed", "id", "status", "'pending', 'confirmed', 'created', 'cancelled'"),
+        _strays("i_service_credits", "service_credits.status allowed", "id", "status",
                 "'PENDING_APPROVAL', 'APPROVED', 'ISSUED', 'REJECTED'")]),
     "check_active_unique": """SELECT 'one created escalation per ticket' AS rule, ticket_id AS key FROM escalations0 WHERE status = 'created'
         UNION ALL SELECT 'one active credit per order', order_id FROM credits0 WHERE status <> 'REJECTED'""",
