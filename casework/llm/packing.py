@@ -22,25 +22,31 @@ from casework.workspace import freeze
 WINDOW = 1024
 
 
+def encoded(batches, tokenizer: str, end_id: int):
+    """Per block of rows: their doc_ids, number of ids, and ids with the end id, as bytes."""
+    tool = encoder(tokenizer)
+    end = np.array([end_id], tool.dtype).tobytes()
+    for batch in batches:
+        for block in arrays.blocks(batch.column("text")):
+            texts = batch.column("text").slice(block.first, len(block)).to_pylist()
+            ids = [i + end for i in tool.encode([t or "" for t in texts])]
+            sizes = np.array([len(i) // tool.dtype.itemsize for i in ids], np.int64)
+            yield batch.column("doc_id").slice(block.first, len(block)), sizes, ids
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, at, doc_id, tokens, ids): each text's ids and ``end_id``, little-endian."""
     schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()),
                         ("tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        tool, at, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], tool.dtype).tobytes()
-        for batch in batches:
-            for block in arrays.blocks(batch.column("text")):
-                texts = batch.column("text").slice(block.first, len(block)).to_pylist()
-                ids = [i + end for i in tool.encode([t or "" for t in texts])]
-                sizes = np.array([len(i) // tool.dtype.itemsize for i in ids], np.int64)
-                places = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(places),
-                     batch.column("doc_id").slice(block.first, len(block)), pa.array(sizes),
-                     pa.array(ids, pa.binary())], schema=schema)
+        at, part = 0, TaskContext.get().partitionId()
+        for doc_ids, sizes, ids in encoded(batches, tokenizer, end_id):
+            places = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), part, np.int32)), pa.array(places), doc_ids, pa.array(sizes),
+                 pa.array(ids, pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "part int, at long, doc_id long, tokens long, ids binary")

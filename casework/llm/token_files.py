@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.packing import encode_documents
+from casework.llm.packing import encode_documents, encoded
 from casework.llm.tokens import encoder
 
 SAMPLE_DOCUMENTS, SAMPLE_IDS = 400, 16_384  # the dictionary is trained on about so many, cut so long
@@ -76,7 +76,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(data))
+        ready = _dictionary(data)
+        ready.precompute_compress(level=LEVEL)  # once a task, not once a frame
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=ready)
         shard, block, at = TaskContext.get().partitionId(), 0, 0
         ids, sizes, frames, held = [], [], [], 0
 
@@ -87,10 +89,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                     ([shard], [block], [name], [at], [ids], [sizes], [offsets], [b"".join(frames)]),
                     fields)], schema=fields)
 
-        for batch in batches:
-            for doc_id, size, raw in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids")):
-                frame = squeeze.compress(raw.as_buffer())
+        for doc_ids, counts, raws in encoded(batches, tokenizer, end_id):
+            for doc_id, size, raw in zip(doc_ids.to_pylist(), counts.tolist(), raws):
+                frame = squeeze.compress(raw)
                 ids.append(doc_id), sizes.append(size), frames.append(frame)
                 held += len(frame)
                 if held >= BLOCK_BYTES:
@@ -100,7 +101,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if ids:
             yield flush()
 
-    encode_documents(ordered, tokenizer, end_id).mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _open(spark: SparkSession, path: str) -> tuple[DataFrame, str, bytes, np.dtype]:

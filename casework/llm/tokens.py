@@ -65,12 +65,14 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.cuts = _ends_at_spaces(spec)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.folds = self.cuts and any(n["type"] == "Lowercase" for n in steps)
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
         self.marks = dict(zip(".,", self.whole([".", ","])))
@@ -84,8 +86,10 @@ class Encoder:
         """As ``whole``, in one call: a special token between two texts keeps them apart."""
         if not self.special or any(s in t for s in self.special for t in texts):
             return self.whole(texts)
-        mark = self.joined.token_to_id(self.special[0])
-        line = self.joined.encode_batch_fast([self.special[0].join(texts)], add_special_tokens=False)
+        mark = self.model.token_to_id(self.special[0])
+        self.model.encode_special_tokens = False
+        line = self.model.encode_batch_fast([self.special[0].join(texts)], add_special_tokens=False)
+        self.model.encode_special_tokens = True
         ids = np.array(line[0].ids, self.dtype)
         size, all_bytes = self.dtype.itemsize, ids.tobytes()
         ends = [*(np.flatnonzero(ids == mark) * size).tolist(), len(all_bytes)]
@@ -99,6 +103,8 @@ class Encoder:
         firsts: set[str] = set()
         spaced: set[str] = set()
         for text in texts:
+            if self.folds and text.isascii():
+                text = text.lower()  # as the tokenizer would, so that fewer pieces differ
             if _RUN.search(text):
                 pieces = _safe_pieces(text)
                 firsts.update(pieces)
