@@ -75,6 +75,7 @@ class Rule:
 
 # The reference's second conflict test needs more than one agreement and a denial; any such row
 # is already caught by the first, so there is one conflict rule.
+# The answer texts, confidences and action reasons of both rule tables.
 CANCELLATION_RULES = {
     "no_account": Rule("account context is required", needs_agent=True),
     "security": Rule(

@@ -65,7 +65,7 @@ def embed_column(provider: Provider, batch: int = EMBEDDING_BATCH):
             for i in range(0, len(known), batch):
                 part = list(known.iloc[i : i + batch])
                 got = provider(part)
-                if len(got) != len(part):
+                if len(got) != len(part):  # fixed value: the error's text
                     raise ValueError(
                         f"embedding count mismatch: got {len(got)}, expected {len(part)}"
                     )
@@ -95,7 +95,7 @@ def embed_chunks(
     else:
         raise ValueError(f"unsupported embedding provider: {provider}")
     width = F.size("embedding")
-    error = F.concat(
+    error = F.concat(  # fixed value: the error's text
         F.lit("invalid embedding dimension: got "), width.cast("string"),
         F.lit(f", expected {dims}"),
     )

@@ -117,6 +117,18 @@ def load_rejects(spark, sf):
     return flat(a.unionByName(o).unionByName(t))
 
 
+@query
+def load_orphans(spark, sf):
+    """Orders and tickets that name no account of the account sheet."""
+    parsed = _parsed(spark, sf)
+    accounts, out = sheets.accepted(parsed["accounts"]), []
+    for name, table in (("order", "orders"), ("ticket", "tickets")):
+        good = sheets.accepted(parsed[table]).withColumn("reject_reason", F.lit(None).cast("string"))
+        checked = sheets.with_known_accounts(good, accounts, name)
+        out.append(sheets.rejected(checked).select(F.lit(table).alias("table_name"), "row_no", "reject_reason"))
+    return out[0].unionByName(out[1])
+
+
 @query
 def load_counts(spark, sf):
     return flat(sheets.load_counts(_parsed(spark, sf)))

@@ -589,6 +589,11 @@ def _strays(source: str, rule: str, key: str, column: str, values: str) -> str:
 
 
 _QUERIES: dict[str, str] = {
+    "load_orphans": " UNION ALL ".join(
+        f"""SELECT '{t}s' AS table_name, row_no, 'insert {t} row ' || row_no || ': account does not exist' AS reject_reason FROM p_{t}s
+          WHERE reject_reason IS NULL AND (account_id IS NULL OR account_id NOT IN
+            (SELECT account_id FROM p_accounts WHERE reject_reason IS NULL AND account_id IS NOT NULL))"""
+        for t in ("order", "ticket")),
     "read_sheet": """SELECT row_no, used AS n_cells, array_to_string(list_slice(c, 1, used), '|') AS line FROM (
           SELECT row_no, c, coalesce(list_max(list_transform(range(1, len(c) + 1), lambda i: if(c[i] <> '', i, 0))), 0)::BIGINT AS used
           FROM (SELECT row_no, CASE WHEN row_no % 23 = 0 THEN []

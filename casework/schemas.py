@@ -86,33 +86,6 @@ TICKETS = _schema(
     "last_customer_message_at TIMESTAMP", "historical_resolution STRING",
     "created_record_at TIMESTAMP", "updated_at TIMESTAMP",
 )
-DOCUMENTS = _schema(
-    "id BIGINT", "filename STRING", "title STRING", "document_type STRING", "status STRING",
-    "authority_rank INT", "account_id STRING", "effective_from DATE", "effective_to DATE",
-    "source_updated_at DATE", "metadata STRING", "created_at TIMESTAMP",
-)
-CHUNKS = _schema(
-    "id BIGINT", "document_id BIGINT", "chunk_index INT", "content STRING", "metadata STRING",
-    "embedding ARRAY<FLOAT>", "created_at TIMESTAMP",
-)
-ESCALATIONS = _schema(
-    "id BIGINT", "ticket_id STRING", "account_id STRING", "reason STRING", "priority STRING",
-    "status STRING", "requested_by STRING", "confirmed_by STRING", "confirmed_at TIMESTAMP",
-    "created_at TIMESTAMP",
-)
-AUDIT_LOGS = _schema(
-    "id BIGINT", "account_id STRING", "action_type STRING", "target_id STRING", "reason STRING",
-    "previous_state STRING", "new_state STRING", "created_at TIMESTAMP",
-)
-SERVICE_CREDITS = _schema(
-    "id BIGINT", "order_id STRING", "account_id STRING", "amount_inr DECIMAL(12,2)",
-    "reason STRING", "status STRING", "requested_by STRING", "approved_by STRING",
-    "approved_at TIMESTAMP", "issued_at TIMESTAMP", "created_at TIMESTAMP", "updated_at TIMESTAMP",
-)
-REGISTRY = _schema(
-    "filename STRING", "title STRING", "document_type STRING", "status STRING",
-    "authority_rank INT", "account_id STRING",
-)
 OUTCOMES = _schema(
     "seq BIGINT", "action_type STRING", "target_id STRING", "reason STRING",
     "acted_at TIMESTAMP", "account_id STRING", "status_before STRING", "amount DOUBLE",

@@ -17,6 +17,7 @@ from casework.functions.scalars import (
     parse_number,
 )
 from casework.functions.text import nullable_string, trim_space
+from casework.operators.joins import lookup
 from casework.schemas import ORDER_STATUSES, PLANS, SNAPSHOT_MARKER, SNAPSHOT_STAMP
 from casework.sources.numbering import dense_numbers
 
@@ -177,6 +178,17 @@ def parse_tickets(sheet: DataFrame) -> DataFrame:
     return _result(rows, reason)
 
 
+def with_known_accounts(parsed: DataFrame, accounts: DataFrame, name: str) -> DataFrame:
+    """Parsed orders or tickets, rejected also where their account is not among ``accounts``.
+
+    For either load mode; an earlier reason stays.
+    """
+    known = accounts.select("account_id", F.lit(True).alias("_known")).distinct()
+    missing = F.col("_known").isNull()
+    reason = F.coalesce("reject_reason", F.when(missing, _row(f"insert {name}", ": account does not exist")))
+    return lookup(parsed, known, "account_id").withColumn("reject_reason", reason).drop("_known")
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
