@@ -145,6 +145,7 @@ class Scanner:
         for p in at:
             for notice, j in self.grams[int(grams[p])]:
                 votes.setdefault(notice, Counter())[p - j] += 1
+        found = []
         for notice, starts in sorted(votes.items()):
             whole, taken, tried = self.notices[notice], [], []
             reach, slack = len(whole) // 4 + 2, max(2, len(whole) // 2)
@@ -160,15 +161,21 @@ class Scanner:
                 if pairs and len(pairs) >= self.min_coverage * len(whole):
                     span = (first + pairs[0][0], first + pairs[-1][0] + 1)
                     insort(taken, span)
-                    yield (self.names[notice], len(pairs) / len(whole), span[0] - low, span[1] - 1 - low)
+                    found.append((-len(pairs), -len(pairs) / len(whole), self.names[notice], *span))
+        best: list[tuple[int, int]] = []
+        for _, coverage, name, first, stop in sorted(found):
+            k = bisect_left(best, (first,))
+            if (k == 0 or best[k - 1][1] <= first) and (k == len(best) or stop <= best[k][0]):
+                best.insert(k, (first, stop))
+                yield (name, -coverage, first - low, stop - 1 - low)
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, last_word): one row for each notice in each text.
 
     Words are runs of letters and digits, A-Z lower-cased, counted from 0 over the whole text; the
-    last is included. Equal or similar notices can share words and are each reported. Null and
-    empty texts have none; repeated rows and null ids are rows like any other; other columns are
+    last is included. Where notices overlap, the one with most aligned words is reported, then that
+    with the higher coverage, then by name. Null and empty texts have none; repeated rows and null ids are rows like any other; other columns are
     ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()),

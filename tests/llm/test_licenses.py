@@ -44,7 +44,7 @@ def find(spark, texts):
 def test_every_notice_is_found_whole(spark, name):
     n = len("".join(c if c.isalnum() else " " for c in NOTICES[name]).split())
     found = find(spark, [(1, "three words before " + NOTICES[name].upper() + " after it")])
-    assert (1, name, 1.0, 3, n + 2) in found
+    assert found == [(1, name, 1.0, 3, n + 2)]
 
 
 def test_changed_repeated_and_absent_notices(spark):
