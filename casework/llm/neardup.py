@@ -1,17 +1,20 @@
 """Near-duplicate groups: one-permutation MinHash, banded buckets, star-shaped candidates.
 
-1. Each text becomes its set of distinct word shingles. One hash per shingle fills ``BANDS * ROWS``
-   bins with minima (one permutation); an empty bin borrows from a bin chosen by a hash of its own
+1. Each text becomes its set of distinct word shingles. One hash per shingle fills ``BINS`` bins
+   with minima (one permutation); an empty bin borrows from a bin chosen by a hash of its own
    number, tried until one is filled (optimal densification).
 2. Texts with equal sets are one class, named by its smallest id. Only classes go on, so copies
    never meet each other.
 3. Each band of a class is a bucket key. In a bucket every class is compared with one hub only, so
    a bucket of n gives n - 1 pairs. Links are confirmed on whole sets.
-4. Connected components. A bucket that still holds two components gets another hub and only
-   compares across components; this goes on until two rounds running find nothing new. No bucket
-   and no number of partners is capped.
-
-With 24 bands of 6 rows a pair at the threshold misses every bucket with probability 1e-5.
+4. Connected components. A bucket that still holds several gets up to four other hubs, from its
+   smallest components, and only compares across components; this goes on until two rounds running
+   find nothing new. No bucket and no number of partners is capped.
+
+36 bands of 4 rows lose a pair at the threshold with probability 1e-11 if bins are independent. In a
+small set they are not, many being borrowed from the same few, so sets of up to ``SMALL`` shingles
+have 48 bands of 3 rows. Sets between ``LARGE`` and ``SMALL`` have both: two sets similar enough
+differ in size by a fifth at most, so they share a kind of band.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from casework.llm.components import components
 from casework.operators.joins import lookup
 from casework.workspace import freeze
 
-SHINGLE, BANDS, ROWS = 5, 24, 6
-BINS = BANDS * ROWS
+SHINGLE, BINS = 5, 144
+SMALL, LARGE = 400, 320  # LARGE <= 0.8 * SMALL
+SMALL_ROWS, LARGE_ROWS = 3, 4
 _TRIES = 1024
-SALTS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)  # orders for choosing hubs
+ORDERS = 4  # hubs a bucket and turn
 
 
 def _borrow_table() -> np.ndarray:
@@ -73,14 +77,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(bins: np.ndarray) -> np.ndarray:
-    rows = bins.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
+def band_keys(bins: np.ndarray, n_rows: int) -> np.ndarray:
+    rows = bins.reshape(-1, n_rows)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64) + np.uint64(n_rows << 32)
+    for r in range(n_rows):
         key = arrays.mix(key + rows[:, r])
     return key
 
 
+def bucket_keys(shingles: np.ndarray) -> np.ndarray:
+    bins = signature(shingles)
+    kinds = [r for r, fits in ((SMALL_ROWS, len(shingles) <= SMALL), (LARGE_ROWS, len(shingles) >= LARGE)) if fits]
+    return np.concatenate([band_keys(bins, r) for r in kinds])
+
+
 def _signatures(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()),
                         ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -98,7 +108,7 @@ def _signatures(k: int):
                         n[i] = len(s)
                         a[i] = arrays.signed(s.sum(dtype=np.uint64, keepdims=True))[0]
                         b[i] = arrays.signed(arrays.mix(s).sum(dtype=np.uint64, keepdims=True))[0]
-                        bands[i] = arrays.signed(band_keys(signature(s)))
+                        bands[i] = arrays.signed(bucket_keys(s))
                 ids = batch.column("doc_id").slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(n), pa.array(a), pa.array(b), arrays.ragged(bands, pa.int64())],
@@ -131,30 +141,42 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
-def _stars(buckets: DataFrame, comps: DataFrame | None, salt: int) -> DataFrame:
-    """Each bucket's members paired with its hub: the least id after a bitwise twist."""
-    named = buckets
-    if comps is not None:
-        found = lookup(buckets, comps, "node")
-        named = found.withColumn("component", F.coalesce("component", "node"))
-    twisted = F.col("node").bitwiseXOR(F.lit(salt))
-    hubs = named.groupBy("bucket").agg(
-        F.min(twisted).alias("hub"),
-        *([F.min("component").alias("low"), F.max("component").alias("high")]
-          if comps is not None else []))
-    if comps is not None:
-        hubs = hubs.where("low < high").drop("low", "high")
-    pairs = lookup(named, hubs, "bucket", "inner")
-    hub = F.col("hub").bitwiseXOR(F.lit(salt))
-    if comps is not None:
-        hub_comp = comps.withColumnsRenamed({"node": "hub_node", "component": "hub_component"})
-        pairs = lookup(pairs.withColumn("hub_node", hub), hub_comp, "hub_node")
-        pairs = pairs.where("component <> coalesce(hub_component, hub_node)")
-        hub = F.col("hub_node")
-    return (
-        pairs.select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b"))
-        .where("a <> b").distinct()
-    )
+def _pairs(stars: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of members (node) and hubs."""
+    return stars.select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    ).where("a <> b").distinct()
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Each bucket's members paired with its hub, the least id."""
+    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"))
+    return _pairs(lookup(buckets, hubs, "bucket", "inner"))
+
+
+def _cross_stars(buckets: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """In buckets of several components, hubs of the smallest ones paired with all other members.
+
+    What is not linked yet is mostly alone, so it becomes a hub and meets everyone. Four orders of
+    the ids, others in each bucket and turn, give four hubs at most.
+    """
+    named = lookup(buckets, comps, "node").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    named = freeze(
+        lookup(named, mixed.where("low < high").select("bucket"), "bucket", "inner"), "mixed")
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    least = sizes.groupBy("bucket").agg(F.min("n").alias("least"))
+    small = lookup(sizes, least, "bucket", "inner").where("n = least").select(
+        F.struct("bucket", "component").alias("part"))
+    few = lookup(named.withColumn("part", F.struct("bucket", "component")), small, "part", "inner")
+    salts = [F.xxhash64("bucket", F.lit(ORDERS * turn + i)) for i in range(ORDERS)]
+    hubs = few.groupBy("bucket").agg(*[
+        F.min(F.col("node").bitwiseXOR(x)).alias(f"h{i}") for i, x in enumerate(salts)])
+    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array(*[
+        F.col(f"h{i}").bitwiseXOR(x) for i, x in enumerate(salts)]))).alias("hub"))
+    of = comps.withColumnsRenamed({"node": "hub", "component": "hub_component"})
+    hubs = lookup(hubs, of, "hub").withColumn("hub_component", F.coalesce("hub_component", "hub"))
+    return _pairs(lookup(named, hubs, "bucket", "inner").where("component <> hub_component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -198,13 +220,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
         classes.select(named.alias("set"), "node"), "set", "inner",
     ).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    tested = freeze(_stars(buckets, None, SALTS[0]), "pairs")
+    tested = freeze(_stars(buckets), "pairs")
     links = freeze(links.union(_linked(tested, sets, percent)).distinct(), "links")
     comps, fruitless, turn = components(links), 0, 1
     while fruitless < 2:
         fresh = freeze(
-            _stars(buckets, comps, SALTS[turn % len(SALTS)] + turn)
-            .join(tested, ["a", "b"], "left_anti"), "pairs")
+            _cross_stars(buckets, comps, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             fruitless, turn = fruitless + 1, turn + 1
             continue
