@@ -226,16 +226,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     while fruitless < 2:
         fresh = freeze(
             _cross_stars(buckets, comps, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            fruitless, turn = fruitless + 1, turn + 1
-            continue
+        tested, turn, fruitless = tested.union(fresh), turn + 1, fruitless + 1
         found = freeze(_linked(fresh, sets, percent), "links")
-        tested, turn = tested.union(fresh), turn + 1
-        if found.isEmpty():
-            fruitless += 1
-            continue
-        fruitless, links = 0, links.union(found)
-        comps = components(links)
+        if not found.isEmpty():
+            fruitless, links = 0, links.union(found)
+            comps = components(links)
 
     whole = lookup(classes, comps, "node").select(
         named.alias("set"), F.coalesce("component", "node").alias("component_id"))
