@@ -7,9 +7,11 @@
    never meet each other.
 3. Each band of a class is a bucket key. In a bucket every class is compared with one hub only, so
    a bucket of n gives n - 1 pairs. Links are confirmed on whole sets.
-4. Connected components. A bucket that still holds several gets up to four other hubs, from its
-   smallest components, and only compares across components; this goes on until two rounds running
-   find nothing new. No bucket and no number of partners is capped.
+4. Connected components. The classes of buckets that still hold several are finished exactly: in
+   the order from the rarest shingle on, two sets similar enough share one among their first few
+   (prefix filter). Classes that share one, directly or through others, are a block, and in a
+   block every class meets every other. Large blocks are cut into slices of bounded volume, and
+   each two slices are compared in a task of their own. Nothing is left untested.
 
 36 bands of 4 rows lose a pair at the threshold with probability 1e-11 if bins are independent. In a
 small set they are not, many being borrowed from the same few, so sets of up to ``SMALL`` shingles
@@ -33,7 +35,7 @@ SHINGLE, BINS = 5, 144
 SMALL, LARGE = 400, 320  # LARGE <= 0.8 * SMALL
 SMALL_ROWS, LARGE_ROWS = 3, 4
 _TRIES = 1024
-ORDERS = 4  # hubs a bucket and turn
+VOLUME = 1 << 18  # shingles of a slice; a task holds two slices
 
 
 def _borrow_table() -> np.ndarray:
@@ -154,29 +156,84 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return _pairs(lookup(buckets, hubs, "bucket", "inner"))
 
 
-def _cross_stars(buckets: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """In buckets of several components, hubs of the smallest ones paired with all other members.
-
-    What is not linked yet is mostly alone, so it becomes a hub and meets everyone. Four orders of
-    the ids, others in each bucket and turn, give four hubs at most.
-    """
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, component) of the classes in buckets of several components."""
     named = lookup(buckets, comps, "node").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    named = freeze(
-        lookup(named, mixed.where("low < high").select("bucket"), "bucket", "inner"), "mixed")
-    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    least = sizes.groupBy("bucket").agg(F.min("n").alias("least"))
-    small = lookup(sizes, least, "bucket", "inner").where("n = least").select(
-        F.struct("bucket", "component").alias("part"))
-    few = lookup(named.withColumn("part", F.struct("bucket", "component")), small, "part", "inner")
-    salts = [F.xxhash64("bucket", F.lit(ORDERS * turn + i)) for i in range(ORDERS)]
-    hubs = few.groupBy("bucket").agg(*[
-        F.min(F.col("node").bitwiseXOR(x)).alias(f"h{i}") for i, x in enumerate(salts)])
-    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array(*[
-        F.col(f"h{i}").bitwiseXOR(x) for i, x in enumerate(salts)]))).alias("hub"))
-    of = comps.withColumnsRenamed({"node": "hub", "component": "hub_component"})
-    hubs = lookup(hubs, of, "hub").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-    return _pairs(lookup(named, hubs, "bucket", "inner").where("component <> hub_component"))
+    return lookup(named, mixed.where("low < high").select("bucket"), "bucket", "inner").select("node", "component").distinct()
+
+
+def _blocks(whole: DataFrame, percent: int) -> DataFrame:
+    """(node, block) of classes that may be similar to one of another component.
+
+    Shingles of one class only come first in the order, so of a prefix of n - need + 1 just the
+    shared ones are looked at.
+    """
+    items = whole.select("part", "node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = freeze(items.groupBy("item").agg(
+        F.count("*").alias("n_parts"), F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("n_parts > 1").select("item", "n_parts", (F.col("low") < F.col("high")).alias("mixed")), "shared")
+    shared = lookup(items, often, "item", "inner").groupBy("part", "node", "component", "n").agg(
+        F.sort_array(F.collect_list(F.struct("n_parts", "item", "mixed"))).alias("shared"))
+    left = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    prefix = freeze(
+        shared.where(left > 0).select("node", "component", F.explode(F.slice("shared", F.lit(1), left)).alias("at"))
+        .where("at.mixed").select("node", "component", "at.item"),
+        "prefix")
+    hubs = prefix.groupBy("item").agg(
+        F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    edges = _pairs(lookup(prefix, hubs.where("low < high").select("item", "hub"), "item", "inner"))
+    return components(edges).withColumnRenamed("component", "block")
+
+
+def _compare(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(cell: pa.Table) -> pa.Table:
+        component = cell.column("component").to_numpy()
+        if (component == component[0]).all():
+            return schema.empty_table()
+        node, own, items = cell.column("node").to_numpy(), cell.column("own").to_numpy(), cell.column("items").combine_chunks()
+        size = items.value_lengths().to_numpy().astype(np.int64)
+        _, item, times = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1  # only what two of them have is compared
+        row, item = (x[times[item] > 1] for x in (np.repeat(np.arange(len(size)), size), item))
+        item = number[item]
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        low, high = (np.flatnonzero(own == cell.column(c)[0].as_py()) for c in ("low", "high"))
+        out, step = [np.zeros((0, 2), np.int64)], 2048
+        for first in range(0, len(low), step):
+            ours = low[first : first + step]
+            common = np.zeros((len(ours), len(high)), np.float32)  # whole numbers, exact up to 2**24
+            for left in range(0, int(item[-1]) + 1 if len(item) else 0, step):
+                part = slice(*np.searchsorted(item, [left, left + step]))
+                holds = np.zeros((len(size), step), np.float32)
+                holds[row[part], item[part] - left] = 1
+                common += holds[ours] @ holds[high].T
+            both = common.astype(np.int64)
+            union = size[ours][:, None] + size[high][None, :] - both
+            linked = (100 * both >= percent * union) & (component[ours][:, None] != component[high][None, :])
+            i, j = np.nonzero(linked)
+            out.append(np.sort(np.stack([node[ours[i]], node[high[j]]], 1), axis=1))
+        found = np.concatenate(out)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+
+    return run
+
+
+def _remaining(buckets: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between classes of different components that share a bucket."""
+    whole = freeze(
+        lookup(sets, _open(buckets, comps), "node", "inner")
+        .withColumn("part", F.struct("node", F.xxhash64("items"))).dropDuplicates(["part"]), "open")
+    members = lookup(whole, _blocks(whole, percent), "node", "inner")
+    sizes = members.groupBy("block").agg(F.ceil(F.sum(F.size("items")) / VOLUME).alias("slices"))
+    sliced = lookup(members, sizes, "block", "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+    cells = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "node", "component", "items")
+    return cells.groupBy("block", "low", "high").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -220,17 +277,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
         classes.select(named.alias("set"), "node"), "set", "inner",
     ).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    tested = freeze(_stars(buckets), "pairs")
-    links = freeze(links.union(_linked(tested, sets, percent)).distinct(), "links")
-    comps, fruitless, turn = components(links), 0, 1
-    while fruitless < 2:
-        fresh = freeze(
-            _cross_stars(buckets, comps, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, turn, fruitless = tested.union(fresh), turn + 1, fruitless + 1
-        found = freeze(_linked(fresh, sets, percent), "links")
-        if not found.isEmpty():
-            fruitless, links = 0, links.union(found)
-            comps = components(links)
+    links = freeze(links.union(_linked(_stars(buckets), sets, percent)).distinct(), "links")
+    comps = components(links)
+    found = freeze(_remaining(buckets, sets, comps, percent), "links")
+    if not found.isEmpty():
+        comps = components(links.union(found))
 
     whole = lookup(classes, comps, "node").select(
         named.alias("set"), F.coalesce("component", "node").alias("component_id"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -73,6 +74,37 @@ def test_large_group_whose_members_differ_from_each_other(spark):
     check(spark, rows)
 
 
+def test_few_links_in_a_large_bucket_of_texts_near_the_threshold(spark):
+    """All share their buckets, hardly any two are linked: every pair has to be met."""
+    rng = random.Random(3)
+    base = [rng.choice(VOCABULARY) for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    groups = brute_by_counts(rows, 85)
+    assert 3 <= sum(i != g for i, g in groups.items()) <= 150
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs, percent=85).collect()}
+    assert found == groups
+
+
+def brute_by_counts(rows, percent):
+    """The component of each text, all pairs compared through an index of shingles."""
+    sets, index, group = {d: shingles(t) for d, t in rows}, {}, {d: d for d, _ in rows}
+    for d, s in sets.items():
+        common = Counter(x for g in s for x in index.get(g, ()))
+        for x, n in common.items():
+            if 100 * n >= percent * (len(s) + len(sets[x]) - n) and group[x] != group[d]:
+                low, high = sorted((group[x], group[d]))
+                group = {k: low if v == high else v for k, v in group.items()}
+        for g in s:
+            index.setdefault(g, []).append(d)
+    return group
+
+
 def test_nulls_empty_long_repeated_and_case(spark):
     long = " ".join(VOCABULARY * 20)
     rows = [(1, None), (2, ""), (3, " \t\n\r\x0b\x0c"), (4, "One two"), (5, "one\ttwo"), (5, "one\ttwo"),
