@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Pass one judges each block alone:
 lies in (menus, footers, forms, adverts and the like are never text), its share of link text, its
 length and its share of stop words. Blocks that this leaves open, mostly short ones, take in pass
 two the label of the nearest decided block of their region; a tie means text. A region is an
-article or main element, or the page where there is none.
+article or main element if those hold at least half of the text that pass one decides on, and then
+nothing else is kept; otherwise they are no evidence, and the page is one region.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ _STOP_WORDS = frozenset(
     ser si sin sobre su sus un una y ya""".split())
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["'])*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|"[^"]{0,4096}+"|'[^']{0,4096}+'|["'=])*+)>""",
     re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?![\w-])""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")  # values are read whole
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,7 +73,7 @@ def _never_text(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and m.start() > 0 and attributes[m.start() - 1].isspace():
+        if name == "hidden":
             return True
         if name == "aria-hidden" and value == "true":
             return True
@@ -184,9 +185,16 @@ def _alone(block: _Block) -> bool | None:
 def main_text(page: str | None) -> str:
     """The page's text blocks, two line breaks between them; null has none."""
     found = blocks(page or "")
-    if any(b.region and not b.barred for b in found):
-        found = [b for b in found if b.region]  # the page says where its text is
     labels = [_alone(b) for b in found]
+    if any(b.region and not b.barred for b in found):
+        inside, outside = (sum(len(b.text) for b, is_text in zip(found, labels) if is_text and bool(b.region) == held)
+                           for held in (True, False))
+        if inside >= outside:  # the page says where its text is
+            labels = [x for b, x in zip(found, labels) if b.region]
+            found = [b for b in found if b.region]
+        else:
+            for b in found:
+                b.region = 0
     out = []
     for region in sorted({b.region for b in found}):
         at = [i for i, b in enumerate(found) if b.region == region and not b.barred]

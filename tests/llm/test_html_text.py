@@ -36,6 +36,27 @@ def test_main_text(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize("value", ["a > b " * 1000, "<i>x</i> " * 1000, '{"class": "menu"} hidden id="nav" ' * 300])
+def test_long_attribute_values_are_no_text(value):
+    assert main_text(article(f"<p data-state='{value}'>{LONG}</p>")) == LONG.strip()
+    assert main_text(f"<div class=menu data-state='{value}'><p>{LONG}</div><p>{LONG}x") == f"{LONG}x"
+
+
+def test_a_stray_quote_does_not_swallow_the_page():
+    assert main_text(article(f'<p width=5">{LONG * 50}</p><p title="t">{LONG}')) == f"{(LONG * 50).strip()}\n\n{LONG.strip()}"
+
+
+def test_many_open_values_are_quick():
+    for unit in ("<a '", '<a "="', "<a ='x\"", '<a "\'"', "<a = '"):
+        assert main_text(unit * 30000 + ">") is not None
+
+
+def test_a_small_article_does_not_hide_the_page():
+    page = f"<article><h3>Teaser</h3><p>{LONG}</article><div><h1>Head</h1><p>{LONG}<p>Short.<p>{LONG}</div><ul><li><a>x</a></ul>"
+    assert main_text(page) == f"Teaser\n\n{LONG.strip()}\n\nHead\n\n{LONG.strip()}\n\nShort.\n\n{LONG.strip()}"
+    assert main_text(f"<p>{LONG}<article><p>{LONG}<p>{LONG}</article>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
 def test_ambiguous_blocks_follow_the_nearest_decided_one():
     page = f"<div><p>{LONG}<p>near text<p>also near</div><p>far<p>close to links<p><a>{LONG}</a>"
     assert main_text(page) == f"{LONG.strip()}\n\nnear text\n\nalso near"
