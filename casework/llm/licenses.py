@@ -1,18 +1,22 @@
-"""License notices found by patience alignment.
-
-Words that occur once in the text and once in a notice are anchors. The longest chain of anchors in
-the same order on both sides (a longest increasing subsequence) is kept, and the gaps between are
-aligned the same way. A notice's coverage is the share of its words that are aligned.
-
-Most texts hold no notice, so three words in a row of any notice are looked for first, by hash and
-for a whole block of texts at once. Around such places, and only there, the alignment runs; each
-place starts a region of its own, so a notice that a text holds twice is found twice.
+"""License notices found by alignment.
+
+A notice's coverage is the share of its words that are aligned with a text's, in order. A text can
+hold a notice only if it has enough of its words at all, so those are counted first, by hash and
+for a whole block of texts at once. In the texts that remain, the notice's words are followed as
+long as no gap between two of them is longer than a quarter of the notice and two words; how many
+words lie between in all does not matter. Along such a stretch the longest common subsequences
+that are long enough are taken, each the shortest stretch of text it fits in, so a notice that a
+text holds twice is found twice.
+
+``align`` is the patience form: words that occur once on both sides are anchors, the longest chain
+of anchors in the same order (a longest increasing subsequence) is kept, and the gaps between are
+aligned the same way. Repeated words hide its anchors, so the scan does not rely on it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import Counter
+import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from casework.llm import arrays
 
-MIN_COVERAGE, SEED = 0.8, 3
+MIN_COVERAGE = 0.8
 
 # Public licenses' notices as their texts or their stewards give them.
 NOTICES = {
@@ -108,66 +112,89 @@ class Scanner:
     """All notices, ready for many texts."""
 
     def __init__(self, notices: dict[str, str], min_coverage: float):
-        self.min_coverage = min_coverage
         texts = pa.array(notices.values(), pa.string())
-        self.notices, grams = [], {}
-        blocks = [b for b in arrays.blocks(texts)]
-        for block in blocks:
+        hashes = []
+        for block in arrays.blocks(texts):
             words = block.words(arrays.ALPHANUMERIC, arrays.LOWER)
-            for i in range(len(block)):
-                part = words.hash[words.of[i] : words.of[i + 1]]
-                for j, g in enumerate(arrays.runs(part, SEED).tolist()):
-                    grams.setdefault(g, []).append((len(self.notices), j))
-                self.notices.append(part.tolist())
-        self.names, self.grams = list(notices), grams
-        self.seeds = np.array(sorted(grams), np.uint64)
+            hashes += [words.hash[words.of[i] : words.of[i + 1]] for i in range(len(block))]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        self.names, self.notices, self.places = list(notices), [], []
+        for part in hashes:
+            notice = np.searchsorted(self.vocabulary, part)
+            places: dict[int, list[int]] = {}
+            for j in range(len(notice) - 1, -1, -1):
+                places.setdefault(int(notice[j]), []).append(j)
+            self.notices.append(notice)
+            self.places.append(places)
+        self.need = [max(1, math.ceil(min_coverage * len(n))) for n in self.notices]
 
     def scan(self, block: arrays.Block):
         """(text, name, coverage, first word, last word) of every notice found."""
         words = block.words(arrays.ALPHANUMERIC, arrays.LOWER)
-        grams = words.grams(SEED)
-        if not len(grams) or not len(self.seeds):
+        size = len(self.vocabulary)
+        if not len(words.hash) or not size:
             return
-        place = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[place] == grams)
-        text = np.searchsorted(words.of, hits, side="right") - 1
-        inside = hits + SEED <= words.of[text + 1]
-        edges = np.searchsorted(text[inside], np.arange(len(block) + 1))
-        hits = hits[inside]
-        for i in range(len(block)):
-            at = hits[edges[i] : edges[i + 1]]
-            if len(at):
-                low, high = int(words.of[i]), int(words.of[i + 1])
-                yield from ((i, *x) for x in self._text(words.hash, grams, at.tolist(), low, high))
-
-    def _text(self, hashes, grams, at, low, high):
-        votes: dict[int, Counter] = {}
-        for p in at:
-            for notice, j in self.grams[int(grams[p])]:
-                votes.setdefault(notice, Counter())[p - j] += 1
+        place = np.minimum(np.searchsorted(self.vocabulary, words.hash), size - 1)
+        at = np.flatnonzero(self.vocabulary[place] == words.hash)
+        word = place[at]
+        text = np.searchsorted(words.of, at, side="right") - 1
+        counts = np.bincount(text * size + word, minlength=len(block) * size).reshape(len(block), size)
+        possible = np.zeros((len(block), len(self.notices)), bool)
+        for k, (notice, need) in enumerate(zip(self.notices, self.need)):
+            ids, times = np.unique(notice, return_counts=True)
+            possible[:, k] = np.minimum(counts[:, ids], times).sum(axis=1) >= need
+        edges = np.searchsorted(text, np.arange(len(block) + 1))
+        for i in np.flatnonzero(possible.any(axis=1)).tolist():
+            part = slice(edges[i], edges[i + 1])
+            yield from ((i, *x) for x in self._text(at[part] - words.of[i], word[part], np.flatnonzero(possible[i]).tolist()))
+
+    def _stretches(self, at, word, k):
+        """(aligned, first word, last word) of one notice after the other."""
+        notice, need = self.notices[k], self.need[k]
+        reach = len(notice) // 4 + 2
+        mine = np.isin(word, notice)
+        at, word = at[mine], word[mine]
+        ids, times = np.unique(notice, return_counts=True)
+        cuts = [0, *(np.flatnonzero(np.diff(at) > reach + 1) + 1).tolist(), len(at)]
+        for low, high in zip(cuts, cuts[1:]):
+            if high - low < need:
+                continue
+            there = np.bincount(word[low:high], minlength=len(self.vocabulary))[ids]
+            if np.minimum(there, times).sum() >= need:
+                yield from self._follow(at[low:high].tolist(), word[low:high].tolist(), k, reach)
+
+    def _follow(self, at, word, k, reach):
+        places, need, m = self.places[k], self.need[k], len(self.notices[k])
+        latest = np.full((m + 1, m + 1), -1)  # [c, j]: last place where c of the first j words, in order, can begin
+        n, best = 0, None
+        while n < len(at) or best:
+            if best and (n == len(at) or best[0] == m or at[n] - best[2] > reach + 1):
+                yield best[:3]
+                n, best = best[3] + 1, None
+                latest.fill(-1)
+                continue
+            for j in places[word[n]]:
+                before = latest[:m, j].copy()
+                before[0] = at[n]
+                np.maximum(latest[1:, j + 1 :], before[:, None], out=latest[1:, j + 1 :])
+            least = max(need, best[0] + 1 if best else 0)
+            reached = np.flatnonzero(latest[least:, m] >= 0)
+            if len(reached):
+                c = least + int(reached[-1])
+                best = (c, int(latest[c, m]), at[n], n)
+            n += 1
+
+    def _text(self, at, word, candidates):
         found = []
-        for notice, starts in sorted(votes.items()):
-            whole, taken, tried = self.notices[notice], [], []
-            reach, slack = len(whole) // 4 + 2, max(2, len(whole) // 2)
-            for start in sorted(starts, key=lambda x: (-starts[x], x)):  # best supported first
-                k = bisect_left(tried, start)
-                if any(abs(start - t) < slack for t in tried[max(0, k - 1) : k + 1]):
-                    continue
-                insort(tried, start)
-                k = bisect_left(taken, (start + 1,))
-                first = max(start - reach, low, taken[k - 1][1] if k else low)
-                stop = min(start + len(whole) + reach, high, taken[k][0] if k < len(taken) else high)
-                pairs = align(hashes[first:stop].tolist(), whole) if first < stop else []
-                if pairs and len(pairs) >= self.min_coverage * len(whole):
-                    span = (first + pairs[0][0], first + pairs[-1][0] + 1)
-                    insort(taken, span)
-                    found.append((-len(pairs), -len(pairs) / len(whole), self.names[notice], *span))
+        for k in candidates:
+            for aligned, first, last in self._stretches(at, word, k):
+                found.append((-aligned, -aligned / len(self.notices[k]), self.names[k], first, last + 1))
         best: list[tuple[int, int]] = []
         for _, coverage, name, first, stop in sorted(found):
             k = bisect_left(best, (first,))
             if (k == 0 or best[k - 1][1] <= first) and (k == len(best) or stop <= best[k][0]):
                 best.insert(k, (first, stop))
-                yield (name, -coverage, first - low, stop - 1 - low)
+                yield (name, -coverage, int(first), int(stop) - 1)
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, min_coverage: float = MIN_COVERAGE) -> DataFrame:

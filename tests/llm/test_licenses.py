@@ -68,6 +68,23 @@ def test_changed_repeated_and_absent_notices(spark):
     assert find(spark, []) == []
 
 
+def between(words, every, extra="rem"):
+    return " ".join(w + f" {extra}" * (i % every == every - 1) for i, w in enumerate(words))
+
+
+def test_notices_without_three_words_in_a_row(spark):
+    clean = {n: "".join(c if c.isalnum() else " " for c in t).split() for n, t in NOTICES.items()}
+    texts = [(1, "Released under MIT License."), (2, "x Released under an MIT License. y"), (3, between(clean["MIT-text"], 2)),
+             (4, between(clean["ISC"], 1)), (5, between(clean["BSD"], 3, "line 12 rem")), (6, "Released under MIT License. " * 3),
+             (7, "released a b c d e f under a b c d e f the a b c d e f mit a b c d e f license")]
+    found = find(spark, texts)
+    n = {name: len(words) for name, words in clean.items()}
+    assert found == sorted([
+        (1, "MIT", 0.8, 0, 3), (2, "MIT", 0.8, 1, 5), (3, "MIT-text", 1.0, 0, n["MIT-text"] + (n["MIT-text"] - 1) // 2 - 1),
+        (4, "ISC", 1.0, 0, 2 * n["ISC"] - 2), (5, "BSD", 1.0, 0, n["BSD"] + (n["BSD"] - 1) // 3 * 3 - 1),
+        (6, "MIT", 0.8, 0, 3), (6, "MIT", 0.8, 4, 7), (6, "MIT", 0.8, 8, 11)], key=repr)
+
+
 def test_random_texts_have_none(spark):
     rng = random.Random(5)
     pool = [w for t in NOTICES.values() for w in t.split()]
