@@ -95,5 +95,13 @@ def test_repeated_and_nameless_rows(spark):
     assert stages["pack"](spark, docs, SF_DIR).count() == 7
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    schema = spark.read.parquet(f"{SF_DIR}/documents.parquet").schema
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(7, t, "en", "s", len(t)) for t in (one, other, other + " end", other)], schema)
+    texts = [r.text for r in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()]
+    assert len(texts) == 2 and one in texts and (other in texts or other + " end" in texts)
+
+
 def test_run_goes_through(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
