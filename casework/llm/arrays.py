@@ -62,11 +62,14 @@ class Block:
 
 
 class Words:
-    """Runs of the bytes in ``inside``; ``of[i]:of[i + 1]`` are the words of text i."""
+    """Runs of the bytes in ``inside``; ``of[i]:of[i + 1]`` are the words of text i.
 
-    def __init__(self, block: Block, inside: np.ndarray, fold: np.ndarray):
+    ``inside`` holds a flag per value of a byte, or if ``masked`` one per byte of the block.
+    """
+
+    def __init__(self, block: Block, inside: np.ndarray, fold: np.ndarray, masked: bool = False):
         data, at = block.data, block.at
-        is_in = inside[data]
+        is_in = inside if masked else inside[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = is_in[:-1], is_in[1:]
         edges = at[1:-1]

@@ -4,7 +4,49 @@ _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an expression's UTF-8, a bit at a time from the lowest."""
+    code = f"hex(encode({text}))"
+    bits = f"""list_transform(range(0, 4 * length({code})), lambda k:
+        (('0x' || substr({code}, (2 * (k // 8) + 1)::INT, 2))::INT >> (k % 8)::INT) & 1)"""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b:
+        xor(c >> 1, (xor(c, b) & 1) * 3988292384)))"""
+
+
+_VARIANTS = f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        each AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 5 GROUP BY ALL),
+        coded AS (SELECT w, k, {_crc32("doc_id::VARCHAR || ':' || w")} AS h FROM each),
+        edited AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+                ELSE w END AS word, k FROM coded),
+        words AS (SELECT word, sum(k)::BIGINT AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        cut AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, unnest(range(0, length(word)))::INT AS i FROM words)),
+        pairs AS (
+            SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+            UNION SELECT c.word, c.rest FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT c.rest, c.word FROM cut c JOIN words w ON c.rest = w.word),
+        near AS (
+            SELECT a AS word, count(*) AS n_near, arg_max(b, (n, -r)) AS best, max(n) AS best_n
+            FROM pairs JOIN (SELECT *, row_number() OVER (ORDER BY encode(word)) AS r FROM words) w ON w.word = b
+            GROUP BY a),
+        formed AS (
+            SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+                CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+            FROM words LEFT JOIN near USING (word)),
+        way AS (
+            SELECT word, word AS root, form AS next FROM formed
+            UNION ALL
+            SELECT way.word, f.word, f.form FROM way JOIN formed f ON f.word = way.next)
+        SELECT word, form, root, n, n_near, form_n FROM formed
+        JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)"""
+
 ORACLES = {
+    "op13_spelling_variants": _VARIANTS,
     "op6_decontaminate": f"""
         WITH d AS (SELECT doc_id, hash(text) AS k, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

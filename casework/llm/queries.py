@@ -16,6 +16,7 @@ from casework.llm.neardup import near_duplicates
 from casework.llm.oracles import ORACLES
 from casework.llm.quality_lm import classify
 from casework.llm.quality_rules import apply_host_rules
+from casework.llm.spelling import spelling_variants
 from casework.llm.tables import given
 from casework.workspace import fresh_path
 
@@ -65,6 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_corpus(spark, path))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(given(spark, sf_dir, "documents"), typos=True)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_lm,
         op9_pii,
         op10_token_files,
+        op13_spelling_variants,
     )
 }
 
