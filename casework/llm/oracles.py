@@ -45,7 +45,41 @@ _VARIANTS = f"""
         SELECT word, form, root, n, n_near, form_n FROM formed
         JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)"""
 
+_PERIODS = f"""
+        WITH given AS (
+            SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sized AS (SELECT *, h // 10 AS g, len(w) AS n, len(w) > 0 AND h % 10 = 0 AS hit FROM given),
+        placed AS (SELECT *, CASE WHEN hit THEN g % n END AS a FROM sized),
+        d AS (
+            SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i
+                ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM placed),
+        words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+        equal AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word
+                AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM equal),
+        stretches AS (SELECT doc_id, min(i) AS s, count(*) + q AS len, q FROM islands GROUP BY doc_id, q, k),
+        runs AS (
+            SELECT doc_id, s, len, min(q) AS q FROM stretches WHERE len >= greatest(24, 3 * q) GROUP BY doc_id, s, len),
+        per AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed
+            FROM runs GROUP BY doc_id),
+        best AS (
+            SELECT * FROM runs QUALIFY row_number() OVER (
+                PARTITION BY doc_id ORDER BY (len::DOUBLE / q) DESC, s, q) = 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s AS start, len AS length, q AS period,
+            (1000 * len) // q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+            sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLES = {
+    "op11_periodic_runs": _PERIODS,
     "op13_spelling_variants": _VARIANTS,
     "op6_decontaminate": f"""
         WITH d AS (SELECT doc_id, hash(text) AS k, {_WORDS} AS w FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import packing, pii, token_files
+from casework.llm import packing, periodic, pii, token_files
 from casework.llm.decontaminate import decontaminate
 from casework.llm.html_text import extract
 from casework.llm.licenses import scan_licenses
@@ -66,6 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_corpus(spark, path))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.plant_periods(given(spark, sf_dir, "documents"))
+    return periodic.digest(periodic.periodic_runs(docs))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(given(spark, sf_dir, "documents"), typos=True)
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_lm,
         op9_pii,
         op10_token_files,
+        op11_periodic_runs,
         op13_spelling_variants,
     )
 }
