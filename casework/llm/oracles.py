@@ -78,7 +78,31 @@ _PERIODS = f"""
             sha256(coalesce(kept.text, '')) AS collapsed_sha256
         FROM d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+_REPEATS = """
+        WITH d AS (
+            SELECT doc_id, hash(text) AS k, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+        rows AS (SELECT DISTINCT doc_id, k, x, length(x) // 2 AS n FROM d),
+        starts AS (SELECT doc_id, k, x, unnest(range(0, n - 199)) AS i FROM rows WHERE n >= 200),
+        windows AS (SELECT doc_id, k, i, md5(substr(x, 2 * i + 1, 400)) AS w FROM starts),
+        twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+        hits AS (SELECT doc_id, k, i FROM windows SEMI JOIN twice USING (w)),
+        marked AS (
+            SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hits),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, k ORDER BY i) AS s FROM marked),
+        spans AS (SELECT doc_id, k, s, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, k, s),
+        gaps AS (
+            SELECT r.doc_id, r.k, x, coalesce(lag(b) OVER (PARTITION BY r.doc_id, r.k ORDER BY a), 0) AS low, a AS high, a, b
+            FROM rows r JOIN spans USING (doc_id, k)),
+        kept AS (
+            SELECT doc_id, k, count(*) AS n_spans, sum(b - a) AS n_removed,
+                string_agg(substr(x, 2 * low + 1, 2 * (high - low)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS left_over
+            FROM gaps GROUP BY doc_id, k)
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+            coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, x))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id, k)"""
+
 ORACLES = {
+    "op12_suffix_dedup": _REPEATS,
     "op11_periodic_runs": _PERIODS,
     "op13_spelling_variants": _VARIANTS,
     "op6_decontaminate": f"""

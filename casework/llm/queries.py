@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import packing, periodic, pii, token_files
+from casework.llm import packing, periodic, pii, suffix_dedup, token_files
 from casework.llm.decontaminate import decontaminate
 from casework.llm.html_text import extract
 from casework.llm.licenses import scan_licenses
@@ -71,6 +71,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(docs))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs, keep_first=False))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(given(spark, sf_dir, "documents"), typos=True)
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op9_pii,
         op10_token_files,
         op11_periodic_runs,
+        op12_suffix_dedup,
         op13_spelling_variants,
     )
 }
