@@ -14,13 +14,16 @@ One suffix array of a corpus fits no task, so places are dealt out so that equal
    as a whole, and one whose anchor does not come again is not; that decides nearly all, on rows of
    a few numbers. What is left are the borders of repeated passages.
 3. The bytes of each distinct slice left under an anchor are sent to that anchor's group. There,
-   suffixes are sorted, and earlier and other occurrences read off their neighbours. An anchor with
-   more than GROUP distinct slices (a passage that a large part of the corpus quotes) is split
-   instead: its windows go each by the hash of its bytes and are aggregated, in any number of tasks.
+   suffixes are sorted, and earlier and other occurrences read off their neighbours.
+4. An anchor with more than GROUP distinct slices (a passage that a large part of the corpus quotes)
+   is split first: its slices are cut into stretches of STEP places, which have the bytes that all
+   their windows share as their anchor, and go through 2 and 3 again; what is still too many after
+   that goes by single windows, whose bytes alone decide.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -36,6 +39,7 @@ from casework.workspace import freeze, release
 LENGTH = 200  # bytes
 GRAM = 64
 GROUP = 512  # distinct slices of an anchor that one group takes
+STEP = 8  # places
 BUCKET_BYTES = 4 << 20  # of slices that a task sorts together
 ROWS = 20_000  # in an Arrow batch
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -122,11 +126,14 @@ def _slice_rows(length: int, gram: int):
     return run
 
 
+_SLICE = "doc_id long, text_key long, first int, count int, anchor_at int, anchor long, content long"
+_CUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("count", pa.int32()),
+                  ("anchor_at", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary())])
+
+
 def _cut(length: int):
-    """A text's wanted slices as bytes; of hot anchors, each window's 128-bit hash instead."""
-    names = ["doc_id", "text_key", "first", "anchor", "hot", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-    schema = pa.schema(list(zip(names, kinds)))
+    """A text's wanted slices with their bytes."""
+    schema = _CUT.append(pa.field("hot", pa.bool_()))
 
     def run(batches):
         seen = set()
@@ -139,12 +146,9 @@ def _cut(length: int):
                 seen.add((doc_id, key))
                 raw = text.as_py().encode()
                 for w in wanted.as_py():
-                    first, count, anchor, hot = w["first"], w["count"], w["anchor"], w["hot"]
-                    if hot:
-                        out += [(doc_id, key, a, anchor, True, hashlib.blake2b(raw[a : a + length], digest_size=16).digest())
-                                for a in range(first, first + count)]
-                    else:
-                        out.append((doc_id, key, first, anchor, False, raw[first : first + count + length - 1]))
+                    first, count = w["first"], w["count"]
+                    out.append((doc_id, key, first, count, w["anchor_at"], w["anchor"], w["content"],
+                                raw[first : first + count + length - 1], w["hot"]))
                 if len(out) >= ROWS:
                     yield _batch(out, schema)
                     out = []
@@ -154,6 +158,36 @@ def _cut(length: int):
     return run
 
 
+def _long(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _split(length: int, step: int):
+    """Slices as stretches of places whose distances to the anchor have one quotient by ``step``."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                doc_id, key, first, count, at, anchor, _, raw = row
+                low, high = at - first - count + 1, at - first
+                for j in range(low // step, high // step + 1):
+                    near, far = max(low, step * j), min(high, step * (j + 1) - 1)
+                    begin, last = at - far - first, at - near - first
+                    piece = raw[begin : last + length]
+                    shared = raw[at - step * j - first : at - step * (j + 1) + 1 - first + length]
+                    head = b"%d %d " % (anchor, j)
+                    out.append((doc_id, key, first + begin, far - near + 1, at, _long(head + shared),
+                                _long(b"%d %d " % (near, far) + piece), piece))
+                if len(out) >= ROWS:
+                    yield _batch(out, _CUT)
+                    out = []
+            if out:
+                yield _batch(out, _CUT)
+
+    return run
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -215,47 +249,68 @@ def _matched(length: int, keep_first: bool):
     return run
 
 
+def _whole(found: DataFrame, contents: DataFrame, keep_first: bool) -> DataFrame:
+    """Ranges of the slices whose bytes come again whole."""
+    both = contents.where("lo <> hi").select(F.struct("anchor", "content").alias("slice"), "lo")
+    rows = lookup(found.withColumn("slice", F.struct("anchor", "content")), both, "slice", "inner")
+    if keep_first:
+        rows = rows.where(_place() > F.col("lo"))
+    return rows.select("doc_id", "text_key", "first", (F.col("first") + F.col("count") - 1).alias("last"))
+
+
+def _contents(found: DataFrame, *others: str) -> DataFrame:
+    """(anchor, content, lo, hi): first and last place of every distinct slice."""
+    return freeze(found.groupBy("anchor", "content").agg(
+        F.min(_place()).alias("lo"), F.max(_place()).alias("hi"),
+        *[F.min_by(c, _place()).alias(c) for c in others]), "contents")
+
+
+def _unlike(contents: DataFrame, *others: str) -> DataFrame:
+    """The first place of each distinct slice of an anchor that has several, and their number n."""
+    mixed = contents.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    return lookup(contents, mixed, "anchor", "inner").select("anchor", "content", "n", "lo.*", *others)
+
+
+def _borders(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Ranges of the repeated places in slices that differ, anchor by anchor."""
+    total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(total // BUCKET_BYTES + 1))
+    near = pieces.select(
+        bucket.alias("bucket"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "first", "bytes")
+    return near.groupBy("bucket").applyInArrow(
+        _matched(length, keep_first), "doc_id long, text_key long, first int, last int")
+
+
 def repeated_places(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, text_key, first, last): ranges of bytes from which ``length`` bytes are repeated."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
     named = named.where(F.octet_length("text") >= length)
-    found = freeze(named.mapInArrow(
-        _slice_rows(length, gram), "doc_id long, text_key long, first int, count int, anchor_at int, anchor long, content long"), "slices")
+    found = freeze(named.mapInArrow(_slice_rows(length, gram), _SLICE), "slices")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     again = freeze(lookup(found, often, "anchor", "inner"), "again")
     release(found)
-    contents = freeze(again.groupBy("anchor", "content").agg(
-        F.min(_place()).alias("lo"), F.max(_place()).alias("hi")), "contents")
-    # Slices that come again whole.
-    both = contents.where("lo <> hi").select(F.struct("anchor", "content").alias("slice"), "lo")
-    whole = lookup(again.withColumn("slice", F.struct("anchor", "content")), both, "slice", "inner")
-    if keep_first:
-        whole = whole.where(_place() > F.col("lo"))
-    whole = whole.select("doc_id", "text_key", "first", (F.col("first") + F.col("count") - 1).alias("last"))
-    # Different slices of one anchor: the first place of each is compared.
-    mixed = contents.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    one = lookup(contents, mixed, "anchor", "inner").select("anchor", "n", "lo.*")
-    wanted = one.groupBy(F.struct("doc_id", "text_key").alias("row")).agg(F.collect_list(F.struct(
-        "first", "count", "anchor", (F.col("n") > group).alias("hot"))).alias("wanted"))
+    contents = _contents(again)
+    wanted = _unlike(contents).groupBy(F.struct("doc_id", "text_key").alias("row")).agg(F.collect_list(F.struct(
+        "first", "count", "anchor_at", "anchor", "content", (F.col("n") > group).alias("hot"))).alias("wanted"))
     keyed = named.withColumn("row", F.struct("doc_id", "text_key"))
-    pieces = lookup(keyed, wanted, "row", "inner").mapInArrow(
-        _cut(length), "doc_id long, text_key long, first int, anchor long, hot boolean, bytes binary")
-    pieces = freeze(pieces, "pieces")
-    total = pieces.where("NOT hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(total // BUCKET_BYTES + 1))
-    near = pieces.where("NOT hot").select(
-        bucket.alias("bucket"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "first", "bytes")
-    borders = near.groupBy("bucket").applyInArrow(
-        _matched(length, keep_first), "doc_id long, text_key long, first int, last int")
-    # Anchors with very many different slices: window by window.
-    hot = pieces.where("hot").withColumn("window", F.struct("anchor", "bytes"))
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "first")
-    equal = hot.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    split = lookup(hot, equal.drop("hi"), "window", "inner")
-    if keep_first:
-        split = split.where(place > F.col("lo"))
-    split = split.select("doc_id", "text_key", "first", F.col("first").alias("last"))
-    return whole.union(borders).union(split)
+    pieces = freeze(lookup(keyed, wanted, "row", "inner").mapInArrow(
+        _cut(length), f"{_SLICE}, bytes binary, hot boolean"), "pieces")
+    hot, rest = pieces.where("hot"), pieces.where("NOT hot")
+
+    stretches = freeze(hot.select(_CUT.names).mapInArrow(_split(length, STEP), f"{_SLICE}, bytes binary"), "stretches")
+    shorter = _contents(stretches, "bytes")
+    unlike = freeze(_unlike(shorter, "bytes"), "unlike")
+    single = unlike.where(F.col("n") > group).select(_CUT.names).mapInArrow(_split(length, 1), f"{_SLICE}, bytes binary")
+    single = freeze(single.drop("bytes"), "windows")
+
+    parts = [
+        _whole(again, contents, keep_first),
+        _borders(rest, length, keep_first),
+        _whole(stretches, shorter, keep_first),
+        _borders(unlike.where(F.col("n") <= group), length, keep_first),
+        _whole(single, _contents(single), keep_first),
+    ]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
