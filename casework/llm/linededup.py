@@ -120,7 +120,8 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first occurrence. A text all of whose lines go is empty, the row stays. Rows that agree in
     doc_id and text are the same document: none is a repeat of the other, and all get the same
     result. Null texts stay null, with 0 deleted; null ids come after all others; other columns
-    are kept. An empty table gives an empty result.
+    are kept, but for an ``n_deleted``, which the new one replaces. An empty table gives an empty
+    result.
     """
     runs = freeze(repeated_runs(docs, min_words), "runs")
     keyed = docs.select(
@@ -134,5 +135,5 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n = F.when(F.col("runs").isNull(), 0).otherwise(F.size(gone))
     return out.select(
         *[F.when(F.col("runs").isNull(), text).otherwise(kept).alias("text") if c == "text"
-          else F.col("all").getField(c).alias(c) for c in docs.columns],
+          else F.col("all").getField(c).alias(c) for c in docs.columns if c != "n_deleted"],
         n.cast("long").alias("n_deleted"))

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from casework.workspace import freeze
 from tests.llm import test_decontaminate, test_linededup, test_neardup, test_quality_lm
@@ -87,7 +89,8 @@ def test_repeated_and_nameless_rows(spark):
          (None, "a b c d e f", "en", "s", 11), (3, None, "en", "s", None), (4, "", "", "", 0)], schema)
     stages = dict(corpus_pipeline.STAGES)
     single = stages["near_dedup"](spark, docs, SF_DIR)
-    assert rows(single.select("doc_id")) == sorted([(1,), (3,), (4,), (None,)], key=repr)
+    assert rows(single.select("doc_id", "text")) == sorted(
+        [(1, "a b c d e f"), (2, "z"), (3, None), (4, ""), (None, "a b c d e f")], key=repr)
     for name in ("quality", "line_dedup", "benchmark_free"):
         assert stages[name](spark, docs, SF_DIR).columns == docs.columns
         assert stages[name](spark, docs.limit(0), SF_DIR).count() == 0
@@ -103,5 +106,23 @@ def test_unrelated_texts_of_one_id_both_stay(spark):
     assert len(texts) == 2 and one in texts and (other in texts or other + " end" in texts)
 
 
+def test_a_clean_text_stays_when_its_id_repeats_a_copy(spark):
+    schema = spark.read.parquet(f"{SF_DIR}/documents.parquet").schema
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((1, one), (7, one), (7, other), (8, other))], schema)
+    found = rows(corpus_pipeline.near_dedup(spark, docs, SF_DIR).select("doc_id", "text"))
+    assert (1, one) in found and len(found) == 2 and found[1][1] == other
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["row", "key", "node", "gone", "again", "hit", "n_deleted", "text_key", "first", "other", "runs", "kept"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    docs = freeze(docs.select("*", *[F.col("source").alias(n) for n in names]), "named")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.pack(spark, docs, SF_DIR).count() > 0
+
+
 def test_run_goes_through(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
