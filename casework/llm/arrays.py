@@ -14,16 +14,17 @@ import pyarrow as pa
 BLOCK_BYTES = 2 << 20  # texts worked on together; a longer text is a block of its own
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers can be undone
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, np.ndarray] = {}
 
 
-def _table(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, BLOCK_BYTES) + 1, base, np.uint64)
+def _table(n: int, base: int = _BASE, inverse: int = _INVERSE) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse."""
+    for b in (base, inverse):
+        if len(_powers.get(b, ())) < n:
+            steps = np.full(max(n, BLOCK_BYTES) + 1, b, np.uint64)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+            _powers[b] = np.cumprod(steps)
+    return [_powers[base], _powers[inverse]]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,6 +89,18 @@ class Words:
         return runs(self.hash, k)
 
 
+class Prefix:
+    """Hashes of any stretch of the bytes in constant time."""
+
+    def __init__(self, data: np.ndarray, base: int = _BASE, inverse: int = _INVERSE):
+        powers, self.inverse = _table(len(data) + 1, base, inverse)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k items from each item on, in order; the last k - 1 items have none."""
     n = max(0, len(hashes) - k + 1)

@@ -8,7 +8,6 @@ document that crosses a cut leaves one piece on each side, also between partitio
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.llm import arrays
+from casework.llm.tables import ship
 from casework.llm.tokens import encoder
 from casework.workspace import freeze
 
@@ -23,30 +23,32 @@ WINDOW = 1024
 
 
 def encoded(batches, tokenizer: str, end_id: int):
-    """Per block of rows: their doc_ids, number of ids, and ids with the end id, as bytes."""
+    """Per block of rows: their doc_ids, number of ids, and all ids end to end, each text's with ``end_id``."""
     tool = encoder(tokenizer)
-    end = np.array([end_id], tool.dtype).tobytes()
     for batch in batches:
         for block in arrays.blocks(batch.column("text")):
-            texts = batch.column("text").slice(block.first, len(block)).to_pylist()
-            ids = [i + end for i in tool.encode([t or "" for t in texts])]
-            sizes = np.array([len(i) // tool.dtype.itemsize for i in ids], np.int64)
-            yield batch.column("doc_id").slice(block.first, len(block)), sizes, ids
+            ids, sizes = tool.encode_block(block)
+            ids = np.insert(ids, np.cumsum(sizes), end_id).astype(tool.dtype, copy=False)
+            yield batch.column("doc_id").slice(block.first, len(block)), sizes + 1, ids
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, at, doc_id, tokens, ids): each text's ids and ``end_id``, little-endian."""
+    ship(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()),
                         ("tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         at, part = 0, TaskContext.get().partitionId()
         for doc_ids, sizes, ids in encoded(batches, tokenizer, end_id):
-            places = at + np.cumsum(sizes) - sizes
-            at += int(sizes.sum())
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [
+                None, pa.py_buffer((edges * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            places = at + edges[:-1]
+            at += int(edges[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, np.int32)), pa.array(places), doc_ids, pa.array(sizes),
-                 pa.array(ids, pa.binary())], schema=schema)
+                [pa.array(np.full(len(sizes), part, np.int32)), pa.array(places), doc_ids, pa.array(sizes), raw],
+                schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "part int, at long, doc_id long, tokens long, ids binary")

@@ -42,34 +42,7 @@ GROUP = 512  # distinct slices of an anchor that one group takes
 STEP = 8  # places
 BUCKET_BYTES = 4 << 20  # of slices that a task sorts together
 ROWS = 20_000  # in an Arrow batch
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(max(n, arrays.BLOCK_BYTES) + 1, b, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
-        _powers[base] = tuple(both)
-    return _powers[base]
-
-
-class _Prefix:
-    """Hashes of any stretch of the bytes in constant time."""
-
-    def __init__(self, data: np.ndarray, base: int):
-        power, self.inverse = _power(base, len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return arrays.mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+_OTHER = (0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
 
 def _least_at(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +62,7 @@ def _least_at(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def slices(block: arrays.Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Text in the block, first place, number of places, anchor's place, its hash, bytes' hash."""
-    data, prefix, second = block.data, _Prefix(block.data, _BASE), _Prefix(block.data, _OTHER)
+    data, prefix, second = block.data, arrays.Prefix(block.data), arrays.Prefix(block.data, *_OTHER)
     grams = np.arange(max(0, len(data) - gram + 1))
     anchors = _least_at(prefix.of(grams, grams + gram), length - gram + 1) if len(data) >= length else grams[:0]
     of = np.searchsorted(block.at, np.arange(len(anchors)), side="right") - 1

@@ -89,9 +89,10 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                     ([shard], [block], [name], [at], [ids], [sizes], [offsets], [b"".join(frames)]),
                     fields)], schema=fields)
 
-        for doc_ids, counts, raws in encoded(batches, tokenizer, end_id):
-            for doc_id, size, raw in zip(doc_ids.to_pylist(), counts.tolist(), raws):
-                frame = squeeze.compress(raw)
+        for doc_ids, counts, line in encoded(batches, tokenizer, end_id):
+            ends = np.cumsum(counts)
+            for doc_id, size, low, high in zip(doc_ids.to_pylist(), counts.tolist(), (ends - counts).tolist(), ends.tolist()):
+                frame = squeeze.compress(line[low:high].tobytes())
                 ids.append(doc_id), sizes.append(size), frames.append(frame)
                 held += len(frame)
                 if held >= BLOCK_BYTES:
