@@ -5,6 +5,7 @@ Results are flat and comparable: times as text, decimals as doubles, counts as b
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import sys
 from collections.abc import Callable
@@ -72,13 +73,21 @@ def _case_tables(spark, sf) -> tuple[DataFrame, ...]:
 # --- loading ----------------------------------------------------------------
 
 
+def _with_breaks(cells: str) -> Column:
+    """Cells with quotes, commas and line breaks: two lines, or three of which one looks like a row."""
+    row = F.col("row_no")
+    return F.transform(cells, lambda c, i: F.when((i == 1) & (row % 7 == 0), F.concat(c, F.lit(', "x"')))
+                       .when((i == 1) & (row % 11 == 0), F.concat(c, F.lit("\n"), c))
+                       .when((i == 7) & (row % 13 == 0), F.concat(c, F.lit('\nB2,"Evil",Growth,Active,,,true,x\n'), c))
+                       .otherwise(c))
+
+
 @query
 def read_sheet(spark, sf):
-    """The account sheet as CSV files and back: quoted cells, line numbers, blank lines."""
-    cells = F.transform("cells", lambda c, i: F.when(
-        (i == 1) & (F.col("row_no") % 7 == 0), F.concat(c, F.lit(', "x"'))).otherwise(c))
+    """The account sheet as CSV files and back: quoted cells, line numbers, blank lines, breaks."""
+    cells = _with_breaks("cells")
     quoted = F.transform(cells, lambda c: F.when(
-        c.rlike('[",]') | (F.col("row_no") % 2 == 0),
+        c.rlike('[",\n]') | (F.col("row_no") % 2 == 0),
         F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
     line = F.when(F.col("row_no") % 23 == 0, "").otherwise(F.array_join(quoted, ","))
     folder = fresh_path(spark, "sheet")
@@ -88,6 +97,21 @@ def read_sheet(spark, sf):
     return flat(rows.select("row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("line")))
 
 
+@query
+def load_abort(spark, sf):
+    """What a load that stops at the first bad row says of each sheet, whole and without the rows
+    it would name; the rows that a clean sheet loads."""
+    out = []
+    for name, parsed in _parsed(spark, sf).items():
+        for part, rows in (("whole", parsed), ("clean", parsed.where("reject_reason IS NULL")), ("empty", parsed.where("row_no < 2"))):
+            try:
+                found = sheets.load(rows, name).agg(F.count("*").alias("rows")).withColumn("error", F.lit(None).cast("string"))
+            except sheets.SheetError as error:
+                found = spark.range(1).select(F.lit(0).cast("long").alias("rows"), F.lit(str(error)).alias("error"))
+            out.append(found.select(F.lit(name).alias("table_name"), F.lit(part).alias("part"), "rows", "error"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query
 def load_accounts(spark, sf):
     return flat(sheets.load(sheets.parse_accounts(fx.raw_accounts(spark, sf)), "accounts", "quarantine"))

@@ -597,7 +597,14 @@ _QUERIES: dict[str, str] = {
     "read_sheet": """SELECT row_no, used AS n_cells, array_to_string(list_slice(c, 1, used), '|') AS line FROM (
           SELECT row_no, c, coalesce(list_max(list_transform(range(1, len(c) + 1), lambda i: if(c[i] <> '', i, 0))), 0)::BIGINT AS used
           FROM (SELECT row_no, CASE WHEN row_no % 23 = 0 THEN []
-              WHEN row_no % 7 = 0 THEN list_transform(cells, lambda x, i: if(i = 2, x || ', "x"', x)) ELSE cells END AS c FROM raw_accounts))""",
+              ELSE list_transform(cells, lambda x, i: CASE WHEN i = 2 AND row_no % 7 = 0 THEN x || ', "x"'
+                  WHEN i = 2 AND row_no % 11 = 0 THEN x || chr(10) || x
+                  WHEN i = 8 AND row_no % 13 = 0 THEN x || chr(10) || 'B2,"Evil",Growth,Active,,,true,x' || chr(10) || x
+                  ELSE x END) END AS c FROM raw_accounts))""",
+    "load_abort": _union([f"""SELECT '{t}' AS table_name, 'whole' AS part, if(any_value(reject_reason) IS NULL, count(*), 0)::BIGINT AS rows,
+            arg_min(reject_reason, row_no) FILTER (reject_reason IS NOT NULL) AS error FROM p_{t}
+        UNION ALL SELECT '{t}', 'clean', count(*), NULL FROM p_{t} WHERE reject_reason IS NULL
+        UNION ALL SELECT '{t}', 'empty', 0, '{t} sheet contains no data'""" for t in ("accounts", "orders", "tickets")]),
     "load_accounts": "SELECT * EXCLUDE reject_reason FROM p_accounts WHERE reject_reason IS NULL",
     "load_orders": _as_text(_ORDER_TIMES, """SELECT * EXCLUDE reject_reason REPLACE (shipment_fee_inr::DOUBLE AS shipment_fee_inr)
         FROM p_orders WHERE reject_reason IS NULL"""),

@@ -6,7 +6,7 @@ cells left out, the header at row 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casework.functions.rows import computed_once
@@ -20,6 +20,7 @@ from casework.functions.text import nullable_string, trim_space
 from casework.operators.joins import lookup
 from casework.schemas import ORDER_STATUSES, PLANS, SNAPSHOT_MARKER, SNAPSHOT_STAMP
 from casework.sources.numbering import dense_numbers
+from casework.workspace import freeze
 
 PREVIEW_ROWS = 6
 
@@ -28,36 +29,119 @@ class SheetError(ValueError):
     """A sheet that must not be loaded."""
 
 
-_CSV_CELL = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
+_CSV_CELL = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+_PLAIN, _START, _QUOTED, _CLOSED = range(4)  # in a bare cell, where one begins, in quotes, after one in quotes
+
+
+def _open_after(line: Column, quoted: bool) -> Column:
+    """Whether a quoted cell is open at the end of ``line``, if one was (not) open before it."""
+    def outside(part: Column) -> Column:
+        return F.when(part.endswith(","), _START).otherwise(_PLAIN)
+
+    def step(state: Column, part: Column) -> Column:
+        """A quote, then ``part`` up to the next quote."""
+        return (
+            F.when(state.isin(_START, _CLOSED), _QUOTED)
+            .when(state == _PLAIN, outside(part))
+            .otherwise(F.when(part == "", _CLOSED).otherwise(outside(part))))
+
+    parts = F.split(line, '"', -1)
+    first = F.get(parts, F.lit(0))
+    begin = F.lit(_QUOTED) if quoted else F.when((first == "") | first.endswith(","), _START).otherwise(_PLAIN)
+    state = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step)
+    return F.when(F.contains(line, F.lit('"')), state == _QUOTED).otherwise(quoted)
+
+
+def _line_states(lines: DataFrame) -> DataFrame:
+    """Per line, with no quoted cell open before its block and with one: is one open before and
+    after the line, and at which line of the block did its row begin (null: before the block).
+
+    A line takes open or not to open or not. One that ends alike either way settles the state
+    after it; between those only the lines that swap count, so running totals of a block are enough.
+    """
+    block = Window.partitionBy("_file", "_block").orderBy("_pos")
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.withColumns({"_end0": _open_after(F.col("_line"), False), "_end1": _open_after(F.col("_line"), True)})
+    swaps = ends.withColumn("_swaps", F.coalesce(F.sum(F.when(
+        F.col("_end0") & ~F.col("_end1"), 1).otherwise(0)).over(before), F.lit(0)))
+    settled = F.when(F.col("_end0") == F.col("_end1"), F.struct(F.col("_end0").alias("open"), F.col("_swaps").alias("swaps")))
+    seen = swaps.withColumn("_last", F.last(settled, ignorenulls=True).over(before))
+    odd = (F.col("_swaps") - F.coalesce(F.col("_last.swaps"), F.lit(0))) % 2 == 1
+    out = seen.select("_file", "_block", "_pos", "_line", "_end0", "_end1", *[
+        (F.coalesce(F.col("_last.open"), F.lit(bool(i))) != odd).alias(f"_open{i}") for i in (0, 1)])
+    return out.withColumns({f"_row{i}": F.last(F.when(~F.col(f"_open{i}"), F.col("_pos")), ignorenulls=True).over(
+        block.rowsBetween(Window.unboundedPreceding, 0)) for i in (0, 1)})
+
+
+_BEFORE = "_file string, _block long, _was boolean, _row_block long, _row_pos long, _torn_block long, _torn_pos long"
+
+
+def _before_blocks(spark: SparkSession, states: DataFrame) -> DataFrame:
+    """Per block, what lies before it: is a cell open, where did its row begin, and which row of
+    the file is never closed. One row a block comes to the driver."""
+    def after(i: int) -> Column:
+        return F.when(F.col(f"_open{i}"), F.col("_end1")).otherwise(F.col("_end0"))
+
+    blocks = states.groupBy("_file", "_block").agg(*[
+        F.struct(F.max_by(after(i), "_pos").alias("open"), F.max(f"_row{i}").alias("row")).alias(f"after{i}") for i in (0, 1)])
+    before, torn, now = [], {}, (False, None, None)
+    last_file = None
+    for b in sorted(blocks.collect(), key=lambda r: (r["_file"], r["_block"])):
+        if b["_file"] != last_file:
+            last_file, now = b["_file"], (False, None, None)
+        before.append((b["_file"], b["_block"], *now))
+        after_it = b.after1 if now[0] else b.after0
+        now = (after_it.open, *((b["_block"], after_it.row) if after_it.row is not None else now[1:]))
+        torn[last_file] = now[1:] if now[0] else (None, None)
+    return spark.createDataFrame([(*r, *torn[r[0]]) for r in before], _BEFORE)
 
 
 def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV file(s) without header handling, as (row_no, cells) in file order.
 
-    Every line is a row and counts: a blank one has no cells. Cells may be quoted, with doubled
-    quotes inside; all of them are kept, however many. Trailing empty cells are left out. A cell
-    with a line break would need a whole file in one task to read; its first line, known by an
-    odd number of quotes, has null ``cells`` and is rejected by every parser, as are the others.
+    Every row counts, also a blank one, which has no cells. Cells may be quoted, with doubled quotes
+    and line breaks inside; a quote within a bare cell is plain text. All cells are kept, however
+    many, but for trailing empty ones; breaks inside a cell read as \\n. A quote never closed takes
+    the rest of its file into one row with null ``cells``, which every parser rejects.
+
+    A file's blocks are read apart. Each line is judged both ways, as if a cell were open before its
+    block and as if not; one row a block then says which holds. Lines of one row meet by the place
+    where it begins; rows of a single line, nearly all, are not moved for that.
     """
-    lines = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"),
-            F.regexp_replace("value", "\\r$", "").alias("_line"),
-        )
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
+        F.regexp_replace("value", "\\r$", "").alias("_line"),
     )
-    found = F.regexp_extract_all("_line", F.lit(_CSV_CELL), F.lit(1))
+    states = freeze(_line_states(lines), "lines")
+    before = F.broadcast(_before_blocks(spark, states))  # one row for each block of a file
+    held = states.join(before, ["_file", "_block"])
+    began = F.when(F.col("_was"), F.col("_row1")).otherwise(F.col("_row0"))
+    is_open = F.when(F.col("_was"), F.col("_open1")).otherwise(F.col("_open0"))
+    closes = ~F.when(is_open, F.col("_end1")).otherwise(F.col("_end0"))
+    row = F.struct(
+        F.when(began.isNull(), F.col("_row_block")).otherwise(F.col("_block")).alias("block"),
+        F.coalesce(began, "_row_pos").alias("pos"))
+    torn = F.struct(F.col("_torn_block").alias("block"), F.col("_torn_pos").alias("pos"))
+    held = held.select(
+        "_file", "_block", "_pos", "_line", row.alias("_row"), (~is_open & closes).alias("_single"),
+        is_open.alias("_open"), (F.col("_torn_pos").isNotNull() & row.eqNullSafe(torn)).alias("_torn"))
+    single = held.where("_single").select("_file", "_row", F.col("_line").alias("_text"))
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_pos", "_line")))
+    several = held.where("NOT _single AND NOT _torn").groupBy("_file", "_row").agg(
+        F.array_join(F.transform(parts, lambda p: p["_line"]), "\n").alias("_text"))
+    never = held.where("_torn AND NOT _open").select("_file", "_row", F.lit(None).cast("string").alias("_text"))
+
+    found = F.regexp_extract_all("_text", F.lit(_CSV_CELL), F.lit(1))
     plain = F.transform(found, lambda c: F.when(
         c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
         F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
     ).otherwise(c))
     used = F.array_max(F.transform(plain, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
-    whole = F.length(F.regexp_replace("_line", '[^"]', "")) % 2 == 0
-    cells = F.when(whole, F.slice(plain, F.lit(1), F.coalesce(used, F.lit(0))))
-    rows = lines.withColumn("cells", cells).drop("_line")
-    return dense_numbers(rows, ["_file", "_block", "_pos"], "row_no").select("row_no", "cells")
+    cells = F.when(F.col("_text").isNotNull(), F.slice(plain, F.lit(1), F.coalesce(used, F.lit(0))))
+    rows = single.union(several).union(never).select("_file", "_row", cells.alias("cells"))
+    return dense_numbers(rows, ["_file", "_row.block", "_row.pos"], "row_no").select("row_no", "cells")
 
 
 def _cell(i: int) -> Column:
@@ -203,11 +287,12 @@ def load(parsed: DataFrame, name: str, mode: str = "abort") -> DataFrame:
     if mode not in ("abort", "quarantine"):
         raise ValueError(f"unknown load mode: {mode}")
     if mode == "abort":
-        if parsed.isEmpty():
+        bad = F.when(F.col("reject_reason").isNotNull(), F.col("row_no"))
+        seen = parsed.agg(F.count("*").alias("rows"), F.min_by("reject_reason", bad).alias("first_bad")).first()
+        if not seen.rows:
             raise SheetError(f"{name} sheet contains no data")
-        first_bad = rejected(parsed).orderBy("row_no").limit(1).collect()
-        if first_bad:
-            raise SheetError(first_bad[0].reject_reason)
+        if seen.first_bad is not None:
+            raise SheetError(seen.first_bad)
     return accepted(parsed)
 
 

@@ -1,5 +1,7 @@
+import csv
 import datetime as dt
 import decimal
+import random
 
 import pytest
 from conftest import rows_of
@@ -91,16 +93,46 @@ def test_csv_sheet_keeps_file_order_and_drops_trailing_blanks(spark, tmp_path):
 
 
 def test_csv_sheet_loses_no_row_and_no_cell(spark, tmp_path):
-    lines = ["a,b,c", "A1,x,TRUE", "", 'A2,"q, ""r""",yes,more,,', 'A3,"two', 'lines",f', "\"\"", "last\r"]
+    lines = ["a,b,c", "A1,x,TRUE", "", 'A2,"q, ""r""",yes,more,,', 'A3,"two', 'lines",f', "\"\"", 'A4,5" pipe,x', "last\r"]
     (tmp_path / "s.csv").write_text("\n".join(lines))
     rows = dict(rows_of(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv"))))
-    assert rows == {1: ["a", "b", "c"], 2: ["A1", "x", "TRUE"], 3: [], 4: ["A2", 'q, "r"', "yes", "more"], 5: None, 6: None,
-                    7: [], 8: ["last"]}
+    assert rows == {1: ["a", "b", "c"], 2: ["A1", "x", "TRUE"], 3: [], 4: ["A2", 'q, "r"', "yes", "more"],
+                    5: ["A3", "two\nlines", "f"], 6: [], 7: ["A4", '5" pipe', "x"], 8: ["last"]}
     parsed = sheets.parse_accounts(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv")))
     reasons = dict(rows_of(sheets.rejected(parsed)))
-    assert reasons[3] == "accounts row 3 has 0 columns, expected 8"
-    assert reasons[5] == "accounts row 5 has an unclosed quote"
-    assert len(reasons) == 7
+    assert reasons[3] == "accounts row 3 has 0 columns, expected 8" and len(reasons) == 7
+
+
+def test_lines_of_a_cell_are_no_rows_of_their_own(spark, tmp_path):
+    note = '"line one\nB2,Evil,Enterprise,Active,,,true,x\nline ""three"""'
+    lines = ["h", f"A1,Real,Growth,Active,,,true,{note}", "A3,After,Growth,Active,,,true,plain"]
+    (tmp_path / "s.csv").write_text("\n".join(lines))
+    parsed = sheets.parse_accounts(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv")))
+    assert rows_of(sheets.accepted(parsed), "row_no", "account_id", "notes") == [
+        (2, "A1", 'line one\nB2,Evil,Enterprise,Active,,,true,x\nline "three"'), (3, "A3", "plain")]
+
+
+def test_a_quote_never_closed_takes_its_file_only(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('h\nA1,"open\nA2,x\nA3,y\n')
+    (tmp_path / "2.csv").write_text('A4,"z\nz"\n"')
+    rows = dict(rows_of(sheets.read_sheet_csv(spark, str(tmp_path))))
+    assert rows == {1: ["h"], 2: None, 3: ["A4", "z\nz"], 4: None}
+    reasons = dict(rows_of(sheets.rejected(sheets.parse_accounts(sheets.read_sheet_csv(spark, str(tmp_path))))))
+    assert reasons[2] == "accounts row 2 has an unclosed quote"
+    (tmp_path / "empty.csv").write_text("")
+    assert sheets.read_sheet_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+@pytest.mark.parametrize("block", ["64b", "300b", "128m"])
+def test_csv_in_any_split_reads_like_the_csv_module(spark, settings, tmp_path, block):
+    rng = random.Random(block)
+    rows = [[str(i), *("".join(rng.choice('ab,"\n') for _ in range(rng.choice([0, 2, 9, 40]))) for _ in range(3)), "z"]
+            for i in range(120)]
+    with open(tmp_path / "s.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    settings(spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="1b")
+    found = sorted(rows_of(sheets.read_sheet_csv(spark, str(tmp_path / "s.csv"))))
+    assert found == [(i, r) for i, r in enumerate(rows, 1)]
 
 
 @pytest.mark.parametrize(
