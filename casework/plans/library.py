@@ -23,7 +23,7 @@ from casework.schemas import ACCOUNTS, ORDERS, TICKETS
 from casework.sources import documents as docs
 from casework.sources import sheets, tables
 from casework.sources.numbering import dense_numbers
-from casework.streaming import flows
+from casework.streaming import flows, replies
 from casework.workspace import freeze, fresh_path
 
 DIMS = 64  # width of the given vectors
@@ -757,6 +757,26 @@ def stream_confirmations(spark, sf):
         "confirmation_id", "seq", "status", "error"))
 
 
+@query
+def stream_replies(spark, sf):
+    """The events in six files by time, each dealt by hash, one micro-batch each; then one far-off
+    event to close what is open. Answers come up to 13 minutes after the event they belong to."""
+    known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
+    ends = known.agg(F.min("event_id"), F.max("event_id")).first()  # event ids follow time
+    low, n = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0) + 1
+    for part in range(6):  # a file stream takes files by age
+        known.where(F.floor((F.col("event_id") - low) * 6 / n) == part).repartition(
+            1, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    known.agg(F.max("ts").alias("ts")).selectExpr(
+        "-1L AS event_id", "timestampadd(DAY, 400, ts) AS ts", "0L AS user_id",
+        "'view' AS event_type", "0D AS value", "'' AS props").write.mode("append").parquet(folder)
+    events = flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
+    sink = fresh_path(spark, "replies")
+    _drain(replies.stream_replies(
+        fx.proposals_of(events), fx.answers_of(events), sink, fresh_path(spark, "stream"), lateness_minutes=30))
+    return flat(replies.read_replies(spark, sink).where("confirmation_id <> 'CNF--1'"))
+
+
 @query
 def stream_evaluate(spark, sf):
     _, accounts, orders, tickets, evidence = _case_tables(spark, sf)

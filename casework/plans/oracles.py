@@ -843,6 +843,7 @@ _QUERIES: dict[str, str] = {
     "check_amount": """SELECT 'service_credits.amount_inr positive' AS rule, id::VARCHAR AS key FROM credits0 WHERE amount_inr - 40 <= 0""",
     "check_vector_width": """SELECT 'embedding has 64 values' AS rule, vec_id::VARCHAR AS key FROM embeddings WHERE vec_id % 34 = 0""",
 }
+_QUERIES["stream_replies"] = _QUERIES["confirmation_outcomes"]  # a stream of the same rows
 _CTES |= _hashed("plain_vectors", "plain_chunks", "document_id, chunk_index", "content")
 
 ORACLES: dict[str, str] = {name: _with(sql) for name, sql in _QUERIES.items()}

@@ -205,8 +205,9 @@ def stream_embed(
 def confirmation_stream(
     proposals: DataFrame,
     answers: DataFrame,
+    *,
+    lateness_minutes: int,
     minutes: int = CONFIRMATION_MINUTES,
-    lateness_minutes: int = 0,
 ) -> DataFrame:
     """Proposals and answers as streams to one row per proposal and per answer that found none.
 
@@ -217,7 +218,8 @@ def confirmation_stream(
 
     Answers meet their proposal within its interval, and a minimum per proposal closes when the
     watermark has passed the interval; nothing is decided before. Rows more than
-    ``lateness_minutes`` behind the latest are dropped, as by any watermark.
+    ``lateness_minutes`` behind the latest are dropped, as by any watermark; ``stream_replies`` has
+    a row for each of them, and for answers that came second.
     """
     ttl = F.lit(timedelta(minutes=minutes))  # a literal, from which Spark bounds the join's state
     left = proposals.withWatermark("created_at", f"{lateness_minutes} minutes").withColumnRenamed(

@@ -38,7 +38,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any store; one that is not there is fine."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(conf).delete(place, True)
@@ -58,14 +59,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            drop(spark, path)
 
 
 def release(df: DataFrame) -> None:
     """Deletes a frozen table that nothing will read again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/casework/" in path:
-            _delete(df.sparkSession, path)
+            drop(df.sparkSession, path)
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:

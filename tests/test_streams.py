@@ -4,11 +4,11 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from casework.operators import actions as act
-from casework.operators.confirm import confirmation_outcomes
+from casework.operators.confirm import confirmation_outcomes, match_confirmations
 from casework.operators.decide import evaluate_requests, gate
 from casework.operators.vectors import hash_embedding
 from casework.plans import fixtures as fx
-from casework.streaming import flows
+from casework.streaming import flows, replies
 
 SF_DIR = "/root/testdata/sf0.001"
 T0 = dt.datetime(2026, 8, 16, 12)
@@ -118,3 +118,61 @@ def test_an_earlier_rejection_beats_a_confirmation_that_arrives_first(spark, tmp
     answers = [(c, 2 * i, at(5), True) for i, c in enumerate(ids)] + [(c, 2 * i + 1, at(1), False) for i, c in enumerate(ids)]
     found, _ = confirm_in_pieces(spark, tmp_path, [([proposal(c, 0) for c in ids], answers)], 10)
     assert found.groupBy("status").count().collect() == [("rejected", 50)]
+
+
+def reply_in_pieces(spark, tmp_path, pieces, lateness, checkpoint="mark"):
+    """Each piece is (proposals, answers), one micro-batch with a restart before the next."""
+    sink = str(tmp_path / "sink")
+    for name in ("p", "a"):
+        (tmp_path / name).mkdir(exist_ok=True)
+    for proposals, answers in pieces:
+        spark.createDataFrame(proposals, PROPOSALS).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        spark.createDataFrame(answers, ANSWERS).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+        left = spark.readStream.schema(PROPOSALS).parquet(str(tmp_path / "p"))
+        right = spark.readStream.schema(ANSWERS).parquet(str(tmp_path / "a"))
+        replies.stream_replies(left, right, sink, str(tmp_path / checkpoint), lateness).awaitTermination()
+    return sink
+
+
+def test_every_answer_has_a_reply(spark, tmp_path):
+    """Second, early, late and strange answers, before and after their proposals, over restarts."""
+    pieces = [
+        ([proposal(c, 0) for c in "ABCDE"], [("A", 1, at(10), True), ("B", 5, at(3), True), ("Z", 3, at(2), True), ("F", 8, at(3), False)]),
+        ([proposal("F", 1)], [("A", 4, at(10), True), ("B", 2, at(1), False), ("C", 6, at(11), True), ("D", 7, at(5), True),
+                              ("F", 9, at(0), True), ("Z", 10, at(4), True), ("D", 11, at(5), False)]),
+        ([proposal("G", 200)], [("A", 12, at(190), True), ("G", 13, at(201), True)]),
+        ([proposal("END", 5000)], []),
+    ]
+    sink = reply_in_pieces(spark, tmp_path, pieces, 60)
+    given = [spark.createDataFrame([r for piece in pieces for r in piece[i]], s) for i, s in ((0, PROPOSALS), (1, ANSWERS))]
+    expected = confirmation_outcomes(*given)
+    found = replies.read_replies(spark, sink)
+    assert rows_of(found) == rows_of(expected) and found.count() == 13
+    ended = replies.read_replies(spark, sink, "proposals")
+    assert rows_of(ended) == rows_of(match_confirmations(*given).where("confirmation_id <> 'END'"))
+    assert rows_of(replies.read_replies(spark, sink, "late")) == []
+
+
+def test_late_rows_are_shown_and_answered(spark, tmp_path):
+    pieces = [([proposal("A", 0), proposal("B", 100)], []),
+              ([proposal("C", 3)], [("A", 1, at(5), True), ("B", 2, at(101), True), (None, 3, None, True)]),
+              ([proposal("END", 5000)], [])]
+    sink = reply_in_pieces(spark, tmp_path, pieces, 20)
+    found = replies.read_replies(spark, sink)
+    assert rows_of(found, "seq", "status", "error") == sorted(
+        [(1, None, replies.NOT_FOUND), (2, "executed", None), (3, None, replies.NOT_FOUND)], key=repr)
+    late = replies.read_replies(spark, sink, "late")
+    assert rows_of(late, "confirmation_id", "kind") == sorted([("A", "answer"), ("C", "proposal"), (None, "answer")], key=repr)
+    assert rows_of(replies.read_replies(spark, sink, "proposals"), "confirmation_id", "state") == [("A", "expired"), ("B", "confirmed")]
+
+
+def test_open_rows_stay_within_the_interval(spark, tmp_path):
+    """A proposal and its answer each minute: what is open never goes beyond interval and lateness."""
+    pieces = [([proposal(f"P{m}", m) for m in range(b * 60, b * 60 + 60)],
+               [(f"P{m}", m, at(m), True) for m in range(b * 60, b * 60 + 60)]) for b in range(4)]
+    for i in range(len(pieces)):
+        sink = reply_in_pieces(spark, tmp_path, pieces[i : i + 1], 5)
+        latest = spark.read.parquet(f"{sink}/open/batch={i}")
+        assert latest.count() == 2 * (10 + 5 + 1)
+    assert replies.read_replies(spark, sink).where("status = 'executed'").count() == 240 - 16
+    assert len(list((tmp_path / "sink" / "open").glob("batch=*"))) == 2
