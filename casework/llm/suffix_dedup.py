@@ -184,6 +184,16 @@ def window_order(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slices' bytes end to end, and of every window its slice and where it starts."""
+    pieces = table.column("bytes").to_pylist()
+    size = np.array([len(p) for p in pieces], np.int64)
+    count = size - length + 1
+    of = np.repeat(np.arange(len(pieces)), count)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return np.frombuffer(b"".join(pieces), np.uint8), of, (np.cumsum(size) - size)[of] + within
+
+
 def _matched(length: int, keep_first: bool):
     """Of one bucket's slices, the ranges of places whose window starts elsewhere (or earlier)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
@@ -192,14 +202,17 @@ def _matched(length: int, keep_first: bool):
         table = table.sort_by([("unnamed", "ascending"), ("doc_id", "ascending"), ("text_key", "ascending"), ("first", "ascending")])
         places = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "first"))))
         table = table.take([i for i, p in enumerate(places) if not i or p != places[i - 1]])  # repeated rows
-        pieces = table.column("bytes").to_pylist()
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.array([len(p) for p in pieces])
-        count = size - length + 1
-        begin = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(pieces)), count)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        rank = window_order(data, length)[begin[of] + within]
+        data, of, start = _windows(table, length)
+        hashes = arrays.Prefix(data).of(start, start + length)
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        alive = np.unique(of[times[which] > 1])  # the others have no window that comes again
+        table = table.take(pa.array(alive))
+        data, of, start = _windows(table, length)
+        if not len(of):
+            return schema.empty_table()
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        within = np.arange(len(of)) - begin[of]
+        rank = window_order(data, length)[start]
         order = np.argsort(rank, kind="stable")  # equal windows by place, the first one first
         same = rank[order][1:] == rank[order][:-1]
         hit = np.zeros(len(of) + 1, bool)
