@@ -215,6 +215,21 @@ def upsert_documents(spark, sf):
     return flat(merged.drop("effective_from", "effective_to", "metadata"))
 
 
+@query
+def upsert_documents_fields(spark, sf):
+    """The same merge where the registry brings dates and the table holds other metadata."""
+    target = fx.known_documents(spark, sf).where("status = 'CURRENT'").withColumns({
+        "metadata": F.lit('{"source":"old"}'), "effective_to": F.lit("2030-01-01").cast("date")})
+    source = docs.document_rows(fx.registry(spark, sf)).withColumns({
+        "seq": F.lit(1), "effective_from": F.date_add(F.lit("2024-03-01").cast("date"), F.col("authority_rank")),
+        "effective_to": F.when(F.col("status") == "DEPRECATED", F.lit("2024-12-31").cast("date"))})
+    merged = tables.upsert_documents(target, source, "seq", _loaded_at())
+    return merged.select(
+        "filename", F.col("effective_from").cast("string").alias("effective_from"),
+        F.col("effective_to").cast("string").alias("effective_to"), "metadata",
+        payloads.decode_metadata(F.col("metadata"))["source"].alias("source"))
+
+
 @query
 def assign_ids(spark, sf):
     known = fx.known_documents(spark, sf)
@@ -255,6 +270,18 @@ def store_embeddings(spark, sf):
                               F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value")))
 
 
+@query
+def store_embedding_values(spark, sf):
+    """Every value of the vectors that arrived whole."""
+    arrived = fx.table(spark, sf, "embeddings").selectExpr(
+        "vec_id AS chunk_id",
+        "CASE WHEN vec_id % 34 = 0 THEN slice(embedding, 1, 63) ELSE transform(embedding, x -> -x) END AS embedding",
+    )
+    stored = tables.store_embeddings(fx.chunk_vectors(spark, sf), arrived, DIMS)
+    values = stored.select("chunk_id", F.posexplode("embedding").alias("slot", "v"))
+    return flat(values.select("chunk_id", "slot", F.round(F.col("v").cast("double"), 6).alias("value")))
+
+
 @query
 def store_embedding_errors(spark, sf):
     arrived = fx.table(spark, sf, "embeddings").selectExpr(
@@ -440,6 +467,12 @@ def embed_backlog(spark, sf):
         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("square_sum")))
 
 
+@query
+def embed_backlog_values(spark, sf):
+    """Every value above zero, of the vectors that were there and of those made now."""
+    return _weights(vectors.embed_backlog(fx.chunk_vectors(spark, sf), None, "hash", DIMS), "chunk_id")
+
+
 @query
 def cosine_topk(spark, sf):
     found = vectors.cosine_topk(fx.chunk_vectors(spark, sf), fx.query_vectors(spark, sf), 5, DIMS)
@@ -587,6 +620,17 @@ def resolution_rate(spark, sf):
     return flat(rated.withColumn("rate", F.round("rate", 6)))
 
 
+@query
+def resolution_rate_daily(spark, sf):
+    """By the day of the request and the plan of its account."""
+    decisions = decide.evaluate_requests(*_case_tables(spark, sf))
+    days = fx.requests(spark, sf).select(
+        "request_id", F.date_format("requested_at", "yyyy-MM-dd").alias("day"))
+    plans = fx.accounts(spark, sf).select("account_id", "plan")
+    rows = decisions.join(plans, "account_id", "left").join(days, "request_id")
+    return flat(reports.resolution_rate(rows, ["day", "plan"]).withColumn("rate", F.round("rate", 6)))
+
+
 # --- actions ----------------------------------------------------------------
 
 

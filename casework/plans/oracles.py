@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from casework.plans.fixtures import FAULTS, fault_cases
+from casework.schemas import DOCUMENT_SOURCE
 
 _SPACES = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 _WS = "(" + " || ".join(f"chr({c})" for c in _SPACES) + ")"
@@ -422,6 +423,7 @@ def _hashed(name: str, source: str, keys: str, column: str, by_digest: bool = Fa
 
 _CTES |= _hashed("doc_vectors", "documents", "doc_id", "text")
 _CTES |= _hashed("digest_vectors", "chunks", "document_id, chunk_index", "content", by_digest=True)
+_CTES |= _hashed("backlog_vectors", "(SELECT * FROM chunk_vectors WHERE embedding IS NULL)", "chunk_id", "content")
 _CTES |= _hashed("text_vectors", "chunks", "document_id, chunk_index", "content")
 _CTES |= _hashed("item_vectors", "benchmark", "item_id", "text")
 
@@ -649,6 +651,9 @@ _QUERIES: dict[str, str] = {
           if(status = 'CURRENT', doc_id, top + row_number() OVER (PARTITION BY status = 'CURRENT' ORDER BY filename)) AS id,
           if(status = 'CURRENT', '2024-01-01 00:00:00.000000', '2024-02-01 00:00:00.000000') AS created_at
         FROM registry, (SELECT max(doc_id) AS top FROM registry WHERE status = 'CURRENT')""",
+    "upsert_documents_fields": f"""SELECT filename, strftime(DATE '2024-03-01' + authority_rank::INT, '%Y-%m-%d') AS effective_from,
+          if(status = 'DEPRECATED', '2024-12-31', NULL) AS effective_to, '{{"source":"{DOCUMENT_SOURCE}"}}' AS metadata,
+          '{DOCUMENT_SOURCE}' AS source FROM registry""",
     "assign_ids": """SELECT filename, (SELECT max(doc_id) FROM registry) + row_number() OVER (ORDER BY filename) AS id
         FROM files WHERE filename NOT IN (SELECT filename FROM registry)""",
     "replace_chunks": """SELECT document_id, chunk_index, content FROM plain_chunks
@@ -658,6 +663,8 @@ _QUERIES: dict[str, str] = {
         WHERE document_id IN (SELECT document_id FROM doc_text WHERE lang <> 'en')""",
     "store_embeddings": """SELECT vec_id AS chunk_id, if(vec_id % 34 = 0, NULL, 64)::BIGINT AS width,
         if(vec_id % 34 = 0, NULL, round(-embedding[1]::DOUBLE, 6)) AS first_value FROM embeddings""",
+    "store_embedding_values": """SELECT chunk_id, slot, round(-e[slot + 1]::DOUBLE, 6) AS value FROM (
+        SELECT vec_id AS chunk_id, embedding AS e, unnest(range(0, 64)) AS slot FROM embeddings WHERE vec_id % 34 <> 0)""",
     "store_embedding_errors": """SELECT vec_id AS chunk_id, 'invalid embedding dimension: got 63, expected 64' AS error
         FROM embeddings WHERE vec_id % 34 = 0""",
     "nullable_string": f"SELECT row_no, nullif({_trim('cells[5]')}, '') AS value FROM raw_accounts",
@@ -714,6 +721,10 @@ _QUERIES: dict[str, str] = {
         ORDER BY chunk_id LIMIT 8""",
     "embed_backlog": """SELECT chunk_id, 64::BIGINT AS width, round(if(embedding IS NULL, 1.0,
         list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS square_sum FROM chunk_vectors""",
+    "embed_backlog_values": """SELECT chunk_id, slot, round(weight, 5) AS weight FROM backlog_vectors
+        UNION ALL SELECT chunk_id, slot, round(e[slot + 1]::DOUBLE, 5) FROM (
+            SELECT chunk_id, embedding AS e, unnest(range(0, 64)) AS slot FROM chunk_vectors WHERE embedding IS NOT NULL)
+        WHERE e[slot + 1] > 0""",
     "cosine_topk": f"SELECT query_id, rank, chunk_id, score FROM ({_TOPK})",
     "cosine_topk_many": """SELECT query_id, rank, chunk_id, score FROM (SELECT q.vec_id AS query_id, c.chunk_id, round(score, 6) AS score,
           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
@@ -764,6 +775,11 @@ _QUERIES: dict[str, str] = {
         count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent) AS resolved,
         round(count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent)
           / nullif(count(*) FILTER (error IS NULL), 0), 6) AS rate FROM decisions GROUP BY plan""",
+    "resolution_rate_daily": """SELECT strftime(requested_at, '%Y-%m-%d') AS day, plan, count(*) FILTER (error IS NULL) AS eligible,
+        count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent) AS resolved,
+        round(count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent)
+          / nullif(count(*) FILTER (error IS NULL), 0), 6) AS rate
+        FROM decisions JOIN (SELECT request_id, requested_at FROM requests) USING (request_id) GROUP BY day, plan""",
     "apply_action_sequence": _OUTCOMES,
     "stream_apply": _OUTCOMES,
     "apply_cancel": _typed("CANCEL_ORDER"),
