@@ -131,7 +131,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 
 def apply_host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(doc_id, COUNTS, base_failed, host_failed, kept) for every row of ``docs``.
+    """(doc_id, COUNTS, base_failed, kept, host_failed) for every row of ``docs``.
 
     Words are runs of anything but ASCII white space; a repeated word lies in a 3-word window that
     the text holds twice; a duplicate line equals an earlier line and has a word. Null and empty
@@ -146,5 +146,5 @@ def apply_host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     judged = lookup(measured.withColumn("base_failed", base), hosts, "source").withColumn(
         "host_failed", F.coalesce("host_failed", F.lit(False)))
     return judged.select(
-        "doc_id", *COUNTS, "base_failed", "host_failed",
-        (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
+        "doc_id", *COUNTS, "base_failed",
+        (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed")
