@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,14 +20,16 @@ from casework.operators.joins import lookup
 from casework.schemas import EMBEDDING_BATCH, RETRIEVAL_DEPTH, VECTOR_WIDTH
 from casework.sources.numbering import dense_numbers
 from casework.sources.tables import store_embeddings
+from casework.workspace import freeze
 
 # Executors need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Provider = Callable[[list[str]], list[list[float]]]
 
-# One block of queries is what a task holds next to its chunks.
-QUERY_BLOCK_BYTES = 32 << 20
+# A task holds one block of queries and one slice of chunks at a time.
+QUERY_BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 4 << 20
 _SCORE_DIGITS = 9  # scores closer than this are ties, settled by chunk id
 
 
@@ -134,6 +135,7 @@ def embed_backlog(
 
 _CANDIDATES = "query_id bigint, chunk_id bigint, score double"
 _SLICE_ROWS = 512  # chunks scored at once
+_HELD_ROWS = 1 << 20  # found rows a task holds before it hands them on
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -167,46 +169,91 @@ def _slice_best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray
     return np.take_along_axis(picked, best, axis=1), np.take_along_axis(scores, best, axis=1)
 
 
-def _search(
-    vectors: Iterator[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray,
+def _merge_best(
+    top: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray,
     k: int,
-) -> pa.Table:
-    """The k best (query_id, chunk_id, score) per query over a run of (ids, matrix) pieces."""
-    queries = _unit(queries)
-    top_ids = np.empty((len(query_ids), 0), dtype=np.int64)
-    top_scores = np.empty((len(query_ids), 0))
-    for ids, matrix in vectors:
-        for start in range(0, len(ids), _SLICE_ROWS):
-            part = slice(start, start + _SLICE_ROWS)
-            order = np.argsort(ids[part])
-            scores = queries @ _unit(matrix[part][order]).T
-            new_ids, new_scores = _slice_best(ids[part][order], scores, k)
-            all_ids = np.concatenate([top_ids, new_ids], axis=1)
-            all_scores = np.concatenate([top_scores, new_scores], axis=1)
-            best = np.lexsort((all_ids, -_ranks(all_scores)), axis=1)[:, :k]
-            top_ids = np.take_along_axis(all_ids, best, axis=1)
-            top_scores = np.take_along_axis(all_scores, best, axis=1)
-    return pa.table(
-        {
-            "query_id": pa.array(np.repeat(query_ids, top_ids.shape[1]), pa.int64()),
-            "chunk_id": pa.array(top_ids.ravel(), pa.int64()),
-            "score": pa.array(top_scores.ravel(), pa.float64()),
-        }
-    )
+) -> tuple[np.ndarray, np.ndarray]:
+    """``top`` (ids and scores per query, best first) after more chunks were seen."""
+    top_ids, top_scores = top
+    for start in range(0, len(ids), _SLICE_ROWS):
+        part = slice(start, start + _SLICE_ROWS)
+        order = np.argsort(ids[part])
+        scores = queries @ _unit(matrix[part][order]).T
+        new_ids, new_scores = _slice_best(ids[part][order], scores, k)
+        all_ids = np.concatenate([top_ids, new_ids], axis=1)
+        all_scores = np.concatenate([top_scores, new_scores], axis=1)
+        best = np.lexsort((all_ids, -_ranks(all_scores)), axis=1)[:, :k]
+        top_ids = np.take_along_axis(all_ids, best, axis=1)
+        top_scores = np.take_along_axis(all_scores, best, axis=1)
+    return top_ids, top_scores
+
+
+def _packed(rows: DataFrame, key: str, dims: int, size: int) -> DataFrame:
+    """Runs of up to ``size`` vectors of a partition, each one row of bytes: ``{key}s``, values.
+
+    Only vectors of ``dims`` values are taken. Values are doubles.
+    """
+    rows = rows.where(F.size("embedding") == dims).select(F.col(key).cast("bigint"), "embedding")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = np.empty(0, dtype=np.int64), np.empty((0, dims))
 
-def _against_broadcast(vectors: DataFrame, ids, matrix, k: int, dims: int) -> DataFrame:
-    """Each task scores its chunks against the one block of queries; no chunk is shuffled."""
-    block = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        def row(n: int) -> pa.RecordBatch:
+            run_of = [pa.array([a[:n].tobytes()], pa.binary()) for a in (ids, matrix)]
+            return pa.RecordBatch.from_arrays(run_of, [f"{key}s", f"{key}_values"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (
-            (b.column("chunk_id").to_numpy(), _matrix(b.column("embedding"), dims))
-            for b in batches
+        for batch in batches:
+            ids = np.concatenate([ids, batch.column(key).to_numpy()])
+            matrix = np.concatenate([matrix, _matrix(batch.column("embedding"), dims)])
+            while len(ids) >= size:
+                yield row(size)
+                ids, matrix = ids[size:], matrix[size:]
+        if len(ids):
+            yield row(len(ids))
+
+    return rows.mapInArrow(run, f"{key}s binary, {key}_values binary")
+
+
+def _best_of_pairs(pairs: DataFrame, k: int, dims: int) -> DataFrame:
+    """(query_id, chunk_id, score): per task and query the k best of the (block, slice) pairs.
+
+    A task holds one pair and the best rows of the blocks it has met, which it hands on when they
+    reach ``_HELD_ROWS``.
+    """
+
+    def table(ids: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+        return pa.table(
+            {
+                "query_id": pa.array(np.repeat(ids, top[0].shape[1]), pa.int64()),
+                "chunk_id": pa.array(top[0].ravel(), pa.int64()),
+                "score": pa.array(top[1].ravel(), pa.float64()),
+            }
         )
-        yield from _search(pieces, *block.value, k).to_batches()
 
-    return vectors.mapInArrow(run, _CANDIDATES)
+    def doubles(value: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(value.as_buffer()).reshape(-1, dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for block, ids, values, chunk_ids, chunk_values in zip(*batch.columns):
+                block = block.as_py()
+                if block not in met:
+                    if sum(top[0].size for _, top in met.values()) >= _HELD_ROWS:
+                        for done in met.values():
+                            yield from table(*done).to_batches()
+                        met = {}
+                    asked = np.frombuffer(ids.as_buffer(), dtype=np.int64).copy()
+                    met[block] = asked, (
+                        np.empty((len(asked), 0), dtype=np.int64), np.empty((len(asked), 0)))
+                asked, top = met[block]
+                chunk = np.frombuffer(chunk_ids.as_buffer(), dtype=np.int64)
+                met[block] = asked, _merge_best(
+                    top, _unit(doubles(values)), chunk, doubles(chunk_values), k)
+        for done in met.values():
+            yield from table(*done).to_batches()
+
+    return pairs.mapInArrow(run, _CANDIDATES)
 
 
 def cosine_topk(
@@ -222,32 +269,24 @@ def cosine_topk(
     and comes last, ties go to the lower chunk id; ``k <= 0`` means the default depth. Queries of
     another width find nothing here: ``vector_errors`` names them.
 
-    Chunks never move. The queries are written down once and numbered, and each block of at most
-    ``block_bytes`` of them is broadcast to a scan of the chunks that keeps k rows per query and
-    task; one block is the small case of the same plan.
+    Queries are written once as blocks of at most ``block_bytes`` to the shared folder, chunks are
+    cut into slices where they lie, and tasks stream blocks past slices as matrix products. Neither
+    side is shuffled by a key and none passes the driver, unless Spark finds one small enough to
+    broadcast. Only k rows per query and task are shuffled. Chunks are read once per partition of
+    blocks (``spark.sql.files.maxPartitionBytes`` of queries): write computed vectors down first.
     """
     k = k if k > 0 else RETRIEVAL_DEPTH
-    vectors = chunks.where(F.size("embedding") == dims).select(
-        F.col("chunk_id").cast("bigint"), "embedding"
-    )
-    asked = dense_numbers(
-        queries.where(F.size("embedding") == dims).select(
-            F.col("query_id").cast("bigint"), "embedding"),
-        ["query_id"], "_n",
-    )
     size = max(1, block_bytes // (8 * dims))
-    last = asked.agg(F.max("_n")).first()[0] or 0
-    parts = []
-    for low in range(0, max(last, 1), size):
-        block = asked.where(F.col("_n").between(low + 1, low + size)).toArrow()
-        ids = block["query_id"].to_numpy()
-        matrix = _matrix(block["embedding"].combine_chunks(), dims)
-        parts.append(_against_broadcast(vectors, ids, matrix, k, dims))
+    asked = _packed(queries.hint("rebalance"), "query_id", dims, size)
+    blocks = freeze(
+        asked.select(F.monotonically_increasing_id().alias("block"), *asked.columns), "blocks")
+    slices = _packed(chunks, "chunk_id", dims, max(1, SLICE_BYTES // (8 * dims)))
+    found = _best_of_pairs(blocks.crossJoin(slices), k, dims)
     order = Window.partitionBy("query_id").orderBy(
         F.isnan("score"), F.desc(F.round("score", _SCORE_DIGITS)), "chunk_id"
     )
-    found = reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def source_projection(found: DataFrame, chunks: DataFrame) -> DataFrame:

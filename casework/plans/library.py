@@ -833,16 +833,36 @@ def stream_evaluate(spark, sf):
     return _with_action(spark.read.parquet(sink).drop("batch"))
 
 
+def _dealt_events(spark, sf, files: int) -> DataFrame:
+    """The events as a stream of ``files`` files in order of their ids, one micro-batch each."""
+    known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
+    most = known.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * files / (most + 1))
+    for i in range(files):  # a file stream takes files by age
+        known.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
+
+
+@query
+def stream_evaluate_searched(spark, sf):
+    """Three micro-batches, each with the evidence that a search for its own texts finds."""
+    _, accounts, orders, tickets, _ = _case_tables(spark, sf)
+    requests = fx.requests_of(_dealt_events(spark, sf, 3), fx.table(spark, sf, "orders"))
+    chunks = freeze(vectors.embed_chunks(fx.policy_chunks(spark, sf), "content", "hash", DIMS), "chunks")
+    sink = fresh_path(spark, "decisions")
+    _drain(flows.stream_evaluate(
+        requests, accounts, orders, tickets,
+        lambda batch: vectors.retrieve_evidence(batch, chunks, 5, "hash", DIMS),
+        sink, fresh_path(spark, "stream")))
+    decided = spark.read.parquet(sink).drop("batch")
+    return _with_action(decided).withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def stream_apply(spark, sf):
     """The events dealt to 24 files in order of their ids, one micro-batch each."""
     _, orders, tickets, escalations, credits = _action_tables(spark, sf)
-    known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
-    most = known.agg(F.max("event_id")).first()[0] or 0
-    part = F.floor(F.col("event_id") * 24 / (most + 1))
-    for i in range(24):  # a file stream takes files by age
-        known.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    incoming = flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
+    incoming = _dealt_events(spark, sf, 24)
     log = fresh_path(spark, "outcomes")
     _drain(flows.stream_apply(fx.actions_of(incoming), orders, tickets, escalations,
                               credits, log, fresh_path(spark, "stream")))

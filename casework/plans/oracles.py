@@ -521,6 +521,10 @@ _EVALUATE = f"SELECT {_DECISION_COLUMNS}, " + ", ".join(
 _OUTCOMES = f"""SELECT seq, action_type, target_id, reason, {_ts('acted_at')} AS acted_at, account_id, status_before,
   round(amount, 6) AS amount, outcome, error FROM outcomes"""
 
+_GATED = _EVALUATE.replace(" FROM decisions", """, ok AS confirmation_required,
+    if(ok, sha256(request_id || '|' || action_type || '|' || action_target), NULL) AS confirmation_id
+    FROM (SELECT *, error IS NULL AND action_type IS NOT NULL AND confidence >= 0.9 AS ok FROM decisions)""")
+
 
 def _typed(kind: str) -> str:
     return f"""SELECT seq, target_id, status_before, outcome, error, round(amount, 6) AS amount
@@ -758,9 +762,8 @@ _QUERIES: dict[str, str] = {
     "cancellation_evidence": "SELECT request_id, best_score, agreement_count, deny_count, has_policy FROM summary",
     "credit_evidence": "SELECT request_id, has_credit_override FROM summary",
     "evaluate_requests": _EVALUATE,
-    "stream_evaluate": _EVALUATE.replace(" FROM decisions", """, ok AS confirmation_required,
-        if(ok, sha256(request_id || '|' || action_type || '|' || action_target), NULL) AS confirmation_id
-        FROM (SELECT *, error IS NULL AND action_type IS NOT NULL AND confidence >= 0.9 AS ok FROM decisions)"""),
+    "stream_evaluate": _GATED,
+    "stream_evaluate_searched": f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({_GATED.replace('decisions', 'r_decisions')})",
     "evaluate_with_retrieval": f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({_EVALUATE.replace('decisions', 'r_decisions')})",
     "request_sources": """SELECT request_id, rank::BIGINT AS rank, document_id, md5(content) AS content_md5, round(score, 6) AS score
         FROM r_requests JOIN r_hits USING (query) JOIN policy_chunks USING (document_id)""",

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
@@ -57,16 +58,50 @@ def test_zero_vectors_come_last_and_gaps_are_left_out(spark):
     assert math.isnan(found[2].score) and found[0].score == 1.0
 
 
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_chunk_vector_is_shuffled(spark):
     chunks = made(spark, 240, 16)
-    found = vectors.cosine_topk(chunks, asked(chunks, 12), 5, 16, 3 * 8 * 16)
-    found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") >= 4 and "CoGroups" not in plan and "Join" not in plan
+    plan = plan_of(vectors.cosine_topk(chunks, asked(chunks, 12), 5, 16, 3 * 8 * 16))
     moved = [line for line in plan.splitlines() if "Exchange" in line and "Query" not in line]
+    moved = [line for line in moved if "Broadcast" not in line]  # the blocks, small by their files
     assert moved and all("hashpartitioning(query_id" in line for line in moved)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 8])
+def test_queries_beyond_a_broadcast(spark, settings, monkeypatch, held):
+    """No query passes the driver: blocks and slices are met by tasks, over several partitions."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__files__maxPartitionBytes="1024",
+             spark__sql__files__openCostInBytes="0")
+    monkeypatch.setattr(vectors, "_HELD_ROWS", held)
+    monkeypatch.setattr(vectors, "SLICE_BYTES", 50 * 8 * 16)
+    chunks = made(spark, 500, 16, copies=True)
+    queries = asked(chunks, 60)
+    expected = brute(chunks, queries, 4)
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "toPandas", "collect", "first", "toLocalIterator"):
+            m.setattr(type(chunks), name, lambda *a, **b: pytest.fail("rows on the driver"))
+        found = vectors.cosine_topk(chunks, queries, 4, 16, 7 * 8 * 16)
+    plan = plan_of(found)
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in found.collect()) == expected
+
+
+def test_a_batch_holds_no_more_than_its_bytes(spark, settings):
+    """Wide rows of blocks and slices reach Python a few at a time, whatever their number."""
+    settings(spark__sql__execution__arrow__maxBytesPerBatch="1m")
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 262144) AS wide")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 5
+
+
 def test_depth_defaults_to_five(spark):
     chunks = made(spark, 30, 4)
     assert vectors.cosine_topk(chunks, asked(chunks, 2), 0, 4).count() == 10
