@@ -22,6 +22,7 @@ from casework.plans import fixtures as fx
 from casework.schemas import ACCOUNTS, ORDERS, TICKETS
 from casework.sources import documents as docs
 from casework.sources import sheets, tables
+from casework.sources.keyed import Keyed, store_by_key
 from casework.sources.numbering import dense_numbers
 from casework.streaming import flows, replies
 from casework.workspace import freeze, fresh_path
@@ -843,10 +844,16 @@ def _dealt_events(spark, sf, files: int) -> DataFrame:
     return flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
 
 
+def _stored(spark, **tables: tuple[DataFrame, str]) -> list[Keyed]:
+    return [store_by_key(rows, key, fresh_path(spark, name)) for name, (rows, key) in tables.items()]
+
+
 @query
 def stream_evaluate_searched(spark, sf):
     """Three micro-batches, each with the evidence that a search for its own texts finds."""
     _, accounts, orders, tickets, _ = _case_tables(spark, sf)
+    accounts, orders, tickets = _stored(
+        spark, accounts=(accounts, "account_id"), orders=(orders, "order_id"), tickets=(tickets, "account_id"))
     requests = fx.requests_of(_dealt_events(spark, sf, 3), fx.table(spark, sf, "orders"))
     chunks = freeze(vectors.embed_chunks(fx.policy_chunks(spark, sf), "content", "hash", DIMS), "chunks")
     sink = fresh_path(spark, "decisions")
@@ -862,6 +869,9 @@ def stream_evaluate_searched(spark, sf):
 def stream_apply(spark, sf):
     """The events dealt to 24 files in order of their ids, one micro-batch each."""
     _, orders, tickets, escalations, credits = _action_tables(spark, sf)
+    orders, tickets, escalations, credits = _stored(
+        spark, orders=(orders, "order_id"), tickets=(tickets, "ticket_id"),
+        escalations=(escalations, "ticket_id"), credits=(credits, "order_id"))
     incoming = _dealt_events(spark, sf, 24)
     log = fresh_path(spark, "outcomes")
     _drain(flows.stream_apply(fx.actions_of(incoming), orders, tickets, escalations,

@@ -22,7 +22,9 @@ from casework.operators.confirm import NOT_FOUND
 from casework.operators.decide import evaluate_requests, gate
 from casework.operators.vectors import Provider, embed_chunks
 from casework.schemas import CONFIRMATION_MINUTES, OUTCOMES, VECTOR_WIDTH
-from casework.workspace import freeze, scratch
+from casework.sources.keyed import Keyed, rows_of_keys
+from casework.workspace import drop, freeze, scratch
+
 
 def table_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
@@ -42,9 +44,9 @@ def batch_folder(root: str, batch_id: int) -> str:
 
 def stream_evaluate(
     requests: DataFrame,
-    accounts: DataFrame,
-    orders: DataFrame,
-    tickets: DataFrame,
+    accounts: DataFrame | Keyed,
+    orders: DataFrame | Keyed,
+    tickets: DataFrame | Keyed,
     evidence_for: Callable[[DataFrame], DataFrame],
     sink: str,
     checkpoint: str,
@@ -53,7 +55,8 @@ def stream_evaluate(
 
     ``evidence_for`` maps a batch of requests to its evidence, by retrieval or from a table. The
     batch is written down first, so its size is known and a small one is broadcast to the tables;
-    only the accounts, orders and tickets it names go on.
+    only the accounts, orders and tickets it names go on. Of tables stored by key (accounts and
+    tickets by account_id, orders by order_id) a batch opens the buckets of its own keys only.
     """
     spark = requests.sparkSession
 
@@ -63,9 +66,9 @@ def stream_evaluate(
             known = rows.select("account_id").distinct()
             asked = rows.select("order_id").distinct()
             decided = evaluate_requests(
-                rows, freeze(accounts.join(known, "account_id", "left_semi"), "accounts"),
-                freeze(orders.join(asked, "order_id", "left_semi"), "orders"),
-                tickets.join(known, "account_id", "left_semi"), evidence_for(rows))
+                rows, freeze(rows_of_keys(accounts, "account_id", known), "accounts"),
+                freeze(rows_of_keys(orders, "order_id", asked), "orders"),
+                rows_of_keys(tickets, "account_id", known), evidence_for(rows))
             gate(decided).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
 
     return (
@@ -133,12 +136,18 @@ def _write_state(spark: SparkSession, log: str, batch_id: int) -> None:
     rows.coalesce(max(1, (new[1] - new[0]) // 8)).write.mode("overwrite").parquet(_segment_path(log, new))
 
 
+def _drop_merged(spark: SparkSession, log: str, batch_id: int) -> None:
+    """Segments that the batch before still read and this one does not: that batch is committed."""
+    for old in set(_segments(max(0, batch_id - 1))) - set(_segments(batch_id)):
+        drop(spark, _segment_path(log, old))
+
+
 def stream_apply(
     actions: DataFrame,
-    orders: DataFrame,
-    tickets: DataFrame,
-    escalations: DataFrame,
-    credits: DataFrame,
+    orders: DataFrame | Keyed,
+    tickets: DataFrame | Keyed,
+    escalations: DataFrame | Keyed,
+    credits: DataFrame | Keyed,
     log: str,
     checkpoint: str,
 ) -> StreamingQuery:
@@ -147,19 +156,22 @@ def stream_apply(
     New orders, escalations, credits and audit rows follow from the log (``applied_state``,
     ``audit_rows``). Only executed outcomes change state; they are also kept in merged segments,
     so batch n reads log2(n) folders, and of those and of the base tables only the batch's own
-    targets go on. Outcomes are written before their segment, and both depend on the batch and on
-    earlier batches only, so running a batch again after a failure writes the same. ``seq`` must
-    grow from batch to batch.
+    targets go on. Of tables stored by key (orders and credits by order_id, tickets and
+    escalations by ticket_id) it opens the buckets of its targets only. Outcomes are written before
+    their segment, and both depend on the batch and on earlier batches only, so running a batch
+    again after a failure writes the same. A segment goes when a batch begins that no longer reads
+    it. ``seq`` must grow from batch to batch.
     """
     spark = actions.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        _drop_merged(spark, log, batch_id)
         with scratch(spark):
             rows = freeze(batch, "actions")
             targets = freeze(rows.select("target_id").distinct(), "targets")
 
-            def own(table: DataFrame, key: str) -> DataFrame:
-                return table.join(targets.withColumnRenamed("target_id", key), key, "left_semi")
+            def own(table: DataFrame | Keyed, key: str) -> DataFrame:
+                return rows_of_keys(table, key, targets)
 
             past = freeze(own(_read_state(spark, log, batch_id), "target_id"), "past")
             state = applied_state(

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from casework.operators.confirm import confirmation_outcomes, match_confirmation
 from casework.operators.decide import evaluate_requests, gate
 from casework.operators.vectors import hash_embedding
 from casework.plans import fixtures as fx
+from casework.sources.keyed import store_by_key
 from casework.streaming import flows, replies
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -40,16 +42,46 @@ def test_actions_in_batches_equal_one_sequence(spark, tmp_path):
     assert rows_of(flows.read_outcomes(spark, log)) == rows_of(expected)
 
 
-def test_requests_in_batches_equal_one_run(spark, tmp_path):
+def stored(spark, folder, bucket_rows, **tables):
+    return [store_by_key(rows, key, str(folder / name), bucket_rows) for name, (rows, key) in tables.items()]
+
+
+def test_actions_on_stored_tables_equal_one_sequence(spark, tmp_path):
+    """Five batches; only the segments that the next batch reads are left of the merged ones."""
+    actions = fx.actions(spark, SF_DIR)
+    sides = (fx.shipments(spark, SF_DIR), fx.tickets(spark, SF_DIR), fx.escalations0(spark, SF_DIR), fx.credits0(spark, SF_DIR))
+    keyed = stored(spark, tmp_path, 100, orders=(sides[0], "order_id"), tickets=(sides[1], "ticket_id"),
+                   escalations=(sides[2], "ticket_id"), credits=(sides[3], "order_id"))
+    assert keyed[0].buckets > 5
+    folder, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for i in range(5):
+        actions.where(f"floor(seq / 200) % 5 = {i}").coalesce(1).write.mode("append").parquet(folder)
+    incoming = flows.table_stream(spark, folder, actions.schema, files_per_trigger=1)
+    flows.stream_apply(incoming, *keyed, log, str(tmp_path / "mark")).awaitTermination()
+    order = F.expr("floor(seq / 200) % 5 * 100000000 + seq")
+    expected = act.apply_action_sequence(actions.withColumn("seq", order), *sides)
+    columns = [c for c in flows.OUTCOMES.fieldNames() if c != "seq"]
+    assert rows_of(flows.read_outcomes(spark, log), *columns) == rows_of(expected, *columns)
+    left = {str(f.relative_to(log)) for f in (tmp_path / "log" / "state").glob("*/*")}
+    assert left == {"state/from=0/to=4", "state/from=4/to=5"}
+
+
+@pytest.mark.parametrize("by_key", [False, True])
+def test_requests_in_batches_equal_one_run(spark, tmp_path, by_key):
     requests, accounts, orders, tickets, evidence = (
         f(spark, SF_DIR) for f in (fx.requests, fx.accounts, fx.shipments, fx.tickets, fx.evidence))
+    if by_key:
+        accounts, orders, tickets = stored(
+            spark, tmp_path, 100, accounts=(accounts, "account_id"), orders=(orders, "order_id"),
+            tickets=(tickets, "account_id"))
     folder, sink = str(tmp_path / "in"), str(tmp_path / "out")
     requests.repartition(3, "request_id").write.parquet(folder)
     incoming = flows.table_stream(spark, folder, requests.schema, files_per_trigger=1)
     flows.stream_evaluate(incoming, accounts, orders, tickets,
                           lambda batch: evidence.join(batch.select("request_id"), "request_id", "left_semi"),
                           sink, str(tmp_path / "mark")).awaitTermination()
-    expected = gate(evaluate_requests(requests, accounts, orders, tickets, evidence))
+    whole = (t.rows.drop("_bucket") if by_key else t for t in (accounts, orders, tickets))
+    expected = gate(evaluate_requests(requests, *whole, evidence))
     assert rows_of(spark.read.parquet(sink).select(*expected.columns)) == rows_of(expected)
 
 
