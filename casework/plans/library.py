@@ -21,7 +21,7 @@ from casework.operators import confirm, context, decide, quality, reports, vecto
 from casework.plans import fixtures as fx
 from casework.schemas import ACCOUNTS, ORDERS, TICKETS
 from casework.sources import documents as docs
-from casework.sources import sheets, tables
+from casework.sources import sheets, tables, versions
 from casework.sources.keyed import Keyed, store_by_key
 from casework.sources.numbering import dense_numbers
 from casework.streaming import flows, replies
@@ -200,6 +200,19 @@ def upsert_orders(spark, sf):
     return flat(tables.upsert(target, source, "order_id", "row_no", _loaded_at()))
 
 
+@query
+def upsert_orders_stored(spark, sf):
+    """The same merge into a stored table, in two batches that meet in some keys."""
+    target = fx.conform(fx.shipments(spark, sf).where("status <> 'BOOKED'"), ORDERS)
+    source = freeze(sheets.accepted(sheets.parse_orders(fx.raw_orders(spark, sf))), "parsed")
+    stored = versions.create_table(target, "order_id", fresh_path(spark, "orders"), 4096)
+    stored.merge(source.where("row_no % 2 = 0"), "row_no", _loaded_at())
+    rest = source.groupBy("order_id").agg(F.max("row_no").alias("last")).where("last % 2 = 1")
+    stored.merge(source.join(rest, "order_id", "left_semi"), "row_no", _loaded_at())
+    stored.drop_old(keep=1)
+    return flat(versions.open_table(spark, stored.path).rows())
+
+
 @query
 def upsert_tickets(spark, sf):
     target = fx.conform(fx.tickets(spark, sf).where("status = 'open'"), TICKETS)
@@ -737,6 +750,17 @@ def append_audit(spark, sf):
     return flat(_states(spark.read.schema(audit.schema).parquet(f"{path}/batch=*")))
 
 
+@query
+def append_audit_published(spark, sf):
+    """The same batches in a log whose readers see a batch whole, before and after its replay."""
+    path = fresh_path(spark, "audit")
+    audit = _audit(spark, sf)
+    escalated = F.col("action_type") == "ESCALATE"
+    for batch_id, part in ((0, ~escalated), (1, escalated), (1, escalated)):
+        versions.publish_batch(audit.where(part), path, batch_id)
+    return flat(_states(versions.read_batches(spark, path, audit.schema)))
+
+
 @query
 def audit_summary(spark, sf):
     return reports.audit_summary(_audit(spark, sf))

@@ -488,6 +488,13 @@ def _as_text(columns: list[str], inner: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'{_ts(c)} AS {c}' for c in columns)}) FROM ({inner})"
 
 
+_UPSERT_ORDERS = _as_text(_ORDER_TIMES, _upsert("orders", "order_id",
+    """SELECT * REPLACE (shipment_fee_inr::DOUBLE AS shipment_fee_inr), NULL::TIMESTAMP AS pickup_window_start,
+    NULL::TIMESTAMP AS pickup_actual_at, NULL::TIMESTAMP AS cancellation_requested_at, NULL::VARCHAR AS notes
+    FROM shipments WHERE status <> 'BOOKED'""",
+    ["account_id", "carrier", "status", *_ORDER_TIMES, "shipment_fee_inr", "carrier_fault", "customer_fault", "notes"]))
+
+
 def _credit_sql(cap: float) -> str:
     return f"""SELECT request_id, account_id, order_id, rule = 9 AS allowed, rule IN (1, 2, 3, 8) AS needs_agent,
       false AS escalate, if(rule IN (1, 2), 0.0, 1.0)::DOUBLE AS confidence,
@@ -640,11 +647,8 @@ _QUERIES: dict[str, str] = {
     "upsert_accounts": _upsert("accounts", "account_id", """SELECT *, NULL::VARCHAR AS csm, NULL::VARCHAR AS contract_file,
         NULL::VARCHAR AS notes FROM accounts WHERE status = 'Active'""",
         ["account_name", "plan", "status", "csm", "contract_file", "premium_support", "notes"]),
-    "upsert_orders": _as_text(_ORDER_TIMES, _upsert("orders", "order_id",
-        """SELECT * REPLACE (shipment_fee_inr::DOUBLE AS shipment_fee_inr), NULL::TIMESTAMP AS pickup_window_start,
-        NULL::TIMESTAMP AS pickup_actual_at, NULL::TIMESTAMP AS cancellation_requested_at, NULL::VARCHAR AS notes
-        FROM shipments WHERE status <> 'BOOKED'""",
-        ["account_id", "carrier", "status", *_ORDER_TIMES, "shipment_fee_inr", "carrier_fault", "customer_fault", "notes"])),
+    "upsert_orders": _UPSERT_ORDERS,
+    "upsert_orders_stored": _UPSERT_ORDERS,
     "upsert_tickets": _as_text(["created_at", "last_customer_message_at"], _upsert("tickets", "ticket_id",
         """SELECT *, NULL::VARCHAR AS channel, NULL::VARCHAR AS assigned_to, NULL::TIMESTAMP AS last_customer_message_at,
         NULL::VARCHAR AS historical_resolution FROM tickets WHERE status = 'open'""",
@@ -811,6 +815,7 @@ _QUERIES: dict[str, str] = {
     "active_credit": """SELECT order_id, status FROM shipments
         WHERE order_id IN (SELECT order_id FROM credits0 WHERE status <> 'REJECTED')""",
     "append_audit": _AUDIT,
+    "append_audit_published": _AUDIT,
     "latest_audit": f"""SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY target_id
         ORDER BY created_at DESC, id DESC) AS n FROM ({_AUDIT})) WHERE n = 1""",
     "audit_summary": "SELECT action_type, previous_status, new_status, count(*) AS n FROM audit GROUP BY ALL",

@@ -11,7 +11,7 @@ BUCKET_ROWS = 1 << 17  # so that what one key opens does not grow with the table
 _BUCKET = "_bucket"
 
 
-def _bucket_of(key: str, buckets: int) -> Column:
+def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias(_BUCKET)
 
 
@@ -31,7 +31,7 @@ class Keyed:
         """
         asked, opened = keys.toDF(self.key), self.rows
         if self.buckets > 1:
-            met = asked.select(_bucket_of(self.key, self.buckets)).distinct().collect()
+            met = asked.select(bucket_of(self.key, self.buckets)).distinct().collect()
             opened = opened.where(F.col(_BUCKET).isin([r[0] for r in met]))
         return opened.join(asked, self.key, "left_semi").drop(_BUCKET)
 
@@ -43,7 +43,7 @@ def store_by_key(table: DataFrame, key: str, path: str, bucket_rows: int = BUCKE
     splits a large bucket among tasks. Rows with a null key are kept and never found.
     """
     buckets = max(1, -(-table.count() // bucket_rows))
-    dealt = table.withColumn(_BUCKET, _bucket_of(key, buckets)).hint("rebalance", _BUCKET)
+    dealt = table.withColumn(_BUCKET, bucket_of(key, buckets)).hint("rebalance", _BUCKET)
     dealt.sortWithinPartitions(_BUCKET, key).write.partitionBy(_BUCKET).parquet(path)
     return Keyed(table.sparkSession.read.schema(dealt.schema).parquet(path), key, buckets)
 
