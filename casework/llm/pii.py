@@ -2,9 +2,12 @@
 
 Patterns find the protected entities (e-mail, IP, card and phone numbers). Then corpus statistics
 decide which other terms disclose one (Sanchez and Batet's information-theoretic sanitisation):
-with IC(e) = -log2 P(e) and PMI(e, t) = log2 P(e, t) / (P(e) P(t)), a term t next to an entity e
-discloses it when PMI(e, t) >= THRESHOLD * IC(e), that is, when seeing t tells at least that share
-of e's information. P counts documents. Such terms are removed like the entities themselves.
+with IC(e) = -log2 P(e) and PMI(e, t) = log2 P(e, t) / (P(e) P(t)), a term t of a document that
+holds an entity e discloses it when PMI(e, t) >= THRESHOLD * IC(e), that is, when seeing t tells at
+least that share of e's information. P counts whole documents, and t counts as if one more
+document held it without e: so a term seen with e once and nowhere else discloses it only in a
+corpus large enough for that to mean something. Such terms are removed like the entities
+themselves, in the documents that hold the entity.
 
 Everything is built-in expressions. A match's place is the summed length of what lies before it:
 the pieces between matches (``split``) and the matches (``regexp_extract_all``).
@@ -33,14 +36,13 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}  # a text without
 _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 _TERM = r"[\p{L}\p{M}\p{N}]+"
 
-_MATCHES = ("array<struct<kind:int,i:int,gap:bigint,value:string,before:string,after:string>>")
+_MATCHES = "array<struct<kind:int,i:int,gap:bigint,value:string>>"
 
-CONTEXT = 64  # code points on each side of an entity in which terms count as next to it
 THRESHOLD = 0.8
 
 
 def _found(kind: str) -> Column:
-    """All matches of a kind: order, code points since the last match, value, and both sides."""
+    """All matches of a kind: order, code points since the last match, and value."""
     pattern = PATTERNS[kind]
 
     def matches(gaps: Column) -> Column:
@@ -48,9 +50,7 @@ def _found(kind: str) -> Column:
             F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
             lambda v, i: F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"),
-                F.length(F.get(gaps, i)).cast("long").alias("gap"), v.alias("value"),
-                F.right(F.get(gaps, i), F.lit(CONTEXT + 1)).alias("before"),
-                F.left(F.get(gaps, i + 1), F.lit(CONTEXT + 1)).alias("after")))
+                F.length(F.get(gaps, i)).cast("long").alias("gap"), v.alias("value")))
 
     whole = let(F.split("text", pattern, -1), matches)
     hint = HINTS[kind]
@@ -84,7 +84,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(row, kind, start, end, value, before, after) of every valid match, places in code points."""
+    """(row, kind, start, end, value) of every valid match, places in code points."""
     kinds = [k for k in KINDS if k in PATTERNS]
     found = _named(docs).select("row", F.inline(F.concat(*[_found(k) for k in kinds])))
     found = found.dropDuplicates(["row", "kind", "i"])  # rows that agree in id and text
@@ -94,77 +94,94 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.withColumn("end", end).withColumn("start", F.col("end") - size).where(_valid())
 
 
-def _nearby(found: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end, context) of the whole words around every entity."""
+def _terms(text: str = "text") -> Column:
+    return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+
+
+def _each_term(rows: DataFrame, *kept: str | Column) -> DataFrame:
+    """(kept, term) for every different term of every text, in lower case."""
+    return rows.select(*kept, F.explode(F.array_distinct(F.transform(_terms(), F.lower))).alias("term"))
+
+
+def _holders(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(row, text) of the documents with an entity; what cannot hold one is not moved."""
+    text = F.col("text")
+    digits = text.rlike(r"(?:[0-9][ -]?){13}[0-9]") | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
+    likely = _named(docs).where(text.contains("@") | text.contains("+") | digits)
+    return lookup(likely, held.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+
+
+def _held(found: DataFrame) -> DataFrame:
+    """(row, who): what entities a document holds, those of the same documents counted as one.
+
+    ``who`` has the number of documents ``n`` and two checksums of their names. Entities that
+    share it have the same statistics, so a directory of names is one entity, not thousands.
+    """
     entity = F.concat_ws(":", F.col("kind"), F.when(F.col("kind") == 0, F.lower("value"))
                          .when(F.col("kind") == 1, F.col("value"))
                          .otherwise(F.regexp_replace("value", "[^0-9]", "")))
-    def part(text: Column, at: Column, first: bool) -> Column:
-        cut = F.length(text) > CONTEXT
-        return F.struct(text.alias("side"), at.alias("at"), (cut & F.lit(first)).alias("cut_left"),
-                        (cut & F.lit(not first)).alias("cut_right"))
-
-    side = found.select(
-        "row", entity.alias("entity"), F.xxhash64("before", "after").alias("context"),
-        F.inline(F.array(part(F.col("before"), F.col("start") - F.length("before"), True),
-                         part(F.col("after"), F.col("end"), False))))
-    # A word that the context's edge cuts through is not a whole word: blank it out.
-    left = F.length(F.regexp_extract("side", r"^[\p{L}\p{M}\p{N}]+", 0))
-    right = F.length(F.regexp_extract("side", r"[\p{L}\p{M}\p{N}]+$", 0))
-    whole = F.substring(
-        "side", F.when(F.col("cut_left"), left + 1).otherwise(F.lit(1)),
-        F.length("side") - F.when(F.col("cut_left"), left).otherwise(0)
-        - F.when(F.col("cut_right"), right).otherwise(0))
-    at = F.col("at") + F.when(F.col("cut_left"), left).otherwise(0)
-    side = side.select("row", "entity", "context", whole.alias("side"), at.cast("long").alias("at"))
-    words = side.select("row", "entity", "context", "at", F.split("side", _TERM, -1).alias("gaps"),
-                        F.regexp_extract_all("side", F.lit(_TERM), F.lit(0)).alias("terms"))
-    begins = F.transform("terms", lambda v, i: F.struct(
-        F.lower(v).alias("term"), F.length(v).alias("n"),
-        F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda s, g: s + F.length(g))
-        .alias("gaps_before"),
-        F.aggregate(F.slice("terms", F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g))
-        .alias("terms_before")))  # a side has CONTEXT code points, so this stays small
-    start = F.col("at") + F.col("gaps_before") + F.col("terms_before")
-    return words.select("row", "entity", "context", "at", F.inline(begins)).select(
-        "row", "entity", "context", "term", start.alias("start"), (start + F.col("n")).alias("end"))
-
-
-def revealing(docs: DataFrame, nearby: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(entity, term) pairs where the term discloses the entity.
-
-    Two different contexts at least must show the pair: one alone, or copies of one, say nothing
-    about how the term is used.
+    held = freeze(found.select("row", entity.alias("entity")).distinct(), "held")
+    who = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"),
+                   F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    same = held.groupBy("entity").agg(who.alias("who"))
+    return lookup(held, same, "entity", "inner").select("row", "who").distinct()
+
+
+def _term_counts(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(term, with_term): how many documents hold it; ``again`` has the rows that come repeatedly."""
+    repeated = lookup(_named(docs), again, "row", "inner").dropDuplicates(["row"])
+    each = _each_term(_named(docs), F.lit(1).cast("long").alias("n"))
+    less = _each_term(repeated, (1 - F.col("count")).alias("n"))
+    return each.union(less).groupBy("term").agg(F.sum("n").alias("with_term"))
+
+
+def revealing(docs: DataFrame, holders: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(row, term) where the term discloses an entity of the document.
+
+    A term in more than n^threshold * N^(1 - threshold) documents cannot disclose an entity of n,
+    as no more than n hold both. Common terms leave before any pair is formed.
     """
-    per_row = nearby.groupBy("entity", "term", "row").agg(
-        F.min("context").alias("low"), F.max("context").alias("high"))
-    pairs = per_row.groupBy("entity", "term").agg(
-        F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = freeze(pairs.where("low <> high").drop("low", "high"), "pairs")
-    every = _named(docs)
-    terms = every.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    counted = terms.groupBy("term").agg(F.count("*").alias("with_term"))
-    holders = nearby.select("entity", "row").distinct().groupBy("entity").agg(
-        F.count("*").alias("with_entity"))
-    wanted = freeze(
-        counted.join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
-    total = F.lit(float(docs.count()))
-    known = lookup(lookup(pairs, wanted, "term", "inner"), holders, "entity", "inner")
-    share = F.log2(total / F.col("with_entity"))
-    pmi = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term").cast("double")))
-    return known.where((share > 0) & (pmi >= threshold * share)).select("entity", "term")
+    again = freeze(_named(docs).groupBy("row").count().where("count > 1"), "again")
+    more, most = again.agg(F.sum(F.col("count") - 1)).first()[0], held.agg(F.max("who.n")).first()[0]
+    total = F.lit(float(docs.count() - (more or 0)))
+
+    def limit(n: Column) -> Column:
+        return F.pow(n.cast("double"), F.lit(threshold)) * F.pow(total, F.lit(1 - threshold)) * 1.0001
+
+    known = (F.col("with_term") + 1).cast("double")
+    counts = _term_counts(docs, again).where(known <= limit(F.lit(most or 0)))
+    seen = lookup(_each_term(holders, "row"), freeze(counts, "terms"), "term", "inner")
+    met = seen.join(held, "row").where(known <= limit(F.col("who.n")))
+    met = freeze(met.select("row", F.struct("who", "term").alias("pair"), "with_term"), "met")
+    n = F.col("pair.who.n").cast("double")
+    share, pmi = F.log2(total / n), F.log2(F.col("both") * total / (n * known))
+    pairs = met.groupBy("pair").agg(F.count("*").alias("both"), F.min("with_term").alias("with_term"))
+    pairs = pairs.where((share > 0) & (pmi >= threshold * share)).select("pair")
+    return lookup(met, pairs, "pair", "left_semi").select("row", F.col("pair.term").alias("term")).distinct()
+
+
+def _places(holders: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(row, kind, start, end) of every occurrence of a document's flagged terms."""
+    rows = lookup(holders, flagged.select("row").distinct(), "row", "left_semi")
+    sizes = rows.select("row", let(F.split("text", _TERM, -1), lambda gaps: F.transform(
+        _terms(), lambda v, i: F.struct(
+            F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(v).cast("long").alias("n"),
+            F.lower(v).alias("term")))).alias("words"))
+    words = sizes.select("row", F.posexplode("words").alias("i", "word")).select("row", "i", "word.*")
+    so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(so_far))
+    found = lookup(words.withColumn("key", F.struct("row", "term")),
+                   flagged.select(F.struct("row", "term").alias("key")), "key", "left_semi")
+    return found.select("row", F.lit(KINDS.index("term")).alias("kind"),
+                        (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def _spans(docs: DataFrame, threshold: float) -> DataFrame:
     """(row, kind, start, end) of entities and of revealing terms that touch no entity."""
     found = freeze(entities(docs), "entities")
-    nearby = freeze(_nearby(found), "nearby")
-    flagged = lookup(
-        nearby.withColumn("pair", F.struct("entity", "term")),
-        revealing(docs, nearby, found, threshold).select(F.struct("entity", "term").alias("pair")),
-        "pair", "inner").select(
-            "row", F.lit(KINDS.index("term")).alias("kind"), "start", "end").distinct()
+    held = freeze(_held(found), "who")
+    holders = freeze(_holders(docs, held), "holders")
+    flagged = _places(holders, freeze(revealing(docs, holders, held, threshold), "flagged"))
     spans = found.select("row", "kind", "start", "end").union(flagged)
     order = Window.partitionBy("row").orderBy("start", "kind")
     base_end = F.when(F.col("kind") < 4, F.col("end"))
@@ -234,4 +251,5 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 4)
     return found.select(
         "doc_id", *[count(k) for k in KINDS[:4]], F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"), *[count(k) for k in KINDS[4:]])
+        listed(F.col("spans")).alias("spans"), *[count(k) for k in KINDS[4:]],
+        F.size("spans").cast("long").alias("n_spans"))
