@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.schemas import CURRENT_DOCUMENT_STATUSES
@@ -51,15 +51,20 @@ def authority_rank(documents: DataFrame) -> DataFrame:
     )
 
 
+def outcome_flags() -> tuple[Column, Column]:
+    """Whether a decision is eligible, and whether it is resolved."""
+    eligible = F.col("error").isNull()
+    resolved = eligible & ~F.col("escalate") & ~F.col("needs_agent")
+    return eligible, F.coalesce(resolved, F.lit(False))
+
+
 def resolution_rate(decisions: DataFrame, by: list[str]) -> DataFrame:
     """Documented-only: share of eligible requests finished without a person.
 
     Eligible requests loaded without error; resolved ones neither escalate nor need an agent.
     """
-    eligible = F.col("error").isNull()
-    resolved = eligible & ~F.col("escalate") & ~F.col("needs_agent")
+    eligible, resolved = outcome_flags()
     counted = decisions.groupBy(*by).agg(
-        F.count_if(eligible).alias("eligible"),
-        F.count_if(F.coalesce(resolved, F.lit(False))).alias("resolved"),
+        F.count_if(eligible).alias("eligible"), F.count_if(resolved).alias("resolved")
     )
     return counted.withColumn("rate", F.try_divide(F.col("resolved"), F.col("eligible")))

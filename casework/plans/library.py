@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from casework.functions import payloads, phrases, scalars, text
 from casework.operators import actions as act
 from casework.operators import confirm, context, decide, quality, reports, vectors
+from casework.operators.joins import lookup
 from casework.plans import fixtures as fx
 from casework.schemas import ACCOUNTS, ORDERS, TICKETS
 from casework.sources import documents as docs
 from casework.sources import sheets, tables, versions
 from casework.sources.keyed import Keyed, store_by_key
 from casework.sources.numbering import dense_numbers
-from casework.streaming import flows, replies
+from casework.streaming import flows, rates, replies
 from casework.workspace import freeze, fresh_path
 
 DIMS = 64  # width of the given vectors
@@ -645,6 +646,30 @@ def resolution_rate_daily(spark, sf):
     return flat(reports.resolution_rate(rows, ["day", "plan"]).withColumn("rate", F.round("rate", 6)))
 
 
+@query
+def stream_resolution_rate(spark, sf):
+    """Decisions as a stream of files: a third of the requests are first taken for escalated and of
+    another day, and corrected by a later batch."""
+    decisions = decide.evaluate_requests(*_case_tables(spark, sf))
+    days = fx.requests(spark, sf).select(
+        "request_id", F.date_format("requested_at", "yyyy-MM-dd").alias("day"))
+    plans = fx.accounts(spark, sf).select("account_id", "plan")
+    rows = lookup(decisions, plans, "account_id").join(days, "request_id").select(
+        "request_id", "error", "escalate", "needs_agent", "day", "plan")
+    rows = freeze(rows.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(3))), "decisions")
+    first = rows.withColumns({"seq": F.lit(0), "escalate": F.lit(True), "day": F.lit("2000-01-01")})
+    steps = [first.where("part = 0").unionByName(rows.where("part = 1").withColumn("seq", F.lit(0))),
+             rows.where("part <> 1").withColumn("seq", F.lit(1))]
+    incoming, by = fresh_path(spark, "incoming"), ["day", "plan"]
+    counted = rates.create_counted(spark, fresh_path(spark, "counted"), by, rows.count())
+    log, stream = fresh_path(spark, "rates"), fresh_path(spark, "stream")
+    for step in steps:
+        step.write.mode("append").parquet(incoming)
+        arriving = spark.readStream.schema(step.schema).parquet(incoming)
+        _drain(rates.stream_resolution(arriving, by, "seq", counted, log, stream))
+    return flat(rates.read_rates(spark, log, by).withColumn("rate", F.round("rate", 6)))
+
+
 # --- actions ----------------------------------------------------------------
 
 

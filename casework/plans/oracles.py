@@ -495,6 +495,13 @@ _UPSERT_ORDERS = _as_text(_ORDER_TIMES, _upsert("orders", "order_id",
     ["account_id", "carrier", "status", *_ORDER_TIMES, "shipment_fee_inr", "carrier_fault", "customer_fault", "notes"]))
 
 
+_DAILY_RATE = """SELECT strftime(requested_at, '%Y-%m-%d') AS day, plan, count(*) FILTER (error IS NULL) AS eligible,
+    count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent) AS resolved,
+    round(count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent)
+      / nullif(count(*) FILTER (error IS NULL), 0), 6) AS rate
+    FROM decisions JOIN (SELECT request_id, requested_at FROM requests) USING (request_id) GROUP BY day, plan"""
+
+
 def _credit_sql(cap: float) -> str:
     return f"""SELECT request_id, account_id, order_id, rule = 9 AS allowed, rule IN (1, 2, 3, 8) AS needs_agent,
       false AS escalate, if(rule IN (1, 2), 0.0, 1.0)::DOUBLE AS confidence,
@@ -782,11 +789,8 @@ _QUERIES: dict[str, str] = {
         count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent) AS resolved,
         round(count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent)
           / nullif(count(*) FILTER (error IS NULL), 0), 6) AS rate FROM decisions GROUP BY plan""",
-    "resolution_rate_daily": """SELECT strftime(requested_at, '%Y-%m-%d') AS day, plan, count(*) FILTER (error IS NULL) AS eligible,
-        count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent) AS resolved,
-        round(count(*) FILTER (error IS NULL AND NOT escalate AND NOT needs_agent)
-          / nullif(count(*) FILTER (error IS NULL), 0), 6) AS rate
-        FROM decisions JOIN (SELECT request_id, requested_at FROM requests) USING (request_id) GROUP BY day, plan""",
+    "resolution_rate_daily": _DAILY_RATE,
+    "stream_resolution_rate": _DAILY_RATE,
     "apply_action_sequence": _OUTCOMES,
     "stream_apply": _OUTCOMES,
     "apply_cancel": _typed("CANCEL_ORDER"),

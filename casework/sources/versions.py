@@ -78,9 +78,13 @@ class Versioned:
 
     def of(self, keys: DataFrame) -> DataFrame:
         """Rows whose key is in the one column of ``keys``; their buckets only are opened."""
-        asked = keys.toDF(self.key).where(F.col(self.key).isNotNull())
+        asked = self._typed(keys.toDF(self.key)).where(F.col(self.key).isNotNull())
         return self._open(self.versions()[-1], self._met(asked)).join(asked, self.key, "left_semi")
 
+    def _typed(self, keyed: DataFrame) -> DataFrame:
+        """With the key in the table's type, since the bucket of a value depends on its type."""
+        return keyed.withColumn(self.key, F.col(self.key).cast(self.schema[self.key].dataType))
+
     def _met(self, keyed: DataFrame) -> list[int]:
         """The buckets of a batch: at most one number per row and per bucket."""
         return [r[0] for r in keyed.select(bucket_of(self.key, self.buckets)).distinct().collect()]
@@ -107,7 +111,7 @@ class Versioned:
         version; all others are taken over as they are. Repeated keys: the last by ``seq``. A null
         key is a row of its own each time, as in ``upsert``. An empty batch publishes nothing.
         """
-        last = self.versions()[-1]
+        last, source = self.versions()[-1], self._typed(source)
         met = self._met(source)
         if not met:
             return last
@@ -138,16 +142,19 @@ class Versioned:
             drop(self.spark, f"{self.path}/places/{v}")
 
 
-def create_table(table: DataFrame, key: str, path: str, bucket_rows: int = BUCKET_ROWS) -> Versioned:
+def create_table(
+    table: DataFrame, key: str, path: str, bucket_rows: int = BUCKET_ROWS, expected_rows: int = 0
+) -> Versioned:
     """Writes ``table`` as version 0, in buckets of about ``bucket_rows`` rows each.
 
-    The number of buckets stays; a table that outgrows it is created again. Until version 0 is
+    The number of buckets stays, so say how many rows are expected of a table that begins small;
+    one that outgrows it is created again. Until version 0 is
     published there is no table, and creating it again is fine.
     """
     spark, path = table.sparkSession, path.rstrip("/")
     if _names(spark, f"{path}/published"):
         raise ValueError(f"there is a table at {path}")
-    buckets = max(1, -(-table.count() // bucket_rows))
+    buckets = max(1, -(-max(table.count(), expected_rows) // bucket_rows))
     layout = json.dumps({"key": key, "buckets": buckets, "schema": table.schema.jsonValue()})
     spark.createDataFrame([(layout,)], "layout string").write.mode("overwrite").parquet(f"{path}/layout")
     new = Versioned(spark, path, key, buckets, table.schema)

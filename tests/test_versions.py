@@ -43,6 +43,15 @@ def test_merge_equals_the_upsert_of_the_whole_table(spark, tmp_path):
     assert rows_of(again.of(asked), "k", "a") == [("K3", None), ("new", "z")]
 
 
+def test_keys_of_another_type_find_their_bucket(spark, tmp_path):
+    numbers = held(spark, 200).withColumn("k", F.regexp_extract("k", "[0-9]+", 0))
+    table = create_table(numbers, "k", str(tmp_path / "t"), 10)
+    change = spark.createDataFrame([(1, 7, "x"), (2, 150, "y")], "seq int, k long, a string")
+    table.merge(change, "seq", F.lit(NOW))
+    assert table.rows().count() == 200
+    assert rows_of(table.of(change.select("k")), "k", "a") == [("150", "y"), ("7", "x")]
+
+
 def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
     table = create_table(held(spark, 4000), "k", str(tmp_path / "t"), 40)
     before = files(tmp_path / "t" / "data")
