@@ -4,9 +4,10 @@ Patterns find the protected entities (e-mail, IP, card and phone numbers). Then
 decide which other terms disclose one (Sanchez and Batet's information-theoretic sanitisation):
 with IC(e) = -log2 P(e) and PMI(e, t) = log2 P(e, t) / (P(e) P(t)), a term t of a document that
 holds an entity e discloses it when PMI(e, t) >= THRESHOLD * IC(e), that is, when seeing t tells at
-least that share of e's information. P counts whole documents, and t counts as if one more
-document held it without e: so a term seen with e once and nowhere else discloses it only in a
-corpus large enough for that to mean something. Such terms are removed like the entities
+least that share of e's information, and when P(e | t) >= MIN_SHARE, as in a large corpus the first
+alone is met by terms that nearly all occur elsewhere. P counts whole documents, and t counts as if
+one more document held it without e: so a term seen with e once and nowhere else discloses it only
+in a corpus large enough for that to mean something. Such terms are removed like the entities
 themselves, in the documents that hold the entity.
 
 Everything is built-in expressions. A match's place is the summed length of what lies before it:
@@ -39,6 +40,7 @@ _TERM = r"[\p{L}\p{M}\p{N}]+"
 _MATCHES = "array<struct<kind:int,i:int,gap:bigint,value:string>>"
 
 THRESHOLD = 0.8
+MIN_SHARE = 0.5
 
 
 def _found(kind: str) -> Column:
@@ -138,15 +140,16 @@ def _term_counts(docs: DataFrame, again: DataFrame) -> DataFrame:
 def revealing(docs: DataFrame, holders: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """(row, term) where the term discloses an entity of the document.
 
-    A term in more than n^threshold * N^(1 - threshold) documents cannot disclose an entity of n,
-    as no more than n hold both. Common terms leave before any pair is formed.
+    A term in more than n^threshold * N^(1 - threshold) or n / MIN_SHARE documents cannot disclose
+    an entity of n, as no more than n hold both. Common terms leave before any pair is formed.
     """
     again = freeze(_named(docs).groupBy("row").count().where("count > 1"), "again")
     more, most = again.agg(F.sum(F.col("count") - 1)).first()[0], held.agg(F.max("who.n")).first()[0]
     total = F.lit(float(docs.count() - (more or 0)))
 
     def limit(n: Column) -> Column:
-        return F.pow(n.cast("double"), F.lit(threshold)) * F.pow(total, F.lit(1 - threshold)) * 1.0001
+        by_pmi = F.pow(n.cast("double"), F.lit(threshold)) * F.pow(total, F.lit(1 - threshold)) * 1.0001
+        return F.least(by_pmi, n / F.lit(MIN_SHARE))
 
     known = (F.col("with_term") + 1).cast("double")
     counts = _term_counts(docs, again).where(known <= limit(F.lit(most or 0)))
@@ -156,7 +159,7 @@ def revealing(docs: DataFrame, holders: DataFrame, held: DataFrame, threshold: f
     n = F.col("pair.who.n").cast("double")
     share, pmi = F.log2(total / n), F.log2(F.col("both") * total / (n * known))
     pairs = met.groupBy("pair").agg(F.count("*").alias("both"), F.min("with_term").alias("with_term"))
-    pairs = pairs.where((share > 0) & (pmi >= threshold * share)).select("pair")
+    pairs = pairs.where((share > 0) & (pmi >= threshold * share) & (F.col("both") >= MIN_SHARE * known)).select("pair")
     return lookup(met, pairs, "pair", "left_semi").select("row", F.col("pair.term").alias("term")).distinct()
 
 

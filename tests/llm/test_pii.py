@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from casework.llm.pii import KINDS, THRESHOLD, digest, find_personal_data, sanitise
+from casework.llm.pii import KINDS, MIN_SHARE, THRESHOLD, digest, find_personal_data, sanitise
 
 SCHEMA = "doc_id long, text string, spans string, kind int"
 # The contract's patterns as given, without possessive repeats.
@@ -63,7 +63,8 @@ def brute(rows):
         for row in held:
             for t, a, b in tokens(row[1]):
                 pmi = math.log2(len(held & with_term[t]) * len(texts) / (len(held) * (len(with_term[t]) + 1)))
-                if share > 0 and pmi >= THRESHOLD * share:
+                likely = len(held & with_term[t]) >= MIN_SHARE * (len(with_term[t]) + 1)
+                if share > 0 and pmi >= THRESHOLD * share and likely:
                     near[row].append((a, 4, b))
     out = []
     for d, t in rows:
