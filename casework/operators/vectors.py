@@ -18,7 +18,6 @@ from casework.functions.rows import computed_once
 from casework.functions.text import normalize_match_text
 from casework.operators.joins import lookup
 from casework.schemas import EMBEDDING_BATCH, RETRIEVAL_DEPTH, VECTOR_WIDTH
-from casework.sources.numbering import dense_numbers
 from casework.sources.tables import store_embeddings
 from casework.workspace import freeze
 
@@ -27,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Provider = Callable[[list[str]], list[list[float]]]
 
-# A task holds one block of queries and one slice of chunks at a time.
+# Queries and chunks meet in rows of so many bytes each; a block of queries is scored at a time.
 QUERY_BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 _SCORE_DIGITS = 9  # scores closer than this are ties, settled by chunk id
@@ -134,8 +133,8 @@ def embed_backlog(
 # --- retrieval --------------------------------------------------------------
 
 _CANDIDATES = "query_id bigint, chunk_id bigint, score double"
-_SLICE_ROWS = 512  # chunks scored at once
-_HELD_ROWS = 1 << 20  # found rows a task holds before it hands them on
+_BLOCK_ROWS, _SLICE_ROWS = 1024, 512  # queries and chunks scored at once
+_HELD_ROWS = 1 << 22  # found rows a task holds before it hands them on
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -170,28 +169,45 @@ def _slice_best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def _merge_best(
-    top: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray,
+    top: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, chunks: np.ndarray,
     k: int,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """``top`` (ids and scores per query, best first) after more chunks were seen."""
+    """``top`` (ids and scores per query, best first) after more chunks were seen; ``ids`` ascend.
+
+    Once a query has k rows, only a better score than its last one's, or an equal score and a
+    smaller id, can change them, so most queries are done with a slice after one comparison.
+    """
     top_ids, top_scores = top
     for start in range(0, len(ids), _SLICE_ROWS):
         part = slice(start, start + _SLICE_ROWS)
-        order = np.argsort(ids[part])
-        scores = queries @ _unit(matrix[part][order]).T
-        new_ids, new_scores = _slice_best(ids[part][order], scores, k)
-        all_ids = np.concatenate([top_ids, new_ids], axis=1)
-        all_scores = np.concatenate([top_scores, new_scores], axis=1)
+        scores = queries @ chunks[part].T
+        if top_ids.shape[1] < k:
+            todo = np.arange(len(queries))
+        else:
+            equal = np.where(ids[start] < top_ids[:, -1], -0.5, 0.5)
+            least = (_ranks(top_scores[:, -1]) + equal) / 10.0**_SCORE_DIGITS - 1e-12
+            unknown = np.isnan(top_scores[:, -1])
+            todo = np.flatnonzero(unknown | (scores >= least[:, None]).any(axis=1))
+            if not len(todo):
+                continue
+        new_ids, new_scores = _slice_best(ids[part], scores[todo], k)
+        all_ids = np.concatenate([top_ids[todo], new_ids], axis=1)
+        all_scores = np.concatenate([top_scores[todo], new_scores], axis=1)
         best = np.lexsort((all_ids, -_ranks(all_scores)), axis=1)[:, :k]
-        top_ids = np.take_along_axis(all_ids, best, axis=1)
-        top_scores = np.take_along_axis(all_scores, best, axis=1)
+        best_ids = np.take_along_axis(all_ids, best, axis=1)
+        best_scores = np.take_along_axis(all_scores, best, axis=1)
+        if best.shape[1] > top_ids.shape[1]:  # rows were missing, so every query is here
+            top_ids, top_scores = best_ids, best_scores
+        else:
+            top_ids[todo], top_scores[todo] = best_ids, best_scores
     return top_ids, top_scores
 
 
 def _packed(rows: DataFrame, key: str, dims: int, size: int) -> DataFrame:
     """Runs of up to ``size`` vectors of a partition, each one row of bytes: ``{key}s``, values.
 
-    Only vectors of ``dims`` values are taken. Values are doubles.
+    Only vectors of ``dims`` values are taken. Values are doubles, scaled to unit length, and in a
+    run ids ascend.
     """
     rows = rows.where(F.size("embedding") == dims).select(F.col(key).cast("bigint"), "embedding")
 
@@ -199,12 +215,13 @@ def _packed(rows: DataFrame, key: str, dims: int, size: int) -> DataFrame:
         ids, matrix = np.empty(0, dtype=np.int64), np.empty((0, dims))
 
         def row(n: int) -> pa.RecordBatch:
-            run_of = [pa.array([a[:n].tobytes()], pa.binary()) for a in (ids, matrix)]
+            order = np.argsort(ids[:n], kind="stable")
+            run_of = [pa.array([a[:n][order].tobytes()], pa.binary()) for a in (ids, matrix)]
             return pa.RecordBatch.from_arrays(run_of, [f"{key}s", f"{key}_values"])
 
         for batch in batches:
             ids = np.concatenate([ids, batch.column(key).to_numpy()])
-            matrix = np.concatenate([matrix, _matrix(batch.column("embedding"), dims)])
+            matrix = np.concatenate([matrix, _unit(_matrix(batch.column("embedding"), dims))])
             while len(ids) >= size:
                 yield row(size)
                 ids, matrix = ids[size:], matrix[size:]
@@ -214,19 +231,20 @@ def _packed(rows: DataFrame, key: str, dims: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"{key}s binary, {key}_values binary")
 
 
-def _best_of_pairs(pairs: DataFrame, k: int, dims: int) -> DataFrame:
+def _best_of_pairs(pairs: DataFrame, k: int, dims: int, size: int) -> DataFrame:
     """(query_id, chunk_id, score): per task and query the k best of the (block, slice) pairs.
 
-    A task holds one pair and the best rows of the blocks it has met, which it hands on when they
-    reach ``_HELD_ROWS``.
+    A task holds one pair, of which ``size`` queries are scored at a time, and the best rows of the
+    blocks it has met, which it hands on when they reach ``_HELD_ROWS``.
     """
+    size = min(size, _BLOCK_ROWS)
 
-    def table(ids: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    def table(ids: np.ndarray, tops: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
         return pa.table(
             {
-                "query_id": pa.array(np.repeat(ids, top[0].shape[1]), pa.int64()),
-                "chunk_id": pa.array(top[0].ravel(), pa.int64()),
-                "score": pa.array(top[1].ravel(), pa.float64()),
+                "query_id": pa.array(np.repeat(ids, tops[0][0].shape[1]), pa.int64()),
+                "chunk_id": pa.array(np.concatenate([t[0].ravel() for t in tops]), pa.int64()),
+                "score": pa.array(np.concatenate([t[1].ravel() for t in tops]), pa.float64()),
             }
         )
 
@@ -234,22 +252,25 @@ def _best_of_pairs(pairs: DataFrame, k: int, dims: int) -> DataFrame:
         return np.frombuffer(value.as_buffer()).reshape(-1, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
+        met: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        held = 0
         for batch in batches:
             for block, ids, values, chunk_ids, chunk_values in zip(*batch.columns):
                 block = block.as_py()
                 if block not in met:
-                    if sum(top[0].size for _, top in met.values()) >= _HELD_ROWS:
+                    asked = np.frombuffer(ids.as_buffer(), dtype=np.int64).copy()
+                    if held + len(asked) * k > _HELD_ROWS:
                         for done in met.values():
                             yield from table(*done).to_batches()
-                        met = {}
-                    asked = np.frombuffer(ids.as_buffer(), dtype=np.int64).copy()
-                    met[block] = asked, (
-                        np.empty((len(asked), 0), dtype=np.int64), np.empty((len(asked), 0)))
-                asked, top = met[block]
-                chunk = np.frombuffer(chunk_ids.as_buffer(), dtype=np.int64)
-                met[block] = asked, _merge_best(
-                    top, _unit(doubles(values)), chunk, doubles(chunk_values), k)
+                        met, held = {}, 0
+                    held += len(asked) * k
+                    met[block] = asked, [
+                        (np.empty((len(asked[i : i + size]), 0), dtype=np.int64),
+                         np.empty((len(asked[i : i + size]), 0))) for i in range(0, len(asked), size)]
+                tops, queries = met[block][1], doubles(values)
+                chunk, matrix = np.frombuffer(chunk_ids.as_buffer(), dtype=np.int64), doubles(chunk_values)
+                for i, top in enumerate(tops):
+                    tops[i] = _merge_best(top, queries[i * size : (i + 1) * size], chunk, matrix, k)
         for done in met.values():
             yield from table(*done).to_batches()
 
@@ -269,19 +290,23 @@ def cosine_topk(
     and comes last, ties go to the lower chunk id; ``k <= 0`` means the default depth. Queries of
     another width find nothing here: ``vector_errors`` names them.
 
-    Queries are written once as blocks of at most ``block_bytes`` to the shared folder, chunks are
-    cut into slices where they lie, and tasks stream blocks past slices as matrix products. Neither
-    side is shuffled by a key and none passes the driver, unless Spark finds one small enough to
-    broadcast. Only k rows per query and task are shuffled. Chunks are read once per partition of
-    blocks (``spark.sql.files.maxPartitionBytes`` of queries): write computed vectors down first.
+    Queries are written once as rows of at most ``QUERY_BLOCK_BYTES`` to the shared folder, a file
+    each, chunks are cut into slices where they lie, and tasks stream slices past queries as matrix
+    products, for at most ``block_bytes`` of queries at a time. Neither side is shuffled by a key
+    and none passes the driver, unless Spark finds one small enough to broadcast. Only k rows per
+    query and task are shuffled. A task keeps one partition of queries, of which
+    ``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes`` allow 32 rows by default; slices
+    are never gathered. Chunks are read once per partition of queries: write computed vectors down
+    first.
     """
     k = k if k > 0 else RETRIEVAL_DEPTH
-    size = max(1, block_bytes // (8 * dims))
-    asked = _packed(queries.hint("rebalance"), "query_id", dims, size)
+    asked = _packed(queries.hint("rebalance"), "query_id", dims, max(1, QUERY_BLOCK_BYTES // (8 * dims)))
     blocks = freeze(
-        asked.select(F.monotonically_increasing_id().alias("block"), *asked.columns), "blocks")
+        asked.select(F.monotonically_increasing_id().alias("block"), *asked.columns), "blocks",
+        maxRecordsPerFile=1)
     slices = _packed(chunks, "chunk_id", dims, max(1, SLICE_BYTES // (8 * dims)))
-    found = _best_of_pairs(blocks.crossJoin(slices), k, dims)
+    pairs = slices.crossJoin(blocks).select(*blocks.columns, *slices.columns)
+    found = _best_of_pairs(pairs, k, dims, max(1, block_bytes // (8 * dims)))
     order = Window.partitionBy("query_id").orderBy(
         F.isnan("score"), F.desc(F.round("score", _SCORE_DIGITS)), "chunk_id"
     )
@@ -296,6 +321,23 @@ def source_projection(found: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def _search_texts(
+    texts: DataFrame, key: str, chunks: DataFrame, k: int, provider: str | Provider, dims: int
+) -> tuple[DataFrame, DataFrame]:
+    """(key, vector) of the rows ``texts`` (key, query), and the hits of each vector.
+
+    Equal vectors find equal chunks, so each distinct one is searched once, however many texts
+    have it.
+    """
+    made = embed_chunks(texts, "query", provider, dims).where(F.size("embedding") == dims)
+    made = freeze(made.select(key, "embedding"), "asked")
+    number = F.monotonically_increasing_id().alias("vector")
+    vectors = freeze(made.select("embedding").distinct().select(number, "embedding"), "vectors")
+    found = cosine_topk(chunks, vectors.withColumnRenamed("vector", "query_id"), k, dims)
+    hits = source_projection(found, chunks).withColumnRenamed("query_id", "vector")
+    return lookup(made, vectors, "embedding", "inner").select(key, "vector"), hits
+
+
 def search_documents(
     queries: DataFrame,
     chunks: DataFrame,
@@ -306,8 +348,9 @@ def search_documents(
     """Text queries (query_id, query) to their sources. Empty queries are refused beforehand:
     see ``search_errors``."""
     asked = queries.where(F.col("query") != "").select("query_id", "query")
-    vectors = embed_chunks(asked, "query", provider, dims)
-    return source_projection(cosine_topk(chunks, vectors, k, dims), chunks)
+    named, hits = _search_texts(asked, "query_id", chunks, k, provider, dims)
+    return lookup(named, hits, "vector", "inner").select(
+        "query_id", "rank", "document_id", "content", "score")
 
 
 def retrieve_evidence(
@@ -319,15 +362,13 @@ def retrieve_evidence(
 ) -> DataFrame:
     """Evidence for requests (request_id, query): the k nearest chunks to each query, by ``rank``.
 
-    Equal queries find equal chunks, so each distinct text is embedded and searched once and its
-    hits are joined back to all requests that ask it.
+    Each distinct text is embedded once and each distinct vector searched once; the hits are joined
+    back to all requests at the end.
     """
     asked = requests.where(F.col("query") != "").select("request_id", "query")
-    texts = dense_numbers(asked.select("query").distinct(), ["query"], "query_id")
-    hits = search_documents(texts, chunks, k, provider, dims).join(texts, "query_id")
-    return lookup(
-        asked, hits.select("query", "rank", "document_id", "content", "score"), "query", "inner"
-    ).select("request_id", "rank", "document_id", "content", "score")
+    named, hits = _search_texts(asked.select("query").distinct(), "query", chunks, k, provider, dims)
+    return lookup(lookup(asked, named, "query", "inner"), hits, "vector", "inner").select(
+        "request_id", "rank", "document_id", "content", "score")
 
 
 def search_errors(queries: DataFrame) -> DataFrame:

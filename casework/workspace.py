@@ -69,8 +69,11 @@ def release(df: DataFrame) -> None:
             drop(df.sparkSession, path)
 
 
-def freeze(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back, so values that depend on task layout stay fixed."""
+def freeze(df: DataFrame, label: str, **options: int) -> DataFrame:
+    """Write ``df`` once and read it back, so values that depend on task layout stay fixed.
+
+    ``options`` are the writer's.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -162,6 +162,31 @@ def test_backlog_in_id_order(spark):
     with pytest.raises(ValueError):
         vectors.embedding_backlog(chunks, 0)
 
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Texts that differ may have one vector: here 400 orders' numbers share 8 places."""
+    searched, whole = [], vectors.cosine_topk
+    monkeypatch.setattr(vectors, "cosine_topk", lambda c, q, *a: searched.append(q.count()) or whole(c, q, *a))
+    chunks = vectors.hash_embedding(spark.createDataFrame(
+        [(i, i, f"cancel order {i}") for i in range(30)], "chunk_id long, document_id long, content string"), "content", 8)
+    queries = spark.createDataFrame([(i, f"cancel ORD-{i}") for i in range(400)], "query_id long, query string")
+    found = rows_of(vectors.search_documents(queries, chunks, 3, "hash", 8), "query_id", "rank", "document_id")
+    assert searched[0] <= 8
+    vector = vectors.hash_embedding(queries, "query", 8)
+    assert found == sorted(brute(chunks, vector, 3), key=repr)
+    requests = queries.withColumnRenamed("query_id", "request_id")
+    assert rows_of(vectors.retrieve_evidence(requests, chunks, 3, "hash", 8), "request_id", "rank", "document_id") == found
+    assert searched[1] == searched[0]
+
+
+def test_pairs_of_rows_do_not_grow_with_small_blocks(spark, monkeypatch):
+    seen = []
+    whole = vectors._best_of_pairs
+    monkeypatch.setattr(vectors, "_best_of_pairs", lambda pairs, *a: seen.append(pairs.count()) or whole(pairs, *a))
+    chunks = made(spark, 240, 16).coalesce(1)
+    for per_block in (1, 60):
+        vectors.cosine_topk(chunks, asked(chunks, 60).coalesce(1), 5, 16, per_block * 8 * 16)
+    assert seen[0] == seen[1]
+
 
 def test_search_finds_the_chunk_that_says_it(spark):
     texts = ["pickup delayed by carrier", "fee schedule for returns", "api key exposure"]
