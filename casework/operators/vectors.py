@@ -175,34 +175,49 @@ def _merge_best(
     """``top`` (ids and scores per query, best first) after more chunks were seen; ``ids`` ascend.
 
     Once a query has k rows, only a better score than its last one's, or an equal score and a
-    smaller id, can change them, so most queries are done with a slice after one comparison.
+    smaller id, can change them. Scores in single precision, off by less than ``far``, tell which
+    queries such a chunk may exist for; only those are scored in double precision.
     """
     top_ids, top_scores = top
+    small = queries.astype(np.float32), chunks.astype(np.float32)
+    far = (queries.shape[1] + 8) * 2.0**-23
     for start in range(0, len(ids), _SLICE_ROWS):
         part = slice(start, start + _SLICE_ROWS)
-        scores = queries @ chunks[part].T
-        if top_ids.shape[1] < k:
-            todo = np.arange(len(queries))
-        else:
-            equal = np.where(ids[start] < top_ids[:, -1], -0.5, 0.5)
-            least = (_ranks(top_scores[:, -1]) + equal) / 10.0**_SCORE_DIGITS - 1e-12
-            unknown = np.isnan(top_scores[:, -1])
-            todo = np.flatnonzero(unknown | (scores >= least[:, None]).any(axis=1))
-            if not len(todo):
-                continue
-        new_ids, new_scores = _slice_best(ids[part], scores[todo], k)
-        all_ids = np.concatenate([top_ids[todo], new_ids], axis=1)
-        all_scores = np.concatenate([top_scores[todo], new_scores], axis=1)
-        best = np.lexsort((all_ids, -_ranks(all_scores)), axis=1)[:, :k]
-        best_ids = np.take_along_axis(all_ids, best, axis=1)
-        best_scores = np.take_along_axis(all_scores, best, axis=1)
-        if best.shape[1] > top_ids.shape[1]:  # rows were missing, so every query is here
-            top_ids, top_scores = best_ids, best_scores
-        else:
-            top_ids[todo], top_scores[todo] = best_ids, best_scores
+        if top_ids.shape[1] < k:  # rows are missing everywhere
+            new = _slice_best(ids[part], queries @ chunks[part].T, k)
+            top_ids, top_scores = _best_of((top_ids, top_scores), new, k)
+            continue
+        last = top_scores[:, -1]
+        equal = np.where(ids[start] < top_ids[:, -1], -0.5, 0.5)
+        least = (_ranks(last) + equal) / 10.0**_SCORE_DIGITS - 1e-12
+        rough = small[0] @ small[1][part].T
+        near = (rough >= (least - far).astype(np.float32)[:, None]).any(axis=1)
+        todo = np.flatnonzero(near | np.isnan(last))
+        scores = queries[todo] @ chunks[part].T
+        better = scores >= least[todo, None]
+        n = better.sum(axis=1)
+        many = (n > k) | np.isnan(last[todo])
+        row, at = np.nonzero(better & ~many[:, None])
+        place = np.arange(len(row)) - (np.cumsum(np.where(many, 0, n)) - np.where(many, 0, n))[row]
+        few = np.full((len(todo), k), -1, dtype=np.int64), np.full((len(todo), k), -2.0)  # below any score
+        few[0][row, place], few[1][row, place] = ids[part][at], scores[row, at]
+        for rows, new in ((~many & (n > 0), few), (many, None)):
+            if rows.any():
+                new = _slice_best(ids[part], scores[rows], k) if new is None else tuple(x[rows] for x in new)
+                of = todo[rows]
+                top_ids[of], top_scores[of] = _best_of((top_ids[of], top_scores[of]), new, k)
     return top_ids, top_scores
 
 
+def _best_of(
+    top: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two (ids, scores) per query, best first."""
+    ids, scores = (np.concatenate(pair, axis=1) for pair in zip(top, new))
+    best = np.lexsort((ids, -_ranks(scores)), axis=1)[:, :k]
+    return np.take_along_axis(ids, best, axis=1), np.take_along_axis(scores, best, axis=1)
+
+
 def _packed(rows: DataFrame, key: str, dims: int, size: int) -> DataFrame:
     """Runs of up to ``size`` vectors of a partition, each one row of bytes: ``{key}s``, values.
 
