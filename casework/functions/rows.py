@@ -15,3 +15,12 @@ def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     values = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     return rows.select("*", F.inline(values))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly to twice as many tasks as there are cores.
+
+    A Parquet row group is read by one task, however large it is, and that task also does whatever
+    follows without a shuffle. For work that costs more than moving the rows.
+    """
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)

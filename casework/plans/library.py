@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions import payloads, phrases, scalars, text
+from casework.functions.rows import spread
 from casework.operators import actions as act
 from casework.operators import confirm, context, decide, quality, reports, vectors
 from casework.operators.joins import lookup
@@ -438,14 +439,23 @@ def assemble_pages(spark, sf):
     return docs.assemble_pages(fx.doc_pages(spark, sf))
 
 
+_SLOTS: dict[str, int] = {}  # of the words a task has met
+_SLOTS_HELD = 1 << 16
+
+
 def digest_provider(texts: list[str]) -> list[list[float]]:
     """Term counts by the first 32 bits of each term's MD5, L2-normalised."""
-    out = []
-    for t in texts:
-        slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMS for w in t.lower().split()]
-        v = np.bincount(slots, minlength=DIMS).astype(np.float64)
-        out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
-    return out
+    terms = [t.lower().split() for t in texts]
+    if len(_SLOTS) > _SLOTS_HELD:
+        _SLOTS.clear()
+    for w in set().union(*terms) - _SLOTS.keys():
+        _SLOTS[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMS
+    sizes = [len(t) for t in terms]
+    slots = np.fromiter((_SLOTS[w] for t in terms for w in t), np.int64, sum(sizes))
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    counts = np.bincount(rows * DIMS + slots, minlength=len(texts) * DIMS).reshape(-1, DIMS).astype(np.float64)
+    size = np.linalg.norm(counts, axis=1, keepdims=True)
+    return (counts / np.where(size == 0, 1.0, size)).tolist()
 
 
 def _weights(rows: DataFrame, *keys: str) -> DataFrame:
@@ -463,7 +473,7 @@ def hash_embedding(spark, sf):
 @query
 def embed_chunks(spark, sf):
     """Chunks through a provider of one's own."""
-    chunks = text.chunk_documents(fx.chunk_source(spark, sf))
+    chunks = text.chunk_documents(spread(fx.chunk_source(spark, sf)))
     return _weights(vectors.embed_chunks(chunks, "content", digest_provider, DIMS, batch=64),
                     "document_id", "chunk_index")
 
@@ -498,7 +508,8 @@ def cosine_topk(spark, sf):
 def cosine_topk_many(spark, sf):
     """Every vector a query, in several blocks."""
     queries = fx.table(spark, sf, "embeddings").selectExpr("vec_id AS query_id", "embedding")
-    found = vectors.cosine_topk(fx.chunk_vectors(spark, sf), queries, 5, DIMS, block_bytes=8 * DIMS * 200)
+    chunks = freeze(spread(fx.chunk_vectors(spark, sf)), "vectors")
+    found = vectors.cosine_topk(chunks, queries, 5, DIMS, block_bytes=8 * DIMS * 200)
     return flat(found.withColumn("score", F.round("score", 6)))
 
 

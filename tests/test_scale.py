@@ -122,3 +122,18 @@ def test_numbering_moves_the_rows_once(spark, settings):
     assert sorted(tuple(r) for r in numbered.collect()) == [(i, i + 1) for i in range(1000)]
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_one_row_group_is_spread_before_embedding(spark, tmp_path):
+    """A file that one task reads is not chunked and embedded by that task alone."""
+    from casework.functions.rows import spread
+    from casework.plans.library import QUERIES
+
+    rows = spark.range(200).selectExpr("id AS doc_id", "concat('line ', id, '\n\nmore') AS text").coalesce(1)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    held = spread(spark.read.parquet(str(tmp_path / "documents.parquet"))).groupBy(F.spark_partition_id()).count()
+    assert held.count() >= 4
+    found = QUERIES["embed_chunks"](spark, str(tmp_path))
+    assert found.select("document_id").distinct().count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RoundRobinPartitioning")
