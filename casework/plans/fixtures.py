@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from casework.functions.rows import spread
+
 
 STAMP = "2026-08-16 11:00"
 
@@ -241,12 +243,13 @@ def answers(spark, sf_dir) -> DataFrame:
 
 # --- raw sheets -------------------------------------------------------------
 # The cells pass through explode, so that each row's list is built once and not once per cell.
+# The rows are dealt to all cores, as parsing them costs far more and row groups may be few.
 
 
 def raw_accounts(spark, sf_dir) -> DataFrame:
     """The account sheet: row 1 is the header; faults planted by key."""
     header = spark.range(1).selectExpr("1L AS row_no", "array('account_id') AS cells")
-    body = table(spark, sf_dir, "customer").selectExpr(
+    body = spread(table(spark, sf_dir, "customer")).selectExpr(
         "c_custkey + 2 AS row_no",
         """explode(array(slice(array(
              concat('ACCT-', CASE WHEN c_custkey % 19 = 5 THEN c_custkey - 1 ELSE c_custkey END),
@@ -267,7 +270,7 @@ def raw_accounts(spark, sf_dir) -> DataFrame:
 
 def raw_orders(spark, sf_dir) -> DataFrame:
     header = spark.range(1).selectExpr("1L AS row_no", "array('order_id') AS cells")
-    body = table(spark, sf_dir, "orders").selectExpr(
+    body = spread(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey + 2 AS row_no",
         """explode(array(slice(array(
              concat('ORD-', CASE WHEN o_orderkey % 23 = 9 THEN o_orderkey - 1 ELSE o_orderkey END),
@@ -296,7 +299,7 @@ def raw_orders(spark, sf_dir) -> DataFrame:
 
 def raw_tickets(spark, sf_dir) -> DataFrame:
     header = spark.range(1).selectExpr("1L AS row_no", "array('ticket_id') AS cells")
-    body = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(
+    body = spread(table(spark, sf_dir, "events")).where("event_type = 'error'").selectExpr(
         "event_id + 2 AS row_no",
         """explode(array(slice(array(
              concat('TCK-', CASE WHEN event_id % 17 = 4 THEN event_id % 300 ELSE event_id END),
