@@ -14,6 +14,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from casework.functions import payloads, phrases, scalars, text
 from casework.functions.rows import spread
@@ -869,9 +870,7 @@ def stream_replies(spark, sf):
     known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
     ends = known.agg(F.min("event_id"), F.max("event_id")).first()  # event ids follow time
     low, n = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0) + 1
-    for part in range(6):  # a file stream takes files by age
-        known.where(F.floor((F.col("event_id") - low) * 6 / n) == part).repartition(
-            1, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    _deal(known, F.floor((F.col("event_id") - low) * 6 / n), 6, folder)
     known.agg(F.max("ts").alias("ts")).selectExpr(
         "-1L AS event_id", "timestampadd(DAY, 400, ts) AS ts", "0L AS user_id",
         "'view' AS event_type", "0D AS value", "'' AS props").write.mode("append").parquet(folder)
@@ -894,13 +893,23 @@ def stream_evaluate(spark, sf):
     return _with_action(spark.read.parquet(sink).drop("batch"))
 
 
+def _deal(rows: DataFrame, part: Column, files: int, folder: str) -> None:
+    """Writes the rows of each part from 0 on as one file, one after the other, since a file stream
+    takes files by age. All tasks sort them into parts first, so that a file's task reads its own."""
+    path = fresh_path(rows.sparkSession, "parts")
+    spread(rows).withColumn("_part", part).write.partitionBy("_part").parquet(path)
+    schema = StructType([*rows.schema, StructField("_part", LongType())])
+    dealt = rows.sparkSession.read.schema(schema).parquet(path)
+    for i in range(files):
+        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+
+
 def _dealt_events(spark, sf, files: int) -> DataFrame:
     """The events as a stream of ``files`` files in order of their ids, one micro-batch each."""
     known, folder = fx.table(spark, sf, "events"), fresh_path(spark, "events")
     most = known.agg(F.max("event_id")).first()[0] or 0
     part = F.floor(F.col("event_id") * files / (most + 1))
-    for i in range(files):  # a file stream takes files by age
-        known.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    _deal(known, part, files, folder)
     return flows.table_stream(spark, folder, known.schema, files_per_trigger=1)
 
 

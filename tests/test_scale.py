@@ -137,3 +137,28 @@ def test_one_row_group_is_spread_before_embedding(spark, tmp_path):
     assert found.select("document_id").distinct().count() == 200
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("RoundRobinPartitioning")
+
+
+def test_sheets_of_one_row_group_are_parsed_by_many_tasks(spark):
+    rows = fx.raw_orders(spark, "/root/testdata/sf0.001")
+    assert rows.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
+def test_a_stream_is_dealt_in_one_pass(spark, tmp_path, monkeypatch):
+    """One file per part, the oldest first; the table is not read again for every part."""
+    from casework.plans import library
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def part(i):
+        seen.add(1)
+        return i // 250
+
+    rows = spark.range(1000).withColumn("doubled", F.col("id") * 2)
+    library._deal(rows, part("id"), 5, str(tmp_path / "dealt"))
+    assert seen.value == 1000
+    files = sorted((tmp_path / "dealt").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    found = [sorted(r.id for r in spark.read.schema(rows.schema).parquet(str(f)).collect()) for f in files]
+    assert found == [list(range(i * 250, i * 250 + 250)) for i in range(4)] + [[]]
+    assert rows.columns == ["id", "doubled"] == [f.name for f in rows.schema]
