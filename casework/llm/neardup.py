@@ -36,6 +36,7 @@ SMALL, LARGE = 400, 320  # LARGE <= 0.8 * SMALL
 SMALL_ROWS, LARGE_ROWS = 3, 4
 _TRIES = 1024
 VOLUME = 1 << 18  # shingles of a slice; a task holds two slices
+NUMBERS = 1 << 23  # of a matrix, when a cell is compared: slices may be many short texts
 
 
 def _borrow_table() -> np.ndarray:
@@ -202,9 +203,10 @@ def _compare(percent: int):
         order = np.argsort(item, kind="stable")
         row, item = row[order], item[order]
         low, high = (np.flatnonzero(own == cell.column(c)[0].as_py()) for c in ("low", "high"))
-        out, step = [np.zeros((0, 2), np.int64)], 2048
-        for first in range(0, len(low), step):
-            ours = low[first : first + step]
+        out = [np.zeros((0, 2), np.int64)]
+        rows, step = (max(1, min(2048, NUMBERS // max(n, 1))) for n in (len(high), len(size)))
+        for first in range(0, len(low), rows):
+            ours = low[first : first + rows]
             common = np.zeros((len(ours), len(high)), np.float32)  # whole numbers, exact up to 2**24
             for left in range(0, int(item[-1]) + 1 if len(item) else 0, step):
                 part = slice(*np.searchsorted(item, [left, left + step]))

@@ -130,3 +130,23 @@ def test_empty_table(spark):
 def test_components(spark, edges, expected):
     links = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == expected
+
+
+def test_a_cell_of_many_short_sets_stays_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from casework.llm.neardup import _compare
+
+    n = 24000  # sets of two items, each item in two sets
+    cell = pa.table({
+        "low": pa.array([0] * n), "high": pa.array([1] * n), "own": pa.array([i % 2 for i in range(n)]),
+        "node": pa.array(range(n)), "component": pa.array(range(n)),
+        "items": pa.array([[i // 2 * 2, i // 2 * 2 + 1] for i in range(n)], pa.list_(pa.int64()))})
+    tracemalloc.start()
+    found = _compare(80)(cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [(i, i + 1) for i in range(0, n, 2)]
+    assert peak < 400e6
