@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casework.operators.joins import lookup
 from casework.schemas import (
     ACTIVE_CREDIT_STATUSES,
     CREDIT_STATUSES,
@@ -66,6 +65,7 @@ ROW_KEYS = {
     "accounts": "account_id", "orders": "order_id", "tickets": "ticket_id", "documents": "filename",
     "document_chunks": "id", "escalations": "id", "audit_logs": "id", "service_credits": "id",
 }
+PARENTS = 1 << 18  # keys that a task holds
 
 Tables = dict[str, DataFrame]
 
@@ -114,22 +114,31 @@ def check_foreign_keys(tables: Tables) -> DataFrame:
     """Rows whose parent is missing; null references are left alone.
 
     All references are stacked as (parent table, value), so each table is read once for its rows
-    and once for its keys, and one join answers for every rule.
+    and once for its keys, and one join answers for every rule. A task hashes the parent keys of its
+    partition and streams the rows past them, where a sort would hold the rows, all those of a busy
+    parent among them. Partitions are as many as the parents need: adaptive execution would merge
+    them by their compressed size, and keys so alike are many times that in memory.
     """
     used = [r for r in REFERENCES if r[0] in tables and r[2] in tables]
+    number = {parent: i for i, parent in enumerate(dict.fromkeys(r[2] for r in used))}
     children, parents = [], []
     for table in dict.fromkeys(r[0] for r in used):
         held = F.array(*[
             F.struct(F.lit(f"{table}.{column} references {parent}").alias("rule"),
-                     F.struct(F.lit(parent).alias("table"), F.col(column).cast("string").alias("value")).alias("ref"))
+                     F.struct(F.lit(number[parent]).alias("table"), F.col(column).cast("string").alias("value")).alias("ref"))
             for t, column, parent, _ in used if t == table])
         rows = tables[table].select(
             F.col(ROW_KEYS[table]).cast("string").alias("key"), F.explode(held).alias("r"))
         children.append(rows.select("key", "r.rule", "r.ref").where(F.col("ref.value").isNotNull()))
     for parent, column in dict.fromkeys((r[2], r[3]) for r in used):
-        ref = F.struct(F.lit(parent).alias("table"), F.col(column).cast("string").alias("value"))
+        ref = F.struct(F.lit(number[parent]).alias("table"), F.col(column).cast("string").alias("value"))
         parents.append(tables[parent].select(ref.alias("ref")))
-    return lookup(_union(children), _union(parents), "ref", "left_anti").select("rule", "key")
+    known = _union(parents).where(F.col("ref.value").isNotNull())
+    n = max(known.sparkSession.sparkContext.defaultParallelism, known.count() // PARENTS + 1)
+    known = known.select(F.col("ref").alias("known")).repartition(n, "known").distinct().hint("shuffle_hash")
+    rows = _union(children).repartition(n, "ref")
+    # An anti-join would be pushed below the repartition, into every part of the union.
+    return rows.join(known, F.col("ref") == F.col("known"), "left").where("known IS NULL").select("rule", "key")
 
 
 def check_enums(tables: Tables) -> DataFrame:

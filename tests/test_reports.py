@@ -49,3 +49,19 @@ def test_active_uniqueness_and_amounts(spark):
     assert rows_of(quality.check_active_unique(escalations, credits)) == [
         ("one active credit per order", "O"), ("one created escalation per ticket", "T")]
     assert rows_of(quality.check_amount(credits), "key") == [("1",), ("3",)]
+
+
+def test_foreign_keys_hold_parents_and_not_rows_in_memory(spark, settings, monkeypatch):
+    monkeypatch.setattr(quality, "PARENTS", 100)
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    accounts = spark.createDataFrame([("A1",), ("A1",), ("T1",)], "account_id string")
+    tickets = spark.createDataFrame(
+        [(f"T{i}", "A1" if i % 10 else "T1" if i % 20 else "A2") for i in range(2000)] + [("T-", None)], "ticket_id string, account_id string")
+    escalations = spark.createDataFrame([(1, "T1", "A1"), (2, "A1", "A3")], "id long, ticket_id string, account_id string")
+    found = quality.check_foreign_keys({"accounts": accounts, "tickets": tickets, "escalations": escalations})
+    assert rows_of(found) == sorted(
+        [("tickets.account_id references accounts", f"T{i}") for i in range(0, 2000, 20)]
+        + [("escalations.ticket_id references tickets", "2"), ("escalations.account_id references accounts", "2")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert found.rdd.getNumPartitions() == 21  # 2004 parent keys; a task holds about 100
