@@ -1,7 +1,7 @@
 """Quality classifier: interpolated modified Kneser-Ney models of trusted text.
 
-The model that judges counts runs of words of all trusted documents in sharded tables that grow with
-the corpus, and every document's runs are joined with them (``word_lm``): its perplexity. A mean over
+The model that judges counts runs of words of all trusted documents in shards that grow in number with
+the corpus, and every document's runs are looked up in them (``word_lm``): its perplexity. A mean over
 words tells little of how unknown words are spelled, and a word model cannot: a second model does.
 
 For spelling, text is read as symbols: 64 classes of bytes (letters, digit, upper case, punctuation,
@@ -28,7 +28,7 @@ from casework.llm import arrays
 from casework.llm.tables import text_key
 from casework.llm.word_lm import train_words, word_perplexity
 from casework.operators.joins import lookup
-from casework.workspace import freeze, release
+from casework.workspace import brief_shuffles, freeze, release
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
@@ -251,7 +251,10 @@ class Classifier:
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, by_words: bool = True):
-        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+        with brief_shuffles(docs.sparkSession):
+            self._fit(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, by_words)
+
+    def _fit(self, docs: DataFrame, labels: DataFrame, by_words: bool) -> None:
         texts = freeze(trusted_texts(docs, labels), "trusted")
         self.model = collect_model(train_spelling(texts))
         self.words = train_words(texts) if by_words else None

@@ -62,6 +62,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a job has shuffled is deleted as soon as its result is written.
+
+    Otherwise it stays until the driver happens to collect its garbage, beside all that later jobs
+    shuffle. Only for jobs of which every result is frozen.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Deletes a frozen table that nothing will read again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -8,6 +8,7 @@ import pytest
 
 from casework.llm.quality_lm import Classifier
 from casework.llm.word_lm import train_words, word_perplexity
+from casework.workspace import brief_shuffles
 
 
 def words_of(text):
@@ -99,3 +100,38 @@ def test_the_model_grows_with_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     part, whole = (train_words(d).values.count() for d in (docs.where("doc_id % 4 = 0"), docs))
     assert whole > 2 * part
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_many_shards_and_rare_words_give_the_same(spark, order, monkeypatch):
+    rng = random.Random(order)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(120)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + ["w1 w2 never seen"])], "row long, text string").repartition(5)
+    trained = spark.createDataFrame([(t,) for t in texts[:80]], "text string").repartition(3)
+    one = train_words(trained, order)
+    expected = {r.row: r.perplexity for r in word_perplexity(one, rows).collect()}
+    values = {r.run: r.value for r in one.values.collect()}
+    for hot in (0, 20):  # words, parts and runs that have their values in the tasks that need them
+        model = train_words(trained, order, hot=hot, a_shard=100)
+        assert model.parts.count() > 10 and sorted(r.value for r in model.values.collect()) == pytest.approx(sorted(values.values()))
+        found = {r.row: r.perplexity for r in word_perplexity(model, rows, hot=hot, most_bits=10).collect()}
+        assert found == pytest.approx(expected, rel=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_room_that_a_run_takes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    values = train_words(docs).values
+    size = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in values.inputFiles())
+    assert size < 12 * values.count()
+
+
+def test_brief_shuffles_puts_the_setting_back(spark, settings):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for before in ("false", "true"):
+        settings(**{name.replace(".", "__"): before})
+        with pytest.raises(ValueError), brief_shuffles(spark):
+            assert spark.conf.get(name) == "true"
+            raise ValueError
+        assert spark.conf.get(name) == before
